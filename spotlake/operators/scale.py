@@ -54,17 +54,18 @@ def blocks(df: DataFrame, rows_each: int) -> int:
 
 
 def prefix_sum(
-    df: DataFrame, value: str, order: list[str], out: str, within: list[str] | None = None, buckets: int = 256
+    df: DataFrame, value: str, order: list[str], out: str, within: list[str] | None = None, buckets: int = 256, bucket: Column | None = None
 ) -> DataFrame:
     """Exclusive running sum of ``value`` in the total order (hash bucket of ``order``, ``order``), per ``within``.
 
     No window ever covers a whole group: rows fall into ``buckets`` hash buckets, each bucket is summed (with map-side
     partial sums), the at most ``buckets`` totals of a group are accumulated, and rows are only ordered inside their
-    bucket. The order is arbitrary but fixed by the values of ``order``. A null ``value`` counts as 0.
+    bucket. The order is arbitrary but fixed by the values of ``order``. ``bucket`` (an integer with a bounded number of
+    values) replaces the hash bucket to order by something else first. A null ``value`` counts as 0.
     """
     within = within or []
     amount = F.coalesce(F.col(value), F.lit(0))
-    df = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(buckets)))
+    df = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(buckets)) if bucket is None else bucket)
     keys = [*within, "__b"]
     totals = df.groupBy(*keys).agg(F.sum(amount).alias("__t"))
     over = Window.partitionBy(*(within or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
