@@ -1,9 +1,9 @@
 """Registered queries of this package and the SQL that says the same, where SQL can."""
 
-from spotlake.llm import label_queries, label_sql
+from spotlake.llm import label_queries, label_sql, number_queries, text_queries
 
-QUERIES = {**label_queries.QUERIES}
-SQL = {**label_sql.SQL}
+QUERIES = {**label_queries.QUERIES, **number_queries.QUERIES, **text_queries.QUERIES}
+SQL = {**label_sql.SQL, **number_queries.SQL}
 
 
 def queries() -> dict:
