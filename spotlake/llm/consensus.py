@@ -32,7 +32,9 @@ def consensus(
 
     Items: ``label``, ``confidence`` (its posterior share), ``votes``, ``agreement`` (share of the votes equal to the
     label). Annotators and labels: ``accuracy`` on items of that label, smoothed by ``prior_votes`` votes at
-    ``start_accuracy``, and ``weight`` (the items behind it).
+    ``start_accuracy``, and ``weight`` (the items behind it). A vote counts towards its annotator's accuracy by how sure
+    the item's other votes are (the fourth power of their lead over chance), else doubtful items would pull every
+    accuracy to the middle.
     """
     votes = votes.where("annotator is not null and label is not null").select(*item, "annotator", "label")
     by_item = stored(_patterns(votes, item))
@@ -68,8 +70,10 @@ def consensus(
     while k and rounds < max_rounds:
         rounds += 1
         rows = scored(state, prior)
-        mass = [F.sum(F.col("n") * F.col(f"o_{i}")) for i in range(k)]
-        right = [F.sum(F.when(F.col("label") == t, F.col("n") * F.col(f"o_{i}")).otherwise(0.0)) for i, t in enumerate(labels)]
+        top = F.greatest(*[F.col(f"o_{i}") for i in range(k)]) if k > 1 else F.lit(1.0)
+        sure = F.pow((k * top - 1) / others, F.lit(4.0)) if k > 1 else F.lit(1.0)
+        mass = [F.sum(F.col("n") * sure * F.col(f"o_{i}")) for i in range(k)]
+        right = [F.sum(F.when(F.col("label") == t, F.col("n") * sure * F.col(f"o_{i}")).otherwise(0.0)) for i, t in enumerate(labels)]
         share = [F.sum(F.col("n") * F.col(f"t_{i}") / F.col("size")).alias(f"p_{i}") for i in range(k)]
         new = [((r + prior_votes * start_accuracy) / (m + prior_votes)).alias(f"a_{i}") for i, (r, m) in enumerate(zip(right, mass, strict=True))]
         after = cut(rows.groupBy("annotator").agg(*new, *share, *[m.alias(f"m_{i}") for i, m in enumerate(mass)]))

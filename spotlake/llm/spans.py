@@ -96,7 +96,7 @@ def factor(blocks: pd.DataFrame, least: int) -> pd.DataFrame:
 
 
 def shared_spans(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, rows_each: int = 20_000, hot: int = 20_000, broadcast_blocks: int = 400_000
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, rows_each: int = 8_000, hot: int = 8_000, broadcast_blocks: int = 200_000
 ) -> DataFrame:
     """(``id_col``, ``start``, ``end``): the maximal spans of each text made of passages of ``least`` characters that
     also stand in the text of another id. Positions are code points, end exclusive.

@@ -14,7 +14,8 @@ def components(edges: DataFrame, seed: int = 7) -> DataFrame:
     """(``vertex``, ``component``) of an undirected graph of edges (``a``, ``b``); component is one of its vertices.
 
     Each round every vertex tosses a coin; a vertex with tails that has a neighbour with heads collapses into the
-    smallest such neighbour. The rounds' collapses are unwound at the end. Edges with a null end are ignored; an edge
+    smallest such neighbour. The first round collapses vertices with one neighbour, if that is greater, without a coin.
+    The rounds' collapses are unwound at the end. Edges with a null end are ignored; an edge
     from a vertex to itself makes that vertex a component of its own unless others reach it. Repeated edges count once.
     Expected rounds grow with the logarithm of the vertices; only the remaining edges are carried on.
     """
@@ -26,20 +27,28 @@ def components(edges: DataFrame, seed: int = 7) -> DataFrame:
     while rest.limit(1).count():
         r = len(collapsed)
         both = rest.union(rest.select("b", "a"))
-        into = cut(both.where(~heads("a", r) & heads("b", r)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("parent")))
+        if r:
+            into = both.where(~heads("a", r) & heads("b", r)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("parent"))
+        else:
+            ends = both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("parent"), F.count("*").alias("n"))
+            into = ends.where("n = 1 and vertex < parent").drop("n")
+        into = cut(into)
         collapsed.append(into)
         left = into.select(F.col("vertex").alias("a"), F.col("parent").alias("pa"))
         right = into.select(F.col("vertex").alias("b"), F.col("parent").alias("pb"))
         moved = rest.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
         rest = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    known = None
+    known, steps = None, 0
     for into in reversed(collapsed):
         if known is None:
             known = into.withColumnRenamed("parent", "component")
             continue
         later = known.select(F.col("vertex").alias("parent"), "component")
         own = into.join(later, "parent", "left").select("vertex", F.coalesce("component", "parent").alias("component"))
-        known = cut(own.union(known)) if len(collapsed) > 6 else own.union(known)
+        known = own.union(known)
+        steps += 1
+        if steps % 4 == 0:
+            known = cut(known)
     lone = alone.select("vertex", F.col("vertex").alias("component"))
     if known is None:
         return lone.distinct()
