@@ -38,17 +38,13 @@ def components(edges: DataFrame, seed: int = 7) -> DataFrame:
         right = into.select(F.col("vertex").alias("b"), F.col("parent").alias("pb"))
         moved = rest.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
         rest = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    known, steps = None, 0
-    for into in reversed(collapsed):
-        if known is None:
-            known = into.withColumnRenamed("parent", "component")
-            continue
-        later = known.select(F.col("vertex").alias("parent"), "component")
-        own = into.join(later, "parent", "left").select("vertex", F.coalesce("component", "parent").alias("component"))
-        known = own.union(known)
-        steps += 1
-        if steps % 4 == 0:
-            known = cut(known)
+    known = None
+    if collapsed:
+        # A vertex collapses once, so all collapses make a forest no deeper than the rounds; halve its depth until flat.
+        known = cut(reduce(DataFrame.union, collapsed).withColumnRenamed("parent", "component"))
+        for _ in range((len(collapsed) - 1).bit_length()):
+            above = known.select(F.col("vertex").alias("component"), F.col("component").alias("root"))
+            known = cut(known.join(above, "component", "left").select("vertex", F.coalesce("root", "component").alias("component")))
     lone = alone.select("vertex", F.col("vertex").alias("component"))
     if known is None:
         return lone.distinct()
