@@ -28,9 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and forget its lineage with a reliable checkpoint (small, iterated state)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise small, iterated state and forget its plan.
+
+    A written table rather than ``checkpoint()``: a checkpointed frame keeps the constraints of the plan it came from,
+    and over rounds of joins with ``coalesce`` those grow exponentially on the driver.
+    """
+    return stored(df)
 
 
 def stored(df: DataFrame) -> DataFrame:
