@@ -1,8 +1,8 @@
 """Registered queries of the core; each module has ``QUERIES`` and, where SQL can say the same, ``SQL``."""
 
-from spotlake.plans import quality
+from spotlake.plans import measure, quality, reviews
 
-MODULES = [quality]
+MODULES = [quality, measure, reviews]
 
 
 def queries() -> dict:
