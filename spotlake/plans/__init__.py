@@ -1,8 +1,8 @@
 """Registered queries of the core; each module has ``QUERIES`` and, where SQL can say the same, ``SQL``."""
 
-from spotlake.plans import measure, quality, reviews
+from spotlake.plans import events, measure, quality, reviews
 
-MODULES = [quality, measure, reviews]
+MODULES = [quality, measure, reviews, events]
 
 
 def queries() -> dict:
