@@ -2,7 +2,7 @@
 
 The corpus is read once for the n-grams of the evaluation items; their counts over all documents tell which are rare.
 Of every window of an item long enough to hold a passage, the rarest n-gram seeds candidates, so no shared passage is
-missed. Around the seeds, item and document are aligned word by word.
+missed; n-grams that no document holds are no seeds. Around the seeds, item and document are aligned word by word.
 """
 
 from __future__ import annotations
@@ -145,9 +145,9 @@ def _block(docs: DataFrame, items: list[tuple[int, np.ndarray]], passage: int, b
         return spark.createDataFrame([], result)
     hits = stored(docs.mapInArrow(_hits(rows["gram"].to_numpy().view(np.uint64), n), "id bigint, gram bigint, at bigint"))
     counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    table = spark.createDataFrame(rows).join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    # Of every window that could hold the passage, the rarest n-gram.
-    window = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, passage - n)
+    # Of every window that could hold the passage, the rarest n-gram that occurs at all (in a shared passage, all do).
+    table = spark.createDataFrame(rows).join(counts, "gram")
+    window = Window.partitionBy("item").orderBy("ipos").rangeBetween(0, passage - n)
     seeds = table.withColumn("seed", F.min(F.struct("n", "ipos", "gram")).over(window)).select("item", "seed.gram", "seed.ipos").distinct()
     longest = max(len(w) for _, w in items)
     stretch = 4 * longest
