@@ -92,23 +92,24 @@ def structured(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, text: str =
     its records are 'column_count'.
     """
     pieces, n = F.col("__p"), F.size("__p")
+    first, last = pieces[0], F.element_at(pieces, -1)
+    # The lambdas below see single pieces only: a reference to the whole array would be evaluated once per piece.
+    middle = F.when(n >= 3, F.slice(pieces, 2, n - 2)).otherwise(F.array().cast("array<string>"))
+    ends_well = lambda p: (p == "") | p.endswith(",")
+    starts_well = lambda p: (p == "") | p.startswith(",")
+    safe = lambda p: F.replace(p, F.lit("\x01"), F.lit("\x01a"))
 
     def closed(p: Column, i: Column) -> Column:
-        before = (i == 0) | (p == "") | p.startswith(",")
-        after = (i == n - 1) | (p == "") | p.endswith(",")
-        return (i % 2 == 1) | (before & after)
+        return (i % 2 == 0) | (ends_well(p) & starts_well(p))
 
     def marked(p: Column, i: Column) -> Column:
         # Inside quotes a comma becomes \x01b, so that splitting at commas leaves it alone; \x01 itself becomes \x01a.
-        safe = F.replace(p, F.lit("\x01"), F.lit("\x01a"))
-        return (
-            F.when(i % 2 == 1, F.replace(safe, F.lit(","), F.lit("\x01b")))
-            .when((p == "") & (i > 0) & (i < n - 1), F.lit('"'))
-            .otherwise(safe)
-        )
+        return F.when(i % 2 == 0, F.replace(safe(p), F.lit(","), F.lit("\x01b"))).when(p == "", F.lit('"')).otherwise(safe(p))
 
-    sound = (n % 2 == 1) & F.forall(F.transform(pieces, closed), lambda x: x)
-    split = F.split(F.array_join(F.transform(pieces, marked), ""), ",", -1)
+    quoted = (n % 2 == 1) & ends_well(first) & starts_well(last) & F.forall(F.transform(middle, closed), lambda x: x)
+    sound = F.when(n == 1, True).otherwise(quoted)
+    text_ = F.when(n == 1, safe(first)).otherwise(F.concat(safe(first), F.array_join(F.transform(middle, marked), ""), safe(last)))
+    split = F.split(text_, ",", -1)
     plain = F.transform(split, lambda f: F.replace(F.replace(f, F.lit("\x01b"), F.lit(",")), F.lit("\x01a"), F.lit("\x01")))
     expected = F.lit(None).cast("int")
     for layout in layouts:
