@@ -151,7 +151,8 @@ def _block(docs: DataFrame, items: list[tuple[int, np.ndarray]], passage: int, b
     seeds = table.withColumn("seed", F.min(F.struct("n", "ipos", "gram")).over(window)).select("item", "seed.gram", "seed.ipos").distinct()
     longest = max(len(w) for _, w in items)
     stretch = 4 * longest
-    found = hits.join(F.broadcast(seeds.select("item", "gram").distinct()), "gram")
+    marks = seeds.select("item", "gram").distinct()
+    found = hits.join(F.broadcast(marks) if len(rows) <= 10 * broadcast_rows else marks, "gram")
     places = found.select("item", "id", F.floor(F.col("at") / stretch).alias("place")).distinct()
     per_doc = stored(places.groupBy("id").agg(F.collect_list(F.struct("item", "place")).alias("places")))
     if per_doc.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= broadcast_rows:
