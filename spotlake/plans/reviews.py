@@ -149,7 +149,7 @@ def wafer_metrics(spark, d):
     keys = _autos(spark, d).select(F.col("a").alias("ia"), F.col("key").alias("ka"))
     other = _reviewed(spark, d).select(F.col("b").alias("ib"), F.col("key").alias("kb"))
     rows = out.join(keys, F.col("a") == F.col("ia"), "left").join(other, F.col("b") == F.col("ib"), "left").withColumn("image_id", F.coalesce("ka", "kb"))
-    return val.outcome_metrics(rows, ["image_id"])
+    return val.outcome_metrics(rows, ["image_id"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 def bland_altman(spark, d):
@@ -314,7 +314,7 @@ _NEAREST = "SELECT a, b, distance FROM near QUALIFY row_number() OVER (PARTITION
 _CAND = "(SELECT DISTINCT run_id, defect_id, {0} FROM candidates)"
 
 
-def _cascade() -> str:
+def _cascade(select: str) -> str:
     """The staged matching, a chain of common table expressions per stage."""
     stages = [("'confirmed_point'", "TP")] + [(f"'{x}'", "FP") for x in sorted(rev.NEGATIVE)] + [(f"'{x}'", "indeterminate") for x in sorted(rev.INDETERMINATE)]
     out, used = [], ""
@@ -324,9 +324,8 @@ def _cascade() -> str:
         best = f"""SELECT a, b, '{outcome}' AS outcome FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS i, row_number() OVER (PARTITION BY b ORDER BY distance, a) AS j FROM s{i}) WHERE i = 1 AND j = 1"""
         out.append(f"u{i} AS ({best}{f' UNION ALL SELECT * FROM u{i - 1}' if i else ''})")
         used = f"u{i}"
-    return f"""WITH {_NEAR}, {', '.join(out)}, every AS (SELECT outcome FROM {used} UNION ALL SELECT 'FP' FROM (SELECT DISTINCT a FROM autos) WHERE a NOT IN (SELECT a FROM {used})
-        UNION ALL SELECT 'FN' FROM (SELECT DISTINCT b FROM reviewed WHERE label = 'confirmed_point') WHERE b NOT IN (SELECT b FROM {used}))
-        SELECT outcome, count(*) AS n FROM every GROUP BY 1"""
+    return f"""WITH {_NEAR}, {', '.join(out)}, every AS (SELECT a, b, outcome FROM {used} UNION ALL SELECT a, NULL, 'FP' FROM (SELECT DISTINCT a FROM autos) WHERE a NOT IN (SELECT a FROM {used})
+        UNION ALL SELECT NULL, b, 'FN' FROM (SELECT DISTINCT b FROM reviewed WHERE label = 'confirmed_point') WHERE b NOT IN (SELECT b FROM {used})) {select}"""
 
 
 SQL = {
@@ -352,7 +351,21 @@ SQL = {
     "proximity_pairs": f"WITH {_NEAR} SELECT a, b, round(distance, 6) AS distance FROM near",
     "nearest_reference": f"WITH {_NEAR} SELECT a, b, round(distance, 6) AS distance FROM ({_NEAREST})",
     "match_mutual": f"WITH {_NEAR}, n AS ({_NEAREST}), m AS (SELECT a, b FROM near QUALIFY row_number() OVER (PARTITION BY b ORDER BY distance, a) = 1) SELECT n.a, n.b, round(distance, 6) AS distance FROM n JOIN m ON n.a = m.a AND n.b = m.b",
-    "match_cascade": _cascade(),
+    "match_cascade": _cascade("SELECT outcome, count(*) AS n FROM every GROUP BY 1"),
+    "wafer_metrics": _cascade("""
+        , n AS (SELECT coalesce(o.key, r.key) AS image_id, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn,
+            count(*) FILTER (outcome = 'indeterminate') AS indeterminate FROM every e LEFT JOIN autos o ON e.a = o.a LEFT JOIN reviewed r ON e.b = r.b GROUP BY 1),
+        q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM n)
+        SELECT image_id, tp, fp, fn, indeterminate, round(precision, 6) AS precision, round(recall, 6) AS recall, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 6) END AS f1 FROM q"""),
+    "dedup_groups": """WITH RECURSIVE c AS (SELECT run_id || '/' || defect_id AS id, image_id AS key, run_id AS tile, centroid_x_px AS x, centroid_y_px AS y, bounding_box::DOUBLE[] AS b,
+            CASE WHEN isnan(distance_to_valid_boundary_mm) THEN 0.0 ELSE coalesce(distance_to_valid_boundary_mm, 0.0) END AS core, area_px AS area
+            FROM (SELECT DISTINCT run_id, defect_id, image_id, centroid_x_px, centroid_y_px, bounding_box, distance_to_valid_boundary_mm, area_px FROM candidates)
+            WHERE len(bounding_box) = 4 AND centroid_x_px IS NOT NULL AND centroid_y_px IS NOT NULL AND NOT isnan(centroid_x_px) AND NOT isnan(centroid_y_px)),
+        p AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, greatest(0, least(a.b[3], b.b[3]) - greatest(a.b[1], b.b[1])) * greatest(0, least(a.b[4], b.b[4]) - greatest(a.b[2], b.b[2])) AS common,
+            (a.b[3] - a.b[1]) * (a.b[4] - a.b[2]) + (b.b[3] - b.b[1]) * (b.b[4] - b.b[2]) AS size FROM c a JOIN c b ON a.key = b.key AND a.tile <> b.tile),
+        e AS (SELECT a, b FROM p WHERE d2 <= 9 OR common / (size - common) >= 0.3),
+        reach(a, b) AS (SELECT id, id FROM c UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), g AS (SELECT a AS id, min(b) AS grp FROM reach GROUP BY 1)
+        SELECT id, grp AS "group", row_number() OVER (PARTITION BY grp ORDER BY core DESC, area DESC, id) = 1 AS kept FROM c JOIN g USING (id)""",
     "semi_matched": f"WITH {_NEAR} SELECT key, count(*) AS n FROM autos WHERE a IN (SELECT a FROM near) GROUP BY 1",
     "anti_unmatched": f"WITH {_NEAR} SELECT key, count(*) AS n FROM autos WHERE a NOT IN (SELECT a FROM near) GROUP BY 1",
     "bland_altman": f"""WITH r AS (SELECT lower(source_image_sha256) AS sha, max(valid_analysis_area_cm2) AS area, max(accepted_count) AS found FROM run_catalog WHERE valid_analysis_area_cm2 > 0 AND source_image_sha256 IS NOT NULL GROUP BY 1),
