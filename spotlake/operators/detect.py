@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spotlake.functions.geometry import aspect_ratio, circularity, edge_distance_mm, wafer_coordinates
 from spotlake.functions.scalars import with_poisson_interval
 from spotlake.kernels import image as k
+from spotlake.kernels.forest import predict
 from spotlake.operators.density import rates
 from spotlake.operators.rules import Limits, reasons
 from spotlake.operators.scale import stored
@@ -37,11 +38,20 @@ def wafer_mask(row, edge_px: float = 0.0) -> np.ndarray:
     return (x - row.cx) ** 2 + (y - row.cy) ** 2 <= max(0.0, row.radius - edge_px) ** 2
 
 
+def valid_mask(row, edge_px: float) -> np.ndarray:
+    """The wafer less its edge band and less the invalid rectangles (half open) of the image."""
+    mask = wafer_mask(row, edge_px)
+    for b in row.boxes if row.boxes is not None else ():
+        x0, y0, x1, y1 = (max(0, int(v)) for v in (b[0] - row.x0, b[1] - row.y0, b[2] - row.x0, b[3] - row.y0))
+        mask[y0:y1, x0:x1] = False
+    return mask
+
+
 def _response(row, edge_px: float, background: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = k.as_float01(pixels(row))
     full = wafer_mask(row)
     dark, back = k.dark_response(raw, full, background)
-    return raw, dark, back, wafer_mask(row, edge_px)
+    return raw, dark, back, valid_mask(row, edge_px)
 
 
 def tile_histograms(tiles: DataFrame, edge_px: float, background: int, bins: int = 256) -> DataFrame:
@@ -71,14 +81,18 @@ def thresholds(histograms: DataFrame, offset: float = 0.0, least: float = 0.02,
     return histograms.groupBy("image_id").applyInPandas(one, "image_id string, cut double")
 
 
-def detect(tiles: DataFrame, edge_px: float, background: int, min_area: int, watershed: bool = True) -> DataFrame:
-    """Candidates of every tile (geometry and ``cut`` are columns of ``tiles``), those of its core only, in image coordinates."""
+def detect(tiles: DataFrame, edge_px: float, background: int, min_area: int, watershed: bool = True, trees: list | None = None) -> DataFrame:
+    """Candidates of every tile (geometry and ``cut`` are columns of ``tiles``), those of its core only, in image coordinates.
+
+    A response counts above the cut; with ``trees`` (a forest of bounded size) the probability of a pixel from the cut on.
+    """
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
                 raw, dark, back, valid = _response(row, edge_px, background)
-                labels, n = k.clean((dark > row.cut) & valid, min_area)
+                hit = dark > row.cut if trees is None else predict(trees, k.pixel_features(raw).reshape(raw.size, -1)).reshape(raw.shape) >= row.cut
+                labels, n = k.clean(hit & valid, min_area)
                 if watershed:
                     labels, n = k.split_touching(labels, n)
                 found = pd.DataFrame(k.measure(labels, n, raw, dark, back, np.zeros_like(dark)))
@@ -97,33 +111,50 @@ def detect(tiles: DataFrame, edge_px: float, background: int, min_area: int, wat
 
 
 def valid_area(tiles: DataFrame, edge_px: float) -> DataFrame:
-    """Full, edge and valid pixels per image from core partial counts; full = edge + valid."""
+    """Full, edge, invalid and valid pixels per image from core partial counts; full = edge + invalid + valid."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
                 y, x = row.core_y - row.y0, row.core_x - row.x0
                 core = np.s_[y : y + row.core_h, x : x + row.core_w]
-                full, valid = int(wafer_mask(row)[core].sum()), int(wafer_mask(row, edge_px)[core].sum())
-                yield pd.DataFrame({"image_id": [row.image_id], "full_px": [full], "valid_px": [valid], "scale": [row.mm_per_px]})
+                full, inner, valid = (int(m[core].sum()) for m in (wafer_mask(row), wafer_mask(row, edge_px), valid_mask(row, edge_px)))
+                yield pd.DataFrame({"image_id": [row.image_id], "full_px": [full], "inner_px": [inner], "valid_px": [valid], "scale": [row.mm_per_px]})
 
     slim = tiles.drop("px")
-    sums = slim.mapInPandas(count, "image_id string, full_px bigint, valid_px bigint, scale double").groupBy("image_id")
-    out = sums.agg(F.sum("full_px").alias("full_px"), F.sum("valid_px").alias("valid_px"), F.first("scale").alias("scale"))
-    return out.select("image_id", "full_px", (F.col("full_px") - F.col("valid_px")).alias("edge_px"), "valid_px", (F.col("valid_px") * F.col("scale") * F.col("scale") / 100).alias("area_cm2"))
+    sums = slim.mapInPandas(count, "image_id string, full_px bigint, inner_px bigint, valid_px bigint, scale double").groupBy("image_id")
+    out = sums.agg(*[F.sum(c).alias(c) for c in ("full_px", "inner_px", "valid_px")], F.first("scale").alias("scale"))
+    return out.select(
+        "image_id", "full_px", (F.col("full_px") - F.col("inner_px")).alias("edge_px"), (F.col("inner_px") - F.col("valid_px")).alias("invalid_px"), "valid_px",
+        (F.col("valid_px") * F.col("scale") * F.col("scale") / 100).alias("area_cm2"),
+    )
 
 
-def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), edge_px: float = 8.0, background: int = 41, offset: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), edge_px: float = 8.0, background: int = 41, offset: float = 0.0,
+            invalid: DataFrame | None = None, trees: list | None = None, probability: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(candidates, densities) of tiles and their geometry (``image_id``, ``cx``, ``cy``, ``radius``, ``mm_per_px``).
 
-    No candidate is dropped: rejected ones keep their reasons. Images without geometry give nothing.
+    No candidate is dropped: rejected ones keep their reasons. Images without geometry give nothing. ``invalid`` has
+    rectangles (``image_id``, ``x0``, ``y0``, ``x1``, ``y1``, half open, in pixels) that count neither as area nor for
+    candidates; ones with a null are ignored. With ``trees``, pixels of at least ``probability`` make candidates.
     """
+    boxes = "array<array<int>>"
+    if invalid is None:
+        geometry = geometry.withColumn("boxes", F.lit(None).cast(boxes))
+    else:
+        box = F.array(F.floor("x0"), F.floor("y0"), F.ceil("x1"), F.ceil("y1")).cast("array<int>")
+        lists = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).groupBy("image_id").agg(F.collect_list(box).cast(boxes).alias("boxes"))
+        geometry = geometry.join(lists, "image_id", "left")
     tiles = tiles.join(F.broadcast(geometry) if geometry.limit(10_001).count() <= 10_000 else geometry, "image_id")
     # Tiles that the wafer does not touch are dropped before they are decoded.
     gap = lambda lo, n, c: F.greatest(F.col(lo) - F.col(c), F.lit(0.0), F.col(c) - (F.col(lo) + F.col(n)))
     tiles = tiles.where(F.hypot(gap("core_x", "core_w", "cx"), gap("core_y", "core_h", "cy")) <= F.col("radius"))
-    cuts = stored(thresholds(tile_histograms(tiles, edge_px, background), offset))
-    found = detect(tiles.join(F.broadcast(cuts) if cuts.limit(10_001).count() <= 10_000 else cuts, "image_id"), edge_px, background, int(limits.min_area_px))
+    if trees is None:
+        cuts = stored(thresholds(tile_histograms(tiles, edge_px, background), offset))
+        tiles = tiles.join(F.broadcast(cuts) if cuts.limit(10_001).count() <= 10_000 else cuts, "image_id")
+    else:
+        tiles = tiles.withColumn("cut", F.lit(float(probability)))
+    found = detect(tiles, edge_px, background, int(limits.min_area_px), trees=trees)
     found = stored(found).join(geometry, "image_id")
     found = found.withColumns(wafer_coordinates("centroid_x_px", "centroid_y_px", "cx", "cy", "mm_per_px"))
     found = found.withColumns({
@@ -131,7 +162,7 @@ def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), ed
         "circularity": circularity("area_px", "perimeter_px"), "contrast": F.col("local_background_gray") - F.col("mean_gray_raw"),
         "distance_to_wafer_edge_mm": edge_distance_mm("radius", F.hypot(F.col("centroid_x_px") - F.col("cx"), F.col("centroid_y_px") - F.col("cy")), "mm_per_px"),
     })
-    found = found.withColumn("reasons", reasons(limits)).withColumn("accepted", F.size("reasons") == 0).drop("cx", "cy", "radius")
+    found = found.withColumn("reasons", reasons(limits)).withColumn("accepted", F.size("reasons") == 0).drop("cx", "cy", "radius", "boxes")
     counts = found.groupBy("image_id").agg(F.count_if("accepted").alias("count"), F.count_if(~F.col("accepted")).alias("rejected"))
     areas = valid_area(tiles, edge_px).join(counts, "image_id", "left").fillna(0, ["count", "rejected"])
     return found, with_poisson_interval(rates(areas), "count")

@@ -39,8 +39,8 @@ def asof_previous(spark, d):
 def sales_rollup(spark, d):
     """Revenue by region and nation with their totals."""
     line = table(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
-    supp = table(spark, d, "supplier", "s_suppkey", "s_nationkey").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    supp = supp.join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    supp = table(spark, d, "supplier", "s_suppkey", "s_nationkey").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    supp = supp.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = line.groupBy("l_suppkey").agg(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(20,4)")).alias("part")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
     out = rows.rollup("r_name", "n_name").agg(F.sum("part").alias("revenue"), F.grouping_id().cast("int").alias("level"))
     return out.withColumn("revenue", F.round(F.col("revenue").cast("double"), 2))

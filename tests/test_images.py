@@ -107,7 +107,7 @@ def test_detection_finds_every_spot_and_tiling_does_not_matter(spark, tmp_path):
     for got, d in results:
         assert len(got) == len(spots) == d["count"]
         assert all(min(np.hypot(x - u, y - v) for u, v in got) < 1.5 for x, y in spots)
-        assert d.full_px == d.edge_px + d.valid_px and d.density_cm2 == pytest.approx(d["count"] / d.area_cm2) and d.poisson_lower < d["count"] < d.poisson_upper
+        assert d.full_px == d.edge_px + d.valid_px and d.invalid_px == 0 and d.density_cm2 == pytest.approx(d["count"] / d.area_cm2) and d.poisson_lower < d["count"] < d.poisson_upper
     assert results[0][1].valid_px == results[1][1].valid_px
     assert len(set(results[0][0]) & set(results[1][0])) >= len(spots) - 3
 
@@ -137,3 +137,26 @@ def test_circle_fit_ignores_outliers():
     x[:6] += 15
     cx, cy, r, _ = image.fit_circle(y, x)
     assert abs(cx - 50) < 0.6 and abs(cy - 40) < 0.3 and abs(r - 30) < 0.4
+
+
+def test_invalid_rectangles_and_a_pixel_model(spark, tmp_path):
+    a, spots = scene(25, 256, 5)
+    np.save(tmp_path / "im.npy", a)
+    geometry = spark.createDataFrame([("im", 128.0, 128.0, 115.0, 0.2)], "image_id string, cx double, cy double, radius double, mm_per_px double")
+    tiles = read_tiles(spark, [str(tmp_path / "im.npy")], 128, 40)
+    invalid = spark.createDataFrame([("im", 0, 0, 128, 256), ("im", None, 0, 5, 5), ("other", 0, 0, 9, 9)], "image_id string, x0 int, y0 int, x1 int, y1 int")
+    found, densities = analyse(tiles, geometry, background=21, invalid=invalid)
+    assert found.where("accepted and centroid_x_px < 127").count() == 0 and found.where("accepted").count() >= 5
+    d = densities.first()
+    assert d.full_px == d.edge_px + d.invalid_px + d.valid_px and d.invalid_px > 10_000
+    y, x = np.mgrid[:256, :256]
+    near = np.min([np.hypot(x - u, y - v) for u, v in spots], axis=0)
+    features = image.pixel_features(image.as_float01(a)).reshape(256 * 256, -1)
+    inside = (np.hypot(x - 128, y - 128) < 105).ravel()
+    rng = np.random.default_rng(0)
+    pick = np.concatenate([rng.choice(np.flatnonzero(m.ravel() & inside), 400) for m in (near < 2.0, near > 6.0)])
+    rows = [(i, features[p].tolist(), int(i < 400)) for i, p in enumerate(pick)]
+    model = forest.train(spark.createDataFrame(rows, "id bigint, x array<double>, y int"), trees=8)
+    trees = [[tuple(n) for n in r.nodes] for r in model.orderBy("tree").collect()]
+    got = [(r.centroid_x_px, r.centroid_y_px) for r in analyse(tiles, geometry, background=21, trees=trees)[0].where("accepted").collect()]
+    assert np.mean([min(np.hypot(u - p, v - q) for p, q in got) < 2 for u, v in spots]) > 0.9
