@@ -3,7 +3,7 @@
 from spotlake.llm import label_queries, label_sql, number_queries, text_queries
 
 QUERIES = {**label_queries.QUERIES, **number_queries.QUERIES, **text_queries.QUERIES}
-SQL = {**label_sql.SQL, **number_queries.SQL}
+SQL = {**label_sql.SQL, **number_queries.SQL, **text_queries.SQL}
 
 
 def queries() -> dict:

@@ -96,14 +96,16 @@ def factor(blocks: pd.DataFrame, least: int) -> pd.DataFrame:
 
 
 def shared_spans(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, rows_each: int = 8_000, hot: int = 8_000, broadcast_blocks: int = 200_000
-) -> DataFrame:
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, rows_each: int = 8_000, hot: int = 8_000,
+    windows_each: int = 1_500_000, broadcast_blocks: int = 200_000,
+) -> DataFrame:
     """(``id_col``, ``start``, ``end``): the maximal spans of each text made of passages of ``least`` characters that
     also stand in the text of another id. Positions are code points, end exclusive.
 
     Ids must be integers; repeated rows of one id are one record with that id (a passage is shared only between ids).
-    Null, empty and short texts have no spans. Keys that more than ``hot`` blocks need to compare are compared by
-    shuffling their window hashes instead of in one task.
+    Null, empty and short texts have no spans. Keys with more than ``hot`` blocks or ``windows_each`` windows to
+    compare (a block of repeated characters can be as long as its text) are compared by shuffling their window hashes
+    instead of in one task.
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     rows = docs.mapInPandas(lambda parts: _index(parts, least), "id bigint, key bigint, digest bigint, start bigint, windows bigint")
@@ -118,7 +120,7 @@ def shared_spans(
     holders = judged.where("whole and id = first").groupBy("key", "digest").agg(F.min_by(F.struct("id", "start", "windows"), "start").alias("h"))
     held = holders.join(torn, "key", "left_semi").select("key", "h.*", F.lit(True).alias("whole"))
     wanted = stored(judged.where("not whole").select("key", "id", "start", "windows", "whole").unionByName(held))
-    total = wanted.count()
+    total, windows = wanted.agg(F.count("*"), F.coalesce(F.sum("windows"), F.lit(0))).first()
     by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "start", "windows", "whole")).alias("blocks"))
     if total <= broadcast_blocks:
         by_doc = F.broadcast(by_doc)
@@ -135,9 +137,9 @@ def shared_spans(
 
     shape = "key bigint, id bigint, start bigint, windows bigint, whole boolean, text string"
     fetched = docs.join(by_doc, "id").mapInPandas(pick, shape)
-    crowded = wanted.groupBy("key").count().where(F.col("count") > hot).select("key")
-    crowded = stored(crowded)
-    n = max(1, total // rows_each)
+    loads = wanted.groupBy("key").agg(F.count("*").alias("n"), F.sum("windows").alias("w"))
+    crowded = stored(loads.where((F.col("n") > hot) | (F.col("w") > windows_each)).select("key"))
+    n = max(1, total // rows_each, windows // windows_each)
     parts = []
     if crowded.limit(1).count():
         fetched = stored(fetched)

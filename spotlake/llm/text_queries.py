@@ -67,3 +67,29 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_copies, p7_items, p8_mixture, p8_shares, p9_found, p9_spans, p9_shared)}
+
+_WINDOWS = f"""
+w AS (SELECT doc_id, i, hash(text[i:i + {PASSAGE_CHARS - 1}]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {PASSAGE_CHARS - 2})) AS i FROM documents)),
+held AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, i FROM w SEMI JOIN held USING (h)),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {PASSAGE_CHARS} THEN 0 ELSE 1 END AS fresh FROM hit),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, min(i) - 1 AS start, max(i) - 1 + {PASSAGE_CHARS} AS "end" FROM numbered GROUP BY doc_id, span)
+"""
+
+
+def _grams(name: str, own: str) -> str:
+    # Words are ASCII, so lower() touches A-Z only.
+    words = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))"
+    return f"""SELECT DISTINCT {own}, array_to_string(w[i:i + {PASSAGE_WORDS - 1}], ' ') AS g
+    FROM (SELECT {own}, w, unnest(range(1, len(w) - {PASSAGE_WORDS - 2})) AS i FROM (SELECT {own}, {words} AS w FROM {name}))"""
+
+
+SQL = {
+    "p7_found": f"WITH a AS ({_grams('eval_items', 'item_id')}), b AS ({_grams('documents', 'doc_id')}) SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (g)",
+    "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM spans",
+    "p9_spans": f"WITH {_WINDOWS} SELECT * FROM spans",
+    "p9_shared": f"""WITH {_WINDOWS}, s AS (SELECT doc_id, sum("end" - start)::BIGINT AS shared_chars, count(*) AS spans FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(s.spans, 0) AS spans,
+    CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(shared_chars, 0)::DOUBLE / length(text) END AS share FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""",
+}
