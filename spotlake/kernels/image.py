@@ -92,20 +92,124 @@ def opening(a: np.ndarray, size: int) -> np.ndarray:
     return disc_extreme(disc_extreme(a, size, True), size, False)
 
 
-def dark_response(a: np.ndarray, valid: np.ndarray | None = None, background: int = 101, sigma: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def dark_response(a: np.ndarray, valid: np.ndarray | None = None, background: int = 101, sigma: float = 1.0, contrast: float = 0.0, stripes: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(response, background): how much darker than its closed surroundings; 0 outside the valid mask.
 
-    Invalid pixels are filled with the median of the valid ones; then median, Gaussian and closing.
+    Invalid pixels are filled with the median of the valid ones; then, if asked for, local equalisation (clipped at
+    ``contrast``) and stripe suppression over ``stripes`` pixels; then median, Gaussian and closing.
     """
     a = a.astype(np.float32)
     if valid is not None and not valid.all():
         a = np.where(valid, a, np.median(a[valid]) if valid.any() else 0).astype(np.float32)
+    if contrast:
+        a = clahe(a, contrast)
+    if stripes:
+        a = suppress_stripes(a, stripes)
     work = gaussian(median3(a), sigma).astype(np.float32)
     back = closing(work, background)
     out = np.maximum(back - work, 0)
     return (out if valid is None else np.where(valid, out, 0)), back
 
 
+def blackhat(a: np.ndarray, sizes: tuple[int, ...] = (9, 17, 31)) -> np.ndarray:
+    """How much darker a pixel is than its surroundings closed at several scales, the greatest of them."""
+    out = np.zeros(a.shape, a.dtype)
+    for size in sizes:
+        np.maximum(out, closing(a, size) - a, out=out)
+    return out
+
+
+def clahe(a: np.ndarray, clip: float = 2.0, grid: int = 8, bins: int = 256) -> np.ndarray:
+    """Contrast-limited local equalisation of values in [0, 1]: clipped histograms on a grid, blended between its cells."""
+    levels = np.rint(np.clip(a, 0, 1) * (bins - 1)).astype(int)
+    h, w = a.shape
+    sh, sw = -(-h // grid), -(-w // grid)
+    padded = np.pad(levels, ((0, sh * grid - h), (0, sw * grid - w)), mode="reflect" if min(h, w) > grid else "edge")
+    limit = max(1, int(clip * sh * sw / bins))
+    curves = np.empty((grid, grid, bins))
+    for i in range(grid):
+        for j in range(grid):
+            n = np.bincount(padded[i * sh : (i + 1) * sh, j * sw : (j + 1) * sw].ravel(), minlength=bins)
+            extra = int(np.maximum(n - limit, 0).sum())
+            n = np.minimum(n, limit) + extra / bins
+            curves[i, j] = np.cumsum(n) / (sh * sw)
+    y, x = (np.arange(h) + 0.5) / sh - 0.5, (np.arange(w) + 0.5) / sw - 0.5
+    i, j = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = (y - i)[:, None], (x - j)[None, :]
+    at = lambda di, dj: curves[np.clip(i + di, 0, grid - 1)[:, None], np.clip(j + dj, 0, grid - 1)[None, :], levels]
+    mixed = (1 - fy) * ((1 - fx) * at(0, 0) + fx * at(0, 1)) + fy * ((1 - fx) * at(1, 0) + fx * at(1, 1))
+    return np.clip(mixed, 0, 1).astype(np.float32)
+
+
+def blobs(a: np.ndarray, least: float = 1.0, most: float = 6.0, ratio: float = 1.6, threshold: float = 0.05, overlap: float = 0.5) -> list[tuple[int, int, float]]:
+    """(y, x, sigma) of the peaks of Gaussian differences over position and scale.
+
+    Of two discs of radius sqrt(2) sigma of which the smaller is covered by more than ``overlap``, the one of the greater
+    sigma stays.
+    """
+    n = int(np.log(most / least) / np.log(ratio) + 1)
+    sigmas = [least * ratio**i for i in range(n + 1)]
+    smooth = [gaussian(a, s) for s in sigmas]
+    cube = np.stack([(smooth[i] - smooth[i + 1]) / (ratio - 1) for i in range(n)])
+    p = np.pad(cube, 1, constant_values=-np.inf)
+    around = np.max([p[k : k + n, i : i + a.shape[0], j : j + a.shape[1]] for k in range(3) for i in range(3) for j in range(3)], axis=0)
+    found = [(int(y), int(x), float(sigmas[k])) for k, y, x in np.argwhere((cube == around) & (cube > threshold))]
+    kept: list[tuple[int, int, float]] = []
+    for y, x, s in sorted(found, key=lambda b: (-b[2], b[0], b[1])):
+        if all(_covered(np.hypot(y - v, x - u), np.sqrt(2) * t, np.sqrt(2) * s) <= overlap for v, u, t in kept):
+            kept.append((y, x, s))
+    return kept
+
+
+def _covered(d: float, large: float, small: float) -> float:
+    """Share of the smaller disc that lies in the larger one, centres ``d`` apart."""
+    if d >= large + small:
+        return 0.0
+    if d <= large - small:
+        return 1.0
+    a = np.arccos(np.clip((d * d + small**2 - large**2) / (2 * d * small), -1, 1))
+    b = np.arccos(np.clip((d * d + large**2 - small**2) / (2 * d * large), -1, 1))
+    area = small**2 * (a - np.sin(2 * a) / 2) + large**2 * (b - np.sin(2 * b) / 2)
+    return float(area / (np.pi * small**2))
+
+
+def blob_mask(a: np.ndarray, valid: np.ndarray, **how) -> np.ndarray:
+    """Discs around the blobs of the valid part."""
+    out = np.zeros(a.shape, bool)
+    for y, x, s in blobs(np.where(valid, a, 0), **how):
+        r = max(1, int(np.ceil(np.sqrt(2) * s)))
+        v, u = np.ogrid[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1]
+        v, u = v[: a.shape[0] - max(0, y - r)], u[:, : a.shape[1] - max(0, x - r)]
+        out[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1] |= (v - y) ** 2 + (u - x) ** 2 <= r * r
+    return out & valid
+
+
+def polygon_mask(shape: tuple[int, int], corners: np.ndarray, x0: float = 0.0, y0: float = 0.0) -> np.ndarray:
+    """Pixels whose centre lies inside a polygon (even-odd), or on its boundary's left or upper part."""
+    h, w = shape
+    crossed = np.zeros((h, w + 1), np.int64)
+    points = np.asarray(corners, float).reshape(-1, 2) - [x0, y0]
+    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0), strict=True):
+        low, high = (ay, by) if ay < by else (by, ay)
+        ys = np.arange(max(0, int(np.ceil(low))), min(h, int(np.ceil(high))))
+        if len(ys):
+            xs = ax + (ys - ay) * (bx - ax) / (by - ay)
+            np.add.at(crossed, (ys, np.clip(np.ceil(xs), 0, w).astype(int)), 1)
+    return np.cumsum(crossed, axis=1)[:, :w] % 2 == 1
+
+
+def ring_background(raw: np.ndarray, labels: np.ndarray, k: int, valid: np.ndarray, ring: int) -> float:
+    """Median of the valid pixels around component ``k`` that no component holds; NaN if there are none."""
+    ys, xs = np.nonzero(labels == k)
+    if not len(ys):
+        return float("nan")
+    part = np.s_[max(0, ys.min() - ring) : ys.max() + ring + 1, max(0, xs.min() - ring) : xs.max() + ring + 1]
+    own = labels[part] == k
+    near = disc_extreme(np.pad(own, ring).astype(np.float32), 2 * ring + 1, False)[ring:-ring, ring:-ring] > 0
+    values = raw[part][near & (labels[part] == 0) & valid[part]]
+    return float(np.median(values)) if len(values) else float("nan")
+
+
 def suppress_stripes(a: np.ndarray, size: int = 51) -> np.ndarray:
     """Row and column profiles (medians) less their own sliding median, taken out."""
     for axis in (1, 0):

@@ -6,6 +6,7 @@ Tiles are rows with a halo; every stage is one pass over them. A candidate belon
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from spotlake.functions.geometry import aspect_ratio, circularity, edge_distance
 from spotlake.functions.scalars import with_poisson_interval
 from spotlake.kernels import image as k
 from spotlake.kernels.forest import predict
+from spotlake.operators.boundary import nearest_distance
 from spotlake.operators.density import rates
 from spotlake.operators.rules import Limits, reasons
 from spotlake.operators.scale import stored
@@ -39,11 +41,13 @@ def wafer_mask(row, edge_px: float = 0.0) -> np.ndarray:
 
 
 def valid_mask(row, edge_px: float) -> np.ndarray:
-    """The wafer less its edge band and less the invalid rectangles (half open) of the image."""
+    """The wafer less its edge band and less the invalid rectangles (half open) and polygons of the image."""
     mask = wafer_mask(row, edge_px)
     for b in row.boxes if row.boxes is not None else ():
         x0, y0, x1, y1 = (max(0, int(v)) for v in (b[0] - row.x0, b[1] - row.y0, b[2] - row.x0, b[3] - row.y0))
         mask[y0:y1, x0:x1] = False
+    for corners in row.polygons if row.polygons is not None else ():
+        mask &= ~k.polygon_mask(mask.shape, np.array([list(c) for c in corners], float), row.x0, row.y0)
     return mask
 
 
@@ -110,6 +114,57 @@ def detect(tiles: DataFrame, edge_px: float, background: int, min_area: int, wat
     return tiles.mapInPandas(find, DETECTED)
 
 
+def boundary_points(tiles: DataFrame, edge_px: float) -> DataFrame:
+    """(key, x, y): the pixels outside the valid mask (or the image) next to a valid one; no pixel values are needed."""
+
+    def border(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                around = {"x0": row.core_x - 1, "y0": row.core_y - 1, "w": row.core_w + 2, "h": row.core_h + 2}
+                mask = valid_mask(SimpleNamespace(**(row._asdict() | around)), edge_px)
+                y, x = np.arange(around["h"]) + around["y0"], np.arange(around["w"]) + around["x0"]
+                mask &= ((y >= 0) & (y < row.image_h))[:, None] & ((x >= 0) & (x < row.image_w))[None, :]
+                own = np.pad(mask[1:-1, 1:-1], 2)
+                near = own[:-2, 1:-1] | own[2:, 1:-1] | own[1:-1, :-2] | own[1:-1, 2:]
+                v, u = np.nonzero(near & ~mask)
+                yield pd.DataFrame({"key": row.image_id, "x": x[u].astype(float), "y": y[v].astype(float)})
+
+    return tiles.drop("px").mapInPandas(border, "key string, x double, y double").distinct()
+
+
+def crops(tiles: DataFrame, candidates: DataFrame, half: int = 32, tile: int = 1024) -> DataFrame:
+    """The columns of ``candidates`` with ``crop_x0``, ``crop_y0``, ``crop_w``, ``crop_h``, ``dtype`` and ``px``: raw pixels around each.
+
+    ``candidates`` needs ``image_id``, ``centroid_x_px`` and ``centroid_y_px``; one outside the image or without a centre has no crop.
+    Crops end at the image and at the halo of the tile that owns the centre, so the halo should be at least ``half``.
+    """
+    if half < 2:
+        raise ValueError("half must be at least 2")
+    own = [c for c in candidates.columns if c != "image_id"]
+    at = lambda c: (F.floor(F.col(c) / tile) * tile).cast("int")
+    placed = candidates.where("centroid_x_px is not null and centroid_y_px is not null and not isnan(centroid_x_px) and not isnan(centroid_y_px)")
+    placed = placed.select("image_id", at("centroid_x_px").alias("core_x"), at("centroid_y_px").alias("core_y"), F.struct(*own).alias("__c"))
+    names = ["crop_x0", "crop_y0", "crop_w", "crop_h", "dtype", "px"]
+    shape = f"image_id string, __c {placed.schema['__c'].dataType.simpleString()}, crop_x0 int, crop_y0 int, crop_w int, crop_h int, dtype string, px binary"
+
+    def cut_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                whole = pixels(row)
+                for c in row.found:
+                    x, y = int(np.floor(c["centroid_x_px"])) - row.x0, int(np.floor(c["centroid_y_px"])) - row.y0
+                    left, top = max(0, x - half), max(0, y - half)
+                    a = whole[top : y + half, left : x + half]
+                    out.append((row.image_id, c, left + row.x0, top + row.y0, a.shape[1], a.shape[0], row.dtype, np.ascontiguousarray(a).tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "__c", *names])
+
+    # A tile's candidates are bounded by its area, so they travel with it in one list.
+    lists = placed.groupBy("image_id", "core_x", "core_y").agg(F.collect_list("__c").alias("found"))
+    cut_ = tiles.join(lists, ["image_id", "core_x", "core_y"]).mapInPandas(cut_out, shape)
+    return cut_.select("image_id", "__c.*", *names)
+
+
 def valid_area(tiles: DataFrame, edge_px: float) -> DataFrame:
     """Full, edge, invalid and valid pixels per image from core partial counts; full = edge + invalid + valid."""
 
@@ -131,12 +186,14 @@ def valid_area(tiles: DataFrame, edge_px: float) -> DataFrame:
 
 
 def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), edge_px: float = 8.0, background: int = 41, offset: float = 0.0,
-            invalid: DataFrame | None = None, trees: list | None = None, probability: float = 0.5) -> tuple[DataFrame, DataFrame]:
+            invalid: DataFrame | None = None, trees: list | None = None, probability: float = 0.5, polygons: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, densities) of tiles and their geometry (``image_id``, ``cx``, ``cy``, ``radius``, ``mm_per_px``).
 
     No candidate is dropped: rejected ones keep their reasons. Images without geometry give nothing. ``invalid`` has
     rectangles (``image_id``, ``x0``, ``y0``, ``x1``, ``y1``, half open, in pixels) that count neither as area nor for
-    candidates; ones with a null are ignored. With ``trees``, pixels of at least ``probability`` make candidates.
+    candidates, ``polygons`` (``image_id``, ``corners`` as pairs x, y) likewise; ones with a null are ignored. Where either is
+    given, distances to the valid boundary are those to the nearest pixel that does not count, else to the circle.
+    With ``trees``, pixels of at least ``probability`` make candidates.
     """
     boxes = "array<array<int>>"
     if invalid is None:
@@ -145,6 +202,11 @@ def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), ed
         box = F.array(F.floor("x0"), F.floor("y0"), F.ceil("x1"), F.ceil("y1")).cast("array<int>")
         lists = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).groupBy("image_id").agg(F.collect_list(box).cast(boxes).alias("boxes"))
         geometry = geometry.join(lists, "image_id", "left")
+    if polygons is None:
+        geometry = geometry.withColumn("polygons", F.lit(None).cast("array<array<array<double>>>"))
+    else:
+        sound = polygons.where("image_id is not null and size(corners) >= 3").groupBy("image_id").agg(F.collect_list("corners").alias("polygons"))
+        geometry = geometry.join(sound, "image_id", "left")
     tiles = tiles.join(F.broadcast(geometry) if geometry.limit(10_001).count() <= 10_000 else geometry, "image_id")
     # Tiles that the wafer does not touch are dropped before they are decoded.
     gap = lambda lo, n, c: F.greatest(F.col(lo) - F.col(c), F.lit(0.0), F.col(c) - (F.col(lo) + F.col(n)))
@@ -155,14 +217,20 @@ def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), ed
     else:
         tiles = tiles.withColumn("cut", F.lit(float(probability)))
     found = detect(tiles, edge_px, background, int(limits.min_area_px), trees=trees)
-    found = stored(found).join(geometry, "image_id")
+    if invalid is not None or polygons is not None:
+        found = stored(found.withColumn("__id", F.monotonically_increasing_id()))
+        far = nearest_distance(found.select(F.col("__id").alias("id"), F.col("image_id").alias("key"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y")), boundary_points(tiles, edge_px))
+        found = found.join(far.withColumnRenamed("id", "__id"), "__id", "left").join(geometry, "image_id")
+        found = found.withColumn("distance_to_valid_boundary_mm", F.coalesce(F.col("distance") * F.col("mm_per_px"), "distance_to_valid_boundary_mm")).drop("__id", "distance")
+    else:
+        found = stored(found).join(geometry, "image_id")
     found = found.withColumns(wafer_coordinates("centroid_x_px", "centroid_y_px", "cx", "cy", "mm_per_px"))
     found = found.withColumns({
         "equivalent_diameter_px": F.sqrt(4 * F.col("area_px") / np.pi), "aspect_ratio": aspect_ratio("major_axis_length_px", "minor_axis_length_px"),
         "circularity": circularity("area_px", "perimeter_px"), "contrast": F.col("local_background_gray") - F.col("mean_gray_raw"),
         "distance_to_wafer_edge_mm": edge_distance_mm("radius", F.hypot(F.col("centroid_x_px") - F.col("cx"), F.col("centroid_y_px") - F.col("cy")), "mm_per_px"),
     })
-    found = found.withColumn("reasons", reasons(limits)).withColumn("accepted", F.size("reasons") == 0).drop("cx", "cy", "radius", "boxes")
+    found = found.withColumn("reasons", reasons(limits)).withColumn("accepted", F.size("reasons") == 0).drop("cx", "cy", "radius", "boxes", "polygons")
     counts = found.groupBy("image_id").agg(F.count_if("accepted").alias("count"), F.count_if(~F.col("accepted")).alias("rejected"))
     areas = valid_area(tiles, edge_px).join(counts, "image_id", "left").fillna(0, ["count", "rejected"])
     return found, with_poisson_interval(rates(areas), "count")

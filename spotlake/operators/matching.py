@@ -132,21 +132,42 @@ def staged(pairs: DataFrame, autos: DataFrame, reviewed: DataFrame, positive: tu
     return used.unionByName(rest).unionByName(missed)
 
 
-def duplicates(df: DataFrame, key: str, tile: str, max_distance: float = 3.0, min_iou: float = 0.30) -> DataFrame:
-    """Groups of candidates seen in different tiles: centroids within ``max_distance`` or boxes with enough overlap.
+def box_pairs(df: DataFrame, key: str, min_iou: float) -> DataFrame:
+    """(a, b), a < b: all pairs of boxes (id, key, box) of one key that may overlap by ``min_iou`` of their union, and some more.
 
-    ``df``: id, key, tile, x, y, box, core_distance, area. Adds ``group`` (the smallest id of the group) and ``kept``
-    (greatest core distance, then area, then smallest id). A null tile stands for any tile.
+    Repeated pairs can occur. Boxes with a null give nothing.
     """
-    points = df.select(F.col("id").alias("a"), F.col(key).alias("key"), "x", "y")
-    near = locate(points, points.withColumnRenamed("a", "b"), within=max_distance, pid=("a",), rid=("b",), slab_height=2 * max_distance).where("a < b")
     # With overlap >= t of the union, sides differ by at most 1 / t and centres by (1 - t) / (1 + t) of the longer side.
     reach = max(0.5, (1 - min_iou) / (1 + min_iou)) / min_iou + 1e-6
     b = F.col("box")
     sides = {"x": ((b[0] + b[2]) / 2, (b[2] - b[0]) * reach), "y": ((b[1] + b[3]) / 2, (b[3] - b[1]) * reach)}
     centres = df.select(F.col("id").alias("a"), F.col(key).alias("key"), *[c.alias(n) for n, (c, _) in sides.items()])
     boxes = df.select(F.col("id").alias("b"), F.col(key).alias("key"), *[(c - h).alias(f"{n}0") for n, (c, h) in sides.items()], *[(c + h).alias(f"{n}1") for n, (c, h) in sides.items()])
-    inside = locate(centres, boxes, pid=("a",), rid=("b",), slab_height=32.0).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = locate(centres, boxes, pid=("a",), rid=("b",), slab_height=32.0).where("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def box_links(df: DataFrame, key: str, tile: str, min_iou: float = 0.30) -> DataFrame:
+    """(id, ``links``): how many boxes (id, key, tile, box) of the same key and another tile overlap each by ``min_iou``.
+
+    Ids must be unique; boxes without links are left out, a null tile stands for any tile.
+    """
+    side = lambda n: df.select(F.col("id").alias(n), F.col("box").alias(f"box_{n}"), F.col(tile).alias(f"tile_{n}"))
+    pairs = box_pairs(df, key, min_iou).distinct().join(side("a"), "a").join(side("b"), "b")
+    across = F.col("tile_a").isNull() | F.col("tile_b").isNull() | (F.col("tile_a") != F.col("tile_b"))
+    hit = pairs.where(across & (box_iou("box_a", "box_b") >= min_iou))
+    return hit.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+
+
+def duplicates(df: DataFrame, key: str, tile: str, max_distance: float = 3.0, min_iou: float = 0.30) -> DataFrame:
+    """Groups of candidates seen in different tiles: centroids within ``max_distance`` or boxes with enough overlap.
+
+    ``df``: id, key, tile, x, y, box, core_distance, area. Adds ``group`` (the smallest id of the group) and ``kept``
+    (greatest core distance, then area, then smallest id). A null tile stands for any tile.
+    """
+    points = df.select(F.col("id").alias("a"), F.col(key).alias("key"), "x", "y")
+    near = locate(points, points.withColumnRenamed("a", "b"), within=max_distance, pid=("a",), rid=("b",), slab_height=2 * max_distance).where("a < b")
+    inside = box_pairs(df, key, min_iou)
     one = df.select(F.col("id").alias("a"), F.col("box").alias("box_a"), F.col(tile).alias("tile_a"))
     two = df.select(F.col("id").alias("b"), F.col("box").alias("box_b"), F.col(tile).alias("tile_b"))
     near = near.select("a", "b", F.lit(True).alias("near"))

@@ -68,4 +68,7 @@ SQL = {
     "asof_previous": "SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros_since FROM events",
     "sales_rollup": """SELECT r_name, n_name, round(sum((l_extendedprice * (1 - l_discount))::DECIMAL(20, 4))::DOUBLE, 2) AS revenue, grouping_id(r_name, n_name)::INT AS level
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""",
+    "nearest_vectors": """WITH f AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        m AS (SELECT label AS centre, i, avg(v) AS m FROM f GROUP BY 1, 2), d AS (SELECT centre, vec_id, round(sum((v - m) * (v - m)), 7) AS d2 FROM f JOIN m USING (i) GROUP BY 1, 2)
+        SELECT centre, row_number() OVER (PARTITION BY centre ORDER BY d2, vec_id)::INT AS place, vec_id FROM d QUALIFY place <= 5""",
 }

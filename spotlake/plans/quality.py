@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotlake.operators.locate import locate
-from spotlake.operators.raw_load import LAYOUTS, loaded, rejected, structured
+from spotlake.operators.raw_load import ANNOTATION_LABELS, LAYOUTS, REFERENCE_LABELS, loaded, rejected, structured
 from spotlake.operators.scale import stored, table
 
 NEAR_PX = 4.0
@@ -120,7 +120,24 @@ def _typed(layout) -> str:
     return f"WITH {_FIELDS} SELECT row_id, file_name, line_no, {', '.join(out)} FROM judged WHERE reason IS NULL AND file_kind = '{layout.kind}'"
 
 
+def _fault(column: str, text: str, value: str, blank: str, above: str = "false") -> str:
+    number = f"regexp_full_match({text}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+    return f"""CASE WHEN {blank} AND {text} = '' THEN NULL WHEN NOT {number} THEN {column} || ': not a number' WHEN {value} IS NULL OR isinf({value}) THEN {column} || ': not finite'
+        WHEN {value} < 0 THEN {column} || ': below 0' WHEN {above} THEN {column} || ': above 1' END"""
+
+
+_ANNOTATED = "file_kind = 'annotations'"
+_FAULTS = ", ".join([
+    _fault("'x_px'", "tx", "vx", _ANNOTATED), _fault("'y_px'", "ty", "vy", _ANNOTATED),
+    f"CASE WHEN CASE WHEN {_ANNOTATED} THEN label NOT IN {ANNOTATION_LABELS} ELSE label NOT IN {REFERENCE_LABELS} END THEN 'label: unknown label' END",
+    _fault(f"CASE WHEN {_ANNOTATED} THEN 'review_confidence' ELSE 'registration_rmse_um' END", "te", "ve", "true", f"{_ANNOTATED} AND ve > 1"),
+])
+
+
 SQL = {
+    "p4_faults": f"""WITH {_FIELDS}, faults AS (SELECT row_id, file_kind, reason,
+        unnest(CASE WHEN reason = 'invalid_value' THEN list_filter([{_FAULTS}], lambda f: f IS NOT NULL) ELSE [NULL] END) AS fault FROM judged WHERE reason IS NOT NULL)
+SELECT file_kind, reason, fault, count(DISTINCT row_id) AS records FROM faults GROUP BY ALL""",
     "p4_found": f"WITH {_FIELDS} SELECT DISTINCT row_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_loaded_references": _typed(LAYOUTS[0]),
     "p4_loaded_annotations": _typed(LAYOUTS[1]),

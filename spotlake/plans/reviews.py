@@ -12,6 +12,7 @@ from spotlake.operators import review as rev
 from spotlake.operators import signal as sig
 from spotlake.operators import validation as val
 from spotlake.operators.logistic import train
+from spotlake.operators.masks import run_objects
 from spotlake.operators.rules import decide
 from spotlake.operators.scale import stored, table
 from spotlake.plans.measure import candidates
@@ -189,15 +190,40 @@ def trained_scores(spark, d):
     return decide(rows, model).select("run_id", "defect_id", "probability", "decision", "accepted_now")
 
 
-def dedup_groups(spark, d):
-    """Candidates of runs of one image that are the same spot (centres within 3 px or boxes with overlap of 0.3)."""
+def _boxed(spark, d) -> DataFrame:
     rows = candidates(spark, d, "image_id", "centroid_x_px", "centroid_y_px", "bounding_box", "distance_to_valid_boundary_mm", "area_px")
     rows = rows.where("size(bounding_box) = 4 and centroid_x_px is not null and centroid_y_px is not null and not isnan(centroid_x_px) and not isnan(centroid_y_px)")
-    rows = stored(rows.select(
+    return stored(rows.select(
         F.concat_ws("/", "run_id", "defect_id").alias("id"), F.col("image_id").alias("key"), F.col("run_id").alias("tile"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y"),
         F.transform("bounding_box", lambda v: v.cast("double")).alias("box"), F.coalesce(F.nanvl("distance_to_valid_boundary_mm", F.lit(0.0)), F.lit(0.0)).alias("core_distance"), F.col("area_px").alias("area"),
     ))
-    return match.duplicates(rows, "key", "tile").select("id", "group", "kept")
+
+
+def dedup_groups(spark, d):
+    """Candidates of runs of one image that are the same spot (centres within 3 px or boxes with overlap of 0.3)."""
+    return match.duplicates(_boxed(spark, d), "key", "tile").select("id", "group", "kept")
+
+
+def bbox_iou_links(spark, d):
+    """Candidates whose boxes overlap those of other runs of the image by at least 0.3, with the number of partners."""
+    return match.box_links(_boxed(spark, d), "key", "tile")
+
+
+def union_priority(spark, d):
+    """One point per image and whole pixel of experts' points and candidates, experts' points first."""
+    cell = lambda x, y: [F.floor(x).cast("bigint").alias("x"), F.floor(y).cast("bigint").alias("y")]
+    mine = annotations(spark, d).select("image_id", *cell("x_px", "y_px"), F.lit(0).alias("rank"))
+    theirs = candidates(spark, d, "image_id", "centroid_x_px", "centroid_y_px").where("not isnan(centroid_x_px) and not isnan(centroid_y_px)")
+    rows = mine.unionByName(theirs.select("image_id", *cell("centroid_x_px", "centroid_y_px"), F.lit(1).alias("rank"))).dropna()
+    best = rows.groupBy("image_id", "x", "y").agg(F.min("rank").alias("rank"), F.count("*").alias("points"))
+    return best.select("image_id", "x", "y", F.when(F.col("rank") == 0, "expert").otherwise("candidate").alias("origin"), "points")
+
+
+def mask_objects(spark, d):
+    """Objects and labelled pixels per sample and label value of the run-length masks, with the largest object."""
+    rows = table(spark, d, "pixel_samples", "sample_id", "label_mask_rle").groupBy("sample_id").agg(F.max_by("label_mask_rle", F.to_json("label_mask_rle")).alias("label_mask_rle"))
+    found = run_objects(rows, ["sample_id"], "label_mask_rle")
+    return found.groupBy("sample_id", "value").agg(F.count("*").alias("objects"), F.sum("pixels").alias("pixels"), F.max("pixels").alias("largest"))
 
 
 def catalog_entries(spark, d):
@@ -285,7 +311,7 @@ QUERIES = {
     for f in (
         last_per_reviewer, reviewer_pairs_agreement, cohen_kappa, class_jaccard, arbitrate_mode_tie, consensus_ordered, label_status, split_leakage,
         provenance_status, candidate_keys, proximity_pairs, nearest_reference, match_mutual, match_optimal, match_cascade, semi_matched, anti_unmatched,
-        wafer_metrics, bland_altman, bootstrap_bias, class_report, trained_scores, dedup_groups, catalog_entries, latest_run, page_offset, page_counts,
+        wafer_metrics, bland_altman, bootstrap_bias, class_report, trained_scores, dedup_groups, bbox_iou_links, union_priority, mask_objects, catalog_entries, latest_run, page_offset, page_counts,
         dense_renumber, evenly_spaced, farthest_points, balanced_sample, sliding_median, rle_encode, rle_pixels, multi_otsu, set_ops, sha_provenance,
     )
 }
@@ -357,6 +383,16 @@ SQL = {
             count(*) FILTER (outcome = 'indeterminate') AS indeterminate FROM every e LEFT JOIN autos o ON e.a = o.a LEFT JOIN reviewed r ON e.b = r.b GROUP BY 1),
         q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM n)
         SELECT image_id, tp, fp, fn, indeterminate, round(precision, 6) AS precision, round(recall, 6) AS recall, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 6) END AS f1 FROM q"""),
+    "bbox_iou_links": """WITH c AS (SELECT run_id || '/' || defect_id AS id, image_id AS key, run_id AS tile, bounding_box::DOUBLE[] AS b
+            FROM (SELECT DISTINCT run_id, defect_id, image_id, centroid_x_px, centroid_y_px, bounding_box, distance_to_valid_boundary_mm, area_px FROM candidates)
+            WHERE len(bounding_box) = 4 AND centroid_x_px IS NOT NULL AND centroid_y_px IS NOT NULL AND NOT isnan(centroid_x_px) AND NOT isnan(centroid_y_px)),
+        p AS (SELECT a.id, greatest(0, least(a.b[3], b.b[3]) - greatest(a.b[1], b.b[1])) * greatest(0, least(a.b[4], b.b[4]) - greatest(a.b[2], b.b[2])) AS common,
+            (a.b[3] - a.b[1]) * (a.b[4] - a.b[2]) + (b.b[3] - b.b[1]) * (b.b[4] - b.b[2]) AS size FROM c a JOIN c b ON a.key = b.key AND a.tile <> b.tile)
+        SELECT id, count(*) AS links FROM p WHERE common / (size - common) >= 0.3 GROUP BY 1""",
+    "union_priority": f"""WITH {_ANN}, r AS (SELECT image_id, floor(x_px)::BIGINT AS x, floor(y_px)::BIGINT AS y, 0 AS rank FROM ann WHERE x_px IS NOT NULL AND y_px IS NOT NULL
+        UNION ALL SELECT image_id, floor(centroid_x_px)::BIGINT, floor(centroid_y_px)::BIGINT, 1 FROM {_CAND.format('image_id, centroid_x_px, centroid_y_px')}
+            WHERE centroid_x_px IS NOT NULL AND centroid_y_px IS NOT NULL AND NOT isnan(centroid_x_px) AND NOT isnan(centroid_y_px))
+        SELECT image_id, x, y, CASE min(rank) WHEN 0 THEN 'expert' ELSE 'candidate' END AS origin, count(*) AS points FROM r WHERE image_id IS NOT NULL GROUP BY 1, 2, 3""",
     "dedup_groups": """WITH RECURSIVE c AS (SELECT run_id || '/' || defect_id AS id, image_id AS key, run_id AS tile, centroid_x_px AS x, centroid_y_px AS y, bounding_box::DOUBLE[] AS b,
             CASE WHEN isnan(distance_to_valid_boundary_mm) THEN 0.0 ELSE coalesce(distance_to_valid_boundary_mm, 0.0) END AS core, area_px AS area
             FROM (SELECT DISTINCT run_id, defect_id, image_id, centroid_x_px, centroid_y_px, bounding_box, distance_to_valid_boundary_mm, area_px FROM candidates)

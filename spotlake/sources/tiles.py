@@ -1,4 +1,5 @@
-"""Image tiles as rows: a Spark data source over .npy and strip or tile TIFF files that reads only the bytes of its band.
+"""Image tiles as rows: a Spark data source over .npy and strip or tile TIFF files that reads only the bytes of its band,
+and over PNG and BMP files, which are decoded whole and therefore limited in size.
 
 ``spark.dataSource.register(TileSource)`` and ``spark.read.format("tiles").option("paths", "a.npy,b.tif").load()``.
 One partition is a band of tiles of one file; headers are read on the driver, pixels in the tasks.
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from spotlake.sources.rasters import Bmp, Png, Raster
+
 SCHEMA = (
     "image_id string, tile_id int, x0 int, y0 int, w int, h int, core_x int, core_y int, core_w int, core_h int, "
     "image_w int, image_h int, dtype string, px binary"
@@ -26,6 +29,8 @@ MAX_SEGMENT = 64 << 20
 class Npy:
     """A 2-D array file, mapped."""
 
+    whole = False
+
     def __init__(self, path: str):
         self.array = np.load(path, mmap_mode="r")
         if self.array.ndim != 2:
@@ -39,6 +44,7 @@ class Npy:
 class Tiff:
     """A one-channel TIFF or BigTIFF of strips or tiles, uncompressed or deflated; a segment beyond 64 MiB is refused."""
 
+    whole = False
     _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 
     def __init__(self, path: str):
@@ -103,13 +109,17 @@ class Tiff:
         return out
 
 
-def opened(path: str) -> Npy | Tiff:
-    return Npy(path) if path.endswith(".npy") else Tiff(path)
+def opened(path: str) -> Npy | Tiff | Raster:
+    kinds = {".npy": Npy, ".png": Png, ".bmp": Bmp, ".tif": Tiff, ".tiff": Tiff}
+    kind = kinds.get(os.path.splitext(path)[1].lower())
+    if kind is None:
+        raise ValueError(f"{path}: files of this kind are not read")
+    return kind(path)
 
 
 class Band(InputPartition):
-    def __init__(self, path: str, y: int):
-        self.path, self.y = path, y
+    def __init__(self, path: str, y: int, end: int):
+        self.path, self.y, self.end = path, y, end
 
 
 class TileReader(DataSourceReader):
@@ -120,22 +130,31 @@ class TileReader(DataSourceReader):
             raise ValueError("the halo must be smaller than the tile")
 
     def partitions(self) -> list[Band]:
-        return [Band(p, y) for p in self.paths for y in range(0, opened(p).shape[0], self.tile)]
+        out = []
+        for p in self.paths:
+            source = opened(p)
+            height = source.shape[0]
+            out += [Band(p, y, y + 1) for y in range(0, height, self.tile)] if not source.whole else [Band(p, 0, height)]
+        return out
 
     def read(self, band: Band) -> Iterator[tuple]:
         source = opened(band.path)
+        for y in range(band.y, band.end, self.tile):
+            yield from self._row(source, band.path, y)
+
+    def _row(self, source: Npy | Tiff | Raster, path: str, y: int) -> Iterator[tuple]:
         height, width = source.shape
-        y0, y1 = max(0, band.y - self.halo), min(height, band.y + self.tile + self.halo)
+        y0, y1 = max(0, y - self.halo), min(height, y + self.tile + self.halo)
         rows = source.rows(y0, y1)
         rows = rows.astype(rows.dtype.newbyteorder("<"))
         across = -(-width // self.tile)
         for i in range(across):
             x = i * self.tile
             x0, x1 = max(0, x - self.halo), min(width, x + self.tile + self.halo)
-            core_w, core_h = min(self.tile, width - x), min(self.tile, height - band.y)
-            name = os.path.splitext(os.path.basename(band.path))[0]
-            number = band.y // self.tile * across + i
-            yield (name, number, x0, y0, x1 - x0, y1 - y0, x, band.y, core_w, core_h, width, height, rows.dtype.str, np.ascontiguousarray(rows[:, x0:x1]).tobytes())
+            core_w, core_h = min(self.tile, width - x), min(self.tile, height - y)
+            name = os.path.splitext(os.path.basename(path))[0]
+            number = y // self.tile * across + i
+            yield (name, number, x0, y0, x1 - x0, y1 - y0, x, y, core_w, core_h, width, height, rows.dtype.str, np.ascontiguousarray(rows[:, x0:x1]).tobytes())
 
 
 class TileSource(DataSource):
