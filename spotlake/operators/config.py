@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping
 from itertools import product
@@ -25,6 +26,15 @@ def merged(base: Mapping, *over: Mapping) -> dict:
     return out
 
 
+def load(path: str, defaults: Mapping, *over: Mapping) -> dict:
+    """Defaults, then the JSON object of a file, then overrides."""
+    with open(path, encoding="utf-8-sig") as f:
+        found = json.load(f)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: an object is needed")
+    return merged(defaults, found, *over)
+
+
 def pixels(length_um: float, um_per_px: float) -> int:
     """A length in whole pixels, half to even, at least 1."""
     if not (math.isfinite(length_um) and length_um >= 0 and math.isfinite(um_per_px) and um_per_px > 0):

@@ -41,13 +41,21 @@ def wafer_mask(row, edge_px: float = 0.0) -> np.ndarray:
 
 
 def valid_mask(row, edge_px: float) -> np.ndarray:
-    """The wafer less its edge band and less the invalid rectangles (half open) and polygons of the image."""
+    """The wafer less its edge band and less the invalid rectangles (half open), polygons and mask pixels of the image."""
     mask = wafer_mask(row, edge_px)
     for b in row.boxes if row.boxes is not None else ():
         x0, y0, x1, y1 = (max(0, int(v)) for v in (b[0] - row.x0, b[1] - row.y0, b[2] - row.x0, b[3] - row.y0))
         mask[y0:y1, x0:x1] = False
     for corners in row.polygons if row.polygons is not None else ():
         mask &= ~k.polygon_mask(mask.shape, np.array([list(c) for c in corners], float), row.x0, row.y0)
+    if getattr(row, "mask_px", None) is not None:
+        if (row.mask_image_w, row.mask_image_h) != (row.image_w, row.image_h):
+            raise ValueError(f"{row.image_id}: the mask has another size than the image")
+        bad = np.frombuffer(row.mask_px, np.dtype(row.mask_dtype)).reshape(int(row.mask_h), int(row.mask_w)) > 0
+        dy, dx = int(row.mask_y0) - row.y0, int(row.mask_x0) - row.x0
+        top, left = max(0, dy), max(0, dx)
+        bad = bad[max(0, -dy) :, max(0, -dx) :][: mask.shape[0] - top, : mask.shape[1] - left]
+        mask[top : top + bad.shape[0], left : left + bad.shape[1]] &= ~bad
     return mask
 
 
@@ -186,13 +194,14 @@ def valid_area(tiles: DataFrame, edge_px: float) -> DataFrame:
 
 
 def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), edge_px: float = 8.0, background: int = 41, offset: float = 0.0,
-            invalid: DataFrame | None = None, trees: list | None = None, probability: float = 0.5, polygons: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+            invalid: DataFrame | None = None, trees: list | None = None, probability: float = 0.5, polygons: DataFrame | None = None,
+            masks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, densities) of tiles and their geometry (``image_id``, ``cx``, ``cy``, ``radius``, ``mm_per_px``).
 
     No candidate is dropped: rejected ones keep their reasons. Images without geometry give nothing. ``invalid`` has
     rectangles (``image_id``, ``x0``, ``y0``, ``x1``, ``y1``, half open, in pixels) that count neither as area nor for
-    candidates, ``polygons`` (``image_id``, ``corners`` as pairs x, y) likewise; ones with a null are ignored. Where either is
-    given, distances to the valid boundary are those to the nearest pixel that does not count, else to the circle.
+    candidates, ``polygons`` (``image_id``, ``corners`` as pairs x, y) likewise; ones with a null are ignored. ``masks``
+    are tiles of the same grid whose pixels above 0 are invalid; a mask of another size than its image raises. Where any is given, distances to the valid boundary are those to the nearest pixel that does not count, else to the circle.
     With ``trees``, pixels of at least ``probability`` make candidates.
     """
     boxes = "array<array<int>>"
@@ -208,6 +217,9 @@ def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), ed
         sound = polygons.where("image_id is not null and size(corners) >= 3").groupBy("image_id").agg(F.collect_list("corners").alias("polygons"))
         geometry = geometry.join(sound, "image_id", "left")
     tiles = tiles.join(F.broadcast(geometry) if geometry.limit(10_001).count() <= 10_000 else geometry, "image_id")
+    if masks is not None:
+        own = [F.col(c).alias(f"mask_{c}") for c in ("x0", "y0", "w", "h", "image_w", "image_h", "dtype", "px")]
+        tiles = tiles.join(masks.select("image_id", "tile_id", *own), ["image_id", "tile_id"], "left")
     # Tiles that the wafer does not touch are dropped before they are decoded.
     gap = lambda lo, n, c: F.greatest(F.col(lo) - F.col(c), F.lit(0.0), F.col(c) - (F.col(lo) + F.col(n)))
     tiles = tiles.where(F.hypot(gap("core_x", "core_w", "cx"), gap("core_y", "core_h", "cy")) <= F.col("radius"))
@@ -217,7 +229,7 @@ def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), ed
     else:
         tiles = tiles.withColumn("cut", F.lit(float(probability)))
     found = detect(tiles, edge_px, background, int(limits.min_area_px), trees=trees)
-    if invalid is not None or polygons is not None:
+    if invalid is not None or polygons is not None or masks is not None:
         found = stored(found.withColumn("__id", F.monotonically_increasing_id()))
         far = nearest_distance(found.select(F.col("__id").alias("id"), F.col("image_id").alias("key"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y")), boundary_points(tiles, edge_px))
         found = found.join(far.withColumnRenamed("id", "__id"), "__id", "left").join(geometry, "image_id")

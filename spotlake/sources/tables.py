@@ -82,10 +82,11 @@ def read_run_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_candidates(df: DataFrame, folder: str) -> None:
-    """All candidates as Parquet split by acceptance, and as CSV with boxes as JSON text."""
+    """All candidates as Parquet split by acceptance, and as CSV with reasons joined by semicolons and boxes as JSON text."""
     df.write.mode("overwrite").partitionBy("accepted").parquet(f"{folder}/candidates")
-    text = df.withColumn("bounding_box", F.to_json("bounding_box")) if "bounding_box" in df.columns else df
-    text.write.mode("overwrite").option("header", True).csv(f"{folder}/all_candidates_csv")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    as_text = {c: F.array_join(c, ";") if k == "array<string>" else F.to_json(c) for c, k in kinds.items() if k.startswith("array<")}
+    df.withColumns(as_text).write.mode("overwrite").option("header", True).csv(f"{folder}/all_candidates_csv")
 
 
 def flat(df: DataFrame) -> DataFrame:
