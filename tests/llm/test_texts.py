@@ -39,11 +39,11 @@ def _corpus(seed):
     return docs + [(90, "-" * 900), (91, "x" + "-" * 300 + "y"), (92, "ab" * 260), (93, "b" + "ab" * 200), (94, common[5]), (94, common[5]), (95, None), (96, ""), (97, text(5000) + common[0] * 4)]
 
 
-@pytest.mark.parametrize("seed,hot", [(0, 8000), (1, 1)])
-def test_spans_equal_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,windows", [(0, 8000, 1_500_000), (1, 1, 1_500_000), (2, 8000, 300)])
+def test_spans_equal_brute_force(spark, seed, hot, windows):
     docs = _corpus(seed)
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs] + [(None, docs[0][1], "c", "c")], DOC)
-    got = {(r.doc_id, r.start, r.end) for r in shared_spans(df, least=100, hot=hot).collect()}
+    got = {(r.doc_id, r.start, r.end) for r in shared_spans(df, least=100, hot=hot, windows_each=windows).collect()}
     assert got == _shared(docs, 100) and len(got) > 20
 
 
