@@ -1,8 +1,8 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman alignment.
 
-The corpus is read once for the n-grams of the evaluation items; their counts over all documents tell which are rare.
-Of every window of an item long enough to hold a passage, the rarest n-gram seeds candidates, so no shared passage is
-missed; n-grams that no document holds are no seeds. Around the seeds, item and document are aligned word by word.
+The corpus is read once for the n-grams of the evaluation items. Every one that a document holds seeds a candidate at its
+place, however rare or common it is elsewhere, so what other documents hold never hides a copy. Around the seeds, item
+and document are aligned word by word.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.rolling import Rolling, mix
@@ -112,12 +112,12 @@ def leaks(
     documents: DataFrame, items: DataFrame, passage: int = 12, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text: str = "text", block: int = 2000, broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """(item, document, ``score``, ``coverage``, ``run``) of every document that shares a seed with an item.
+    """(item, document, ``score``, ``coverage``, ``run``) of every document that shares an n-gram with an item.
 
     ``score`` is the best local alignment (2 for an equal word, -1 for another or a gap), ``coverage`` its share of the
     item's full score, ``run`` the longest shared passage in words. Every pair with ``run`` >= ``passage`` is found;
-    edited copies are found if they share one of the item's rare n-grams of 6 words (shorter items: their whole
-    length). Items are taken in blocks of ``block``, each against all documents. Ids must be integers; null ids, null
+    edited copies are found if they share any 6 words in a row with the item (``passage`` words if that is less).
+    Items are taken in blocks of ``block``, each against all documents. Ids must be integers; null ids, null
     and empty texts give nothing; repeated rows give one pair.
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
@@ -137,21 +137,15 @@ def _block(docs: DataFrame, items: list[tuple[int, np.ndarray]], passage: int, b
     own = [(item, w, grams(w, n).view(np.int64)) for item, w in items]
     rows = pd.DataFrame({
         "item": np.concatenate([np.full(len(g), i, np.int64) for i, _, g in own] or [np.empty(0, np.int64)]),
-        "ipos": np.concatenate([np.arange(len(g)) for _, _, g in own] or [np.empty(0, np.int64)]),
         "gram": np.concatenate([g for _, _, g in own] or [np.empty(0, np.int64)]),
-    })
+    }).drop_duplicates()
     result = "item bigint, id bigint, score bigint, coverage double, run bigint"
     if rows.empty:
         return spark.createDataFrame([], result)
     hits = stored(docs.mapInArrow(_hits(rows["gram"].to_numpy().view(np.uint64), n), "id bigint, gram bigint, at bigint"))
-    counts = hits.groupBy("gram").agg(F.count("*").alias("n"))
-    # Of every window that could hold the passage, the rarest n-gram that occurs at all (in a shared passage, all do).
-    table = spark.createDataFrame(rows).join(counts, "gram")
-    window = Window.partitionBy("item").orderBy("ipos").rangeBetween(0, passage - n)
-    seeds = table.withColumn("seed", F.min(F.struct("n", "ipos", "gram")).over(window)).select("item", "seed.gram", "seed.ipos").distinct()
     longest = max(len(w) for _, w in items)
     stretch = 4 * longest
-    marks = seeds.select("item", "gram").distinct()
+    marks = spark.createDataFrame(rows)
     found = hits.join(F.broadcast(marks) if len(rows) <= 10 * broadcast_rows else marks, "gram")
     places = found.select("item", "id", F.floor(F.col("at") / stretch).alias("place")).distinct()
     per_doc = stored(places.groupBy("id").agg(F.collect_list(F.struct("item", "place")).alias("places")))

@@ -113,6 +113,15 @@ def test_edited_copies_are_scored(spark):
     assert r.run == 6 and 0.7 < r.coverage < 1
 
 
+def test_a_whole_copy_does_not_hide_an_edited_one(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i in (12, 24, 36) else w for i, w in enumerate(item)]
+    docs = [(1, " ".join(item), "", ""), (2, " ".join(edited), "", ""), (3, " ".join(item[:6] + ["y"] * 9), "", ""), (4, "y " * 30, "", "")]
+    found = leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    got = {r.doc_id: (r.run, r.coverage) for r in found.collect()}
+    assert got == {1: (40, 1.0), 2: (12, pytest.approx(71 / 80)), 3: (6, pytest.approx(12 / 80))}
+
+
 def test_alignment_equals_the_textbook():
     rng = np.random.default_rng(0)
     for _ in range(30):
