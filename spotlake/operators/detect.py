@@ -82,12 +82,15 @@ def tile_histograms(tiles: DataFrame, edge_px: float, background: int, bins: int
 
 
 def thresholds(histograms: DataFrame, offset: float = 0.0, least: float = 0.02, bins: int = 256) -> DataFrame:
-    """(image_id, cut): the upper cut of three Otsu classes, lifted by ``offset`` and never below ``least``."""
+    """(image_id, cut): the first cut of three Otsu classes, lifted by ``offset`` and never below ``least``.
+
+    The first, since the third class is that of large dark artefacts, which must not hide faint points; two levels are cut between them.
+    """
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros(bins)
         n[g["bin"]] = g["n"]
-        top = otsu(n, 3)[1] if n.sum() else 0
+        top = otsu(n, 3 if np.count_nonzero(n) > 2 else 2)[0] if n.sum() else 0
         return pd.DataFrame({"image_id": [g["image_id"].iat[0]], "cut": [max(least, (top + 1) / bins + offset)]})
 
     return histograms.groupBy("image_id").applyInPandas(one, "image_id string, cut double")

@@ -160,3 +160,18 @@ def test_invalid_rectangles_and_a_pixel_model(spark, tmp_path):
     trees = [[tuple(n) for n in r.nodes] for r in model.orderBy("tree").collect()]
     got = [(r.centroid_x_px, r.centroid_y_px) for r in analyse(tiles, geometry, background=21, trees=trees)[0].where("accepted").collect()]
     assert np.mean([min(np.hypot(u - p, v - q) for p, q in got) < 2 for u, v in spots]) > 0.9
+
+
+def test_a_large_dark_blob_does_not_hide_faint_points(spark, tmp_path):
+    y, x = np.mgrid[:256, :256]
+    a = 0.7 + np.random.default_rng(4).normal(0, 0.002, (256, 256))
+    a[np.hypot(x - 128, y - 128) > 120] = 0.1
+    a[np.hypot(x - 90, y - 128) < 18] = 0.1
+    spots = [(130 + 16 * i, 80 + 16 * j) for i in range(5) for j in range(6)]
+    for u, v in spots:
+        a -= 0.2 * np.exp(-(((x - u) ** 2 + (y - v) ** 2) / (2 * 2.2**2)) ** 2)
+    np.save(tmp_path / "im.npy", (np.clip(a, 0, 1) * 65535).astype("u2"))
+    geometry = spark.createDataFrame([("im", 128.0, 128.0, 118.0, 0.2)], "image_id string, cx double, cy double, radius double, mm_per_px double")
+    found, _ = analyse(read_tiles(spark, [str(tmp_path / "im.npy")], 256, 0), geometry, background=61)
+    got = [(r.centroid_x_px, r.centroid_y_px) for r in found.where("accepted").collect()]
+    assert all(min([np.hypot(u - p, v - q) for p, q in got], default=99) < 1.5 for u, v in spots)
