@@ -19,6 +19,7 @@ from spotlake.kernels import image as k
 from spotlake.kernels.forest import predict
 from spotlake.operators.boundary import nearest_distance
 from spotlake.operators.density import rates
+from spotlake.operators.grey import grey, pixels, windowed
 from spotlake.operators.rules import Limits, reasons
 from spotlake.operators.scale import stored
 from spotlake.operators.signal import otsu
@@ -30,10 +31,6 @@ DETECTED = (
 )
 
 
-def pixels(row) -> np.ndarray:
-    return np.frombuffer(row.px, np.dtype(row.dtype)).reshape(row.h, row.w)
-
-
 def wafer_mask(row, edge_px: float = 0.0) -> np.ndarray:
     """Pixels of the tile within the wafer circle less an edge band."""
     y, x = np.mgrid[row.y0 : row.y0 + row.h, row.x0 : row.x0 + row.w]
@@ -60,7 +57,7 @@ def valid_mask(row, edge_px: float) -> np.ndarray:
 
 
 def _response(row, edge_px: float, background: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = k.as_float01(pixels(row))
+    raw = grey(row)
     full = wafer_mask(row)
     dark, back = k.dark_response(raw, full, background)
     return raw, dark, back, valid_mask(row, edge_px)
@@ -205,8 +202,9 @@ def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), ed
     rectangles (``image_id``, ``x0``, ``y0``, ``x1``, ``y1``, half open, in pixels) that count neither as area nor for
     candidates, ``polygons`` (``image_id``, ``corners`` as pairs x, y) likewise; ones with a null are ignored. ``masks``
     are tiles of the same grid whose pixels above 0 are invalid; a mask of another size than its image raises. Where any is given, distances to the valid boundary are those to the nearest pixel that does not count, else to the circle.
-    With ``trees``, pixels of at least ``probability`` make candidates.
+    With ``trees``, pixels of at least ``probability`` make candidates. All pixels are read on the grey scale of their image (``windowed``).
     """
+    tiles = windowed(tiles)
     boxes = "array<array<int>>"
     if invalid is None:
         geometry = geometry.withColumn("boxes", F.lit(None).cast(boxes))

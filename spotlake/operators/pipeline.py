@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotlake.operators.detect import analyse
+from spotlake.operators.grey import windowed
 from spotlake.operators.rules import Limits
 from spotlake.operators.scale import stored
 from spotlake.operators.wafer import LEAST_CONFIDENCE, geometry, previews, wafers
@@ -22,7 +23,7 @@ def analyse_files(spark: SparkSession, paths: list[str], diameter_mm: float, til
     """
     if not paths:
         raise ValueError("no paths")
-    tiles = read_tiles(spark, paths, tile, halo)
+    tiles = windowed(read_tiles(spark, paths, tile, halo))
     if circles is None:
         found = stored(wafers(previews(tiles), least))
     else:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.kernels import image as k
+from spotlake.operators.grey import grey
 from spotlake.operators.masks import BACKGROUND, TARGET
 from spotlake.operators.signal import rle_to_mask
 
@@ -22,6 +23,7 @@ def labelled_pixels(tiles: DataFrame, samples: DataFrame, tile: int = 1024) -> D
 
     ``samples``: sample_id, image_id, ``roi`` [x, y, width, height] and ``runs`` [start, length, value] over it. A region
     across tiles is labelled in each tile's core, so tiles need a halo of ``HALO`` pixels for features without seams.
+    For a model that ``analyse`` is to use, tiles must be ``windowed``, as ``analyse`` reads pixels on the grey scale of their image.
     Regions with nulls, of other than four numbers, with a side outside ``SIDES`` or with unsound runs are left out.
     """
     r = F.col("roi")
@@ -36,7 +38,7 @@ def labelled_pixels(tiles: DataFrame, samples: DataFrame, tile: int = 1024) -> D
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                raw = k.as_float01(np.frombuffer(row.px, np.dtype(row.dtype)).reshape(row.h, row.w))
+                raw = grey(row)
                 for s in row.samples:
                     x, y, w, h = (int(v) for v in s["roi"])
                     try:

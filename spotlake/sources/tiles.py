@@ -21,7 +21,7 @@ from spotlake.sources.rasters import Bmp, Png, Raster
 
 SCHEMA = (
     "image_id string, tile_id int, x0 int, y0 int, w int, h int, core_x int, core_y int, core_w int, core_h int, "
-    "image_w int, image_h int, dtype string, px binary"
+    "image_w int, image_h int, dtype string, px binary, inverted boolean"
 )
 MAX_SEGMENT = 64 << 20
 
@@ -154,7 +154,7 @@ class TileReader(DataSourceReader):
             core_w, core_h = min(self.tile, width - x), min(self.tile, height - y)
             name = os.path.splitext(os.path.basename(path))[0]
             number = y // self.tile * across + i
-            yield (name, number, x0, y0, x1 - x0, y1 - y0, x, y, core_w, core_h, width, height, rows.dtype.str, np.ascontiguousarray(rows[:, x0:x1]).tobytes())
+            yield (name, number, x0, y0, x1 - x0, y1 - y0, x, y, core_w, core_h, width, height, rows.dtype.str, np.ascontiguousarray(rows[:, x0:x1]).tobytes(), getattr(source, "inverted", False))
 
 
 class TileSource(DataSource):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spotlake.kernels import forest, image
 from spotlake.operators.detect import analyse
+from spotlake.operators.grey import grey, windowed, windows
 from spotlake.sources.tiles import opened, read_tiles, tile_grid
 
 
@@ -175,3 +176,39 @@ def test_a_large_dark_blob_does_not_hide_faint_points(spark, tmp_path):
     found, _ = analyse(read_tiles(spark, [str(tmp_path / "im.npy")], 256, 0), geometry, background=61)
     got = [(r.centroid_x_px, r.centroid_y_px) for r in found.where("accepted").collect()]
     assert all(min([np.hypot(u - p, v - q) for p, q in got], default=99) < 1.5 for u, v in spots)
+
+
+def test_one_grey_scale_per_image(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    odd = rng.normal(-40, 900, (90, 70)).astype("f4")
+    odd[5, 5:9] = np.nan, np.inf, -np.inf, -0.0
+    rare = np.full((90, 70), 7, "u1")
+    rare[0, :3] = 3, 9, 9
+    images = {"f": odd, "u": rng.integers(0, 4096, (90, 70)).astype("u2"), "rare": rare, "flat": np.full((40, 40), 5, "i4"), "d": rng.normal(0, 1e-3, (50, 90)), "nan": np.full((9, 9), np.nan)}
+    for name, a in images.items():
+        np.save(tmp_path / f"{name}.npy", a)
+    tiles = read_tiles(spark, [str(tmp_path / f"{n}.npy") for n in images], 32, 4)
+    got = {r.image_id: (r.low, r.high) for r in windows(tiles).collect()}
+    want = {n: tuple(np.percentile(images[n][np.isfinite(images[n])].astype("f4").astype(float), [1, 99])) for n in "fud"}
+    assert got == {"rare": (3, 9), "flat": (5, 6)} | {n: pytest.approx(w, rel=1e-9) for n, w in want.items()}
+    for r in windowed(tiles).collect():
+        assert np.array_equal(grey(r), image.normalize(images[r.image_id], *got.get(r.image_id, (0, 1)))[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w])
+
+
+def test_scale_type_and_photometric_do_not_change_the_points(spark, tmp_path):
+    a, spots = scene(15, 256, 2)
+    twelve = (a // 16).astype("u2")
+    for name, px in (("bits", twelve), ("scaled", a.astype("f4") * 3 - 5e4)):
+        np.save(tmp_path / f"{name}.npy", px)
+    write_tiff(tmp_path / "white.tif", 4095 - twelve)
+    raw = bytearray((tmp_path / "white.tif").read_bytes())
+    tag = struct.pack("<HHI", 262, 3, 1)
+    at = raw.index(tag) + len(tag)
+    raw[at : at + 2] = b"\0\0"
+    (tmp_path / "white.tif").write_bytes(bytes(raw))
+    geometry = spark.createDataFrame([(n, 128.0, 128.0, 115.0, 0.2) for n in ("bits", "scaled", "white")], "image_id string, cx double, cy double, radius double, mm_per_px double")
+    tiles = read_tiles(spark, [str(tmp_path / n) for n in ("bits.npy", "scaled.npy", "white.tif")], 128, 40)
+    found = analyse(tiles, geometry, background=21)[0].where("accepted").collect()
+    for name in ("bits", "scaled", "white"):
+        got = [(r.centroid_x_px, r.centroid_y_px) for r in found if r.image_id == name]
+        assert len(got) == len(spots) and all(min(np.hypot(u - p, v - q) for p, q in got) < 1.5 for u, v in spots)
