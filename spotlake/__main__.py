@@ -18,7 +18,7 @@ def main(args: list[str] | None = None) -> int:
     analyze.add_argument("--tile", type=int, default=1024)
     analyze.add_argument("--halo", type=int, default=128)
     analyze.add_argument("--edge-px", type=float, default=8.0)
-    analyze.add_argument("--background", type=int, default=41)
+    analyze.add_argument("--background", type=int, default=101)
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("spotlake").getOrCreate()
     results = analyse_files(spark, given.images, given.diameter_mm, given.tile, given.halo, edge_px=given.edge_px, background=given.background)

@@ -111,6 +111,11 @@ def dark_response(a: np.ndarray, valid: np.ndarray | None = None, background: in
     return (out if valid is None else np.where(valid, out, 0)), back
 
 
+def reach(background: int, sigma: float = 1.0) -> int:
+    """Pixels around a pixel on which its ``dark_response`` depends: median, Gaussian and closing."""
+    return 1 + int(4 * sigma + 0.5) + 2 * (background // 2)
+
+
 def blackhat(a: np.ndarray, sizes: tuple[int, ...] = (9, 17, 31)) -> np.ndarray:
     """How much darker a pixel is than its surroundings closed at several scales, the greatest of them."""
     out = np.zeros(a.shape, a.dtype)

@@ -5,6 +5,7 @@ Tiles are rows with a halo; every stage is one pass over them. A candidate belon
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -57,6 +58,11 @@ def valid_mask(row, edge_px: float) -> np.ndarray:
 
 
 def _response(row, edge_px: float, background: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    need = k.reach(background)
+    right, below = row.x0 + row.w, row.y0 + row.h
+    sides = ((row.core_x - row.x0, row.x0 > 0), (row.core_y - row.y0, row.y0 > 0), (right - row.core_x - row.core_w, right < row.image_w), (below - row.core_y - row.core_h, below < row.image_h))
+    if any(inner and halo < need for halo, inner in sides):
+        raise ValueError(f"{row.image_id}: a background of {background} pixels reaches {need} pixels, beyond the halo")
     raw = grey(row)
     full = wafer_mask(row)
     dark, back = k.dark_response(raw, full, background)
@@ -193,18 +199,22 @@ def valid_area(tiles: DataFrame, edge_px: float) -> DataFrame:
     )
 
 
-def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), edge_px: float = 8.0, background: int = 41, offset: float = 0.0,
+def analyse(tiles: DataFrame, geometry: DataFrame, limits: Limits = Limits(), edge_px: float = 8.0, background: int = 101, offset: float = 0.0,
             invalid: DataFrame | None = None, trees: list | None = None, probability: float = 0.5, polygons: DataFrame | None = None,
             masks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, densities) of tiles and their geometry (``image_id``, ``cx``, ``cy``, ``radius``, ``mm_per_px``).
 
-    No candidate is dropped: rejected ones keep their reasons. Images without geometry give nothing. ``invalid`` has
+    Dark spots wider than ``background`` have no response and are no candidates; its reach (``kernels.image.reach``) must lie
+    within the tiles' halo. No candidate is dropped: rejected ones keep their reasons. Images without geometry give nothing. ``invalid`` has
     rectangles (``image_id``, ``x0``, ``y0``, ``x1``, ``y1``, half open, in pixels) that count neither as area nor for
     candidates, ``polygons`` (``image_id``, ``corners`` as pairs x, y) likewise; ones with a null are ignored. ``masks``
     are tiles of the same grid whose pixels above 0 are invalid; a mask of another size than its image raises. Where any is given, distances to the valid boundary are those to the nearest pixel that does not count, else to the circle.
     With ``trees``, pixels of at least ``probability`` make candidates. All pixels are read on the grey scale of their image (``windowed``).
     """
     tiles = windowed(tiles)
+    widest = min(limits.max_diameter_px, (4 * limits.max_area_px / np.pi) ** 0.5)
+    if background < widest:
+        warnings.warn(f"a background of {background} pixels does not fill dark spots up to the greatest accepted diameter of {widest:.0f}: wider ones are no candidates", stacklevel=2)
     boxes = "array<array<int>>"
     if invalid is None:
         geometry = geometry.withColumn("boxes", F.lit(None).cast(boxes))

@@ -212,3 +212,20 @@ def test_scale_type_and_photometric_do_not_change_the_points(spark, tmp_path):
     for name in ("bits", "scaled", "white"):
         got = [(r.centroid_x_px, r.centroid_y_px) for r in found if r.image_id == name]
         assert len(got) == len(spots) and all(min(np.hypot(u - p, v - q) for p, q in got) < 1.5 for u, v in spots)
+
+
+def test_wide_dark_spots_are_candidates_and_the_halo_must_hold_the_background(spark, tmp_path):
+    y, x = np.mgrid[:256, :256]
+    a = 0.7 + np.random.default_rng(5).normal(0, 0.002, (256, 256))
+    a[np.hypot(x - 128, y - 128) > 120] = 0.1
+    a[np.hypot(x - 150, y - 120) < 28] = 0.3
+    np.save(tmp_path / "im.npy", (np.clip(a, 0, 1) * 65535).astype("u2"))
+    geometry = spark.createDataFrame([("im", 128.0, 128.0, 118.0, 0.2)], "image_id string, cx double, cy double, radius double, mm_per_px double")
+    found = analyse(read_tiles(spark, [str(tmp_path / "im.npy")], 256, 0), geometry)[0].collect()
+    assert any(np.hypot(r.centroid_x_px - 150, r.centroid_y_px - 120) < 2 and r.area_px > 2300 and "too_large" in r.reasons for r in found)
+    assert image.reach(101) == 105
+    tiles = read_tiles(spark, [str(tmp_path / "im.npy")], 128, 104)
+    with pytest.raises(Exception, match="beyond the halo"):
+        analyse(tiles, geometry)[0].collect()
+    with pytest.warns(UserWarning, match="greatest accepted diameter"):
+        analyse(tiles, geometry, background=21)
