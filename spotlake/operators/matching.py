@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -83,10 +85,57 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cols, rows) if flipped else (rows, cols)
 
 
-def assign_one_to_one(pairs: DataFrame, tolerance: float, left_id: str = "a", right_id: str = "b", max_cells: int = 2_000_000) -> DataFrame:
-    """Least-cost one-to-one matching of pairs within a tolerance (as many matches as possible, then least distance).
+def sparse_assignment(rows: np.ndarray, cols: np.ndarray, costs: np.ndarray, penalty: float) -> set[tuple[int, int]]:
+    """(row, column) pairs of least total cost among the given ones, each row left alone costing ``penalty``.
 
-    The pair graph falls into components; each is solved alone, and one of more than ``max_cells`` cells is refused.
+    Shortest augmenting paths over the pairs that exist, so memory grows with the pairs and not with rows times columns.
+    """
+    order = np.argsort(rows, kind="stable")
+    start = np.searchsorted(rows[order], np.arange(rows.max() + 2)).tolist()
+    to, cost = cols[order].tolist(), costs[order].tolist()
+    u, v = [0.0] * (len(start) - 1), [0.0] * (int(cols.max()) + 1)
+    match, owner = [-1] * len(u), [-1] * len(v)
+    for i in range(len(u)):
+        far, prev, done, heap = {}, {}, {}, []
+        row, base, seen, alone, left = i, 0.0, [(i, 0.0)], np.inf, i
+        while True:
+            if base + penalty - u[row] < alone:
+                alone, left = base + penalty - u[row], row
+            for e in range(start[row], start[row + 1]):
+                j = to[e]
+                d = base + cost[e] - u[row] - v[j]
+                if j not in done and d < far.get(j, np.inf):
+                    far[j], prev[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= alone:
+                delta, j = alone, match[left]
+                match[left] = -1
+                break
+            base, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                delta = base
+                break
+            done[j] = base
+            row = owner[j]
+            seen.append((row, base))
+        for r, b in seen:
+            u[r] += delta - b
+        for c, b in done.items():
+            v[c] -= delta - b
+        while j >= 0:
+            r = prev[j]
+            match[r], owner[j], j = j, r, match[r]
+    return {(r, c) for r, c in enumerate(match) if c >= 0}
+
+
+def assign_one_to_one(pairs: DataFrame, tolerance: float, left_id: str = "a", right_id: str = "b", max_cells: int | None = None, matrix_cells: int = 2_000_000) -> DataFrame:
+    """Least-cost one-to-one matching of pairs within a tolerance; a point left alone costs twice the tolerance and one.
+
+    The pair graph falls into components; each is solved alone in one task, exactly: as a matrix up to
+    ``matrix_cells`` cells, beyond that over its pairs, whose number bounds the memory. No component is refused unless
+    ``max_cells`` is given.
     """
     text = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
     named = stored(pairs.select(text("a:", left_id).alias("a"), text("b:", right_id).alias("b"), F.col(left_id).alias("__l"), F.col(right_id).alias("__r"), "distance"))
@@ -97,8 +146,11 @@ def assign_one_to_one(pairs: DataFrame, tolerance: float, left_id: str = "a", ri
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         rows, i = np.unique(g["a"], return_inverse=True)
         cols, j = np.unique(g["b"], return_inverse=True)
-        if len(rows) * len(cols) > max_cells:
+        if max_cells is not None and len(rows) * len(cols) > max_cells:
             raise ValueError(f"a component of {len(rows)} x {len(cols)} points exceeds {max_cells} cells")
+        if len(rows) * len(cols) > matrix_cells:
+            keep = sparse_assignment(i, j, g["distance"].to_numpy(), penalty)
+            return g[[(x, y) in keep for x, y in zip(i.tolist(), j.tolist(), strict=True)]][[left, right, "distance"]]
         cost = np.full((len(rows), len(cols)), penalty)
         cost[i, j] = g["distance"].to_numpy()
         r, c = hungarian(cost)

@@ -111,6 +111,28 @@ def test_optimal_matching(spark):
     assert matching.assign_one_to_one(pairs.limit(0), 5.0).count() == 0
 
 
+def test_sparse_assignment_equals_the_matrix():
+    rng = np.random.default_rng(2)
+    for k in range(200):
+        n, m = map(int, rng.integers(1, 12, 2))
+        d = np.round(rng.random((n, m)) * 5, k % 3)
+        held = rng.random((n, m)) < rng.choice([0.2, 0.5, 1])
+        held[np.arange(n), rng.integers(0, m, n)] = True
+        cost = np.where(held, d, 11.0)
+        want = sum(11 - cost[i, j] for i, j in zip(*matching.hungarian(cost), strict=True))
+        i, j = np.nonzero(held)
+        got = matching.sparse_assignment(i, j, d[i, j], 11.0)
+        assert all(held[x] for x in got) and len({x for x, _ in got}) == len({y for _, y in got}) == len(got)
+        assert sum(11 - d[x] for x in got) == pytest.approx(want)
+
+
+def test_a_component_of_any_size_is_matched(spark):
+    rows = [(i, i, 1.0) for i in range(1, 1501)] + [(i, 0, 0.75 if i == 7 else 3.0) for i in range(1, 1501)] + [(9999, 7, 2.0)]
+    pairs = spark.createDataFrame(rows, "a bigint, b bigint, distance double")
+    got = {(r.a, r.b) for r in matching.assign_one_to_one(pairs, 5.0).collect()}
+    assert got == {(i, i) for i in range(1, 1501) if i != 7} | {(7, 0), (9999, 7)}
+
+
 def test_duplicates_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
