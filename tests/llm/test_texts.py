@@ -8,6 +8,7 @@ import pytest
 from spotlake.llm.leak import align, leaks, word_hashes
 from spotlake.llm.mixture import mix, rates
 from spotlake.llm.spans import factor, shared_spans
+from spotlake.llm.suffixes import Suffixes
 
 DOC = "doc_id bigint, text string, item_id string, score string"
 
@@ -47,6 +48,28 @@ def test_spans_equal_brute_force(spark, seed, hot, windows):
     assert got == _shared(docs, 100) and len(got) > 20
 
 
+@pytest.mark.parametrize("hot", [8000, 1])
+def test_clashing_digests_are_told_apart_by_text(spark, hot):
+    """Every digest is 0: equal keys clash in all levels of seeds, only the text at the boundaries and the parse decide."""
+    docs = _corpus(5)
+    df = spark.createDataFrame([(i, t, "c", "c") for i, t in docs], DOC)
+    got = {(r.doc_id, r.start, r.end) for r in shared_spans(df, least=100, hot=hot, digest_bits=0).collect()}
+    assert got == _shared(docs, 100) and len(got) > 20
+
+
+def test_suffix_order_and_common_prefixes():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        codes = rng.integers(0, int(rng.choice([1, 2, 3, 300])), int(rng.integers(2, 60)))
+        s = Suffixes(codes, 100)
+        tails = [tuple(codes[i:]) for i in s.order]
+        assert tails == sorted(tails)
+        a = rng.permutation(len(codes))
+        b = np.roll(a, 1)
+        for x, y, n in zip(a, b, s.common(a, b, 1), strict=True):
+            assert n == next((k for k in range(len(codes)) if max(x, y) + k >= len(codes) or codes[x + k] != codes[y + k]), len(codes))
+
+
 def test_spans_across_pieces(spark, monkeypatch):
     import spotlake.llm.spans as s
 
