@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotlake.functions.scalars import parse_bool
 from spotlake.operators.scale import cut, prefix_sum
 
 
@@ -19,6 +20,36 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def filtered(df: DataFrame, status: str = "all", reason: str = "", item: str = "", id_col: str = "defect_id") -> DataFrame:
+    """Candidates of a status (all, accepted or rejected), with a reason among theirs and of an id, both exact; blank means any.
+
+    Needs ``accepted`` and ``rejection_reason`` (joined by ``;``), null reasons being none.
+    """
+    status, reason, item = (status or "").strip().lower() or "all", (reason or "").strip(), (item or "").strip()
+    if status not in ("all", "accepted", "rejected"):
+        raise ValueError("status is all, accepted or rejected")
+    if status != "all":
+        df = df.where(parse_bool(F.col("accepted")) == (status == "accepted"))
+    if reason:
+        df = df.where(F.array_contains(F.transform(F.split(F.coalesce("rejection_reason", F.lit("")), ";"), lambda r: F.trim(r)), reason))
+    return df.where(F.trim(F.col(id_col).cast("string")) == item) if item else df
+
+
+def with_labels(page: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``label``: that of the last verdicts (keys, ``label``), 'conflict' where they differ, null without any.
+
+    Only the verdicts on the page's keys are aggregated.
+    """
+    own = verdicts.join(page.select(*keys).distinct(), keys, "left_semi").where("label is not null")
+    one = own.groupBy(*keys).agg(F.when(F.min("label") == F.max("label"), F.min("label")).otherwise("conflict").alias("label"))
+    return page.join(one, keys, "left")
+
+
+def safe_name(text: Column) -> Column:
+    """Whether a run id or relative path can be used: letters, digits, dot, dash, underscore, parts by ``/``, none of them only dots or blank."""
+    return F.coalesce(text.rlike(r"\A(?!\.+(/|\z))[A-Za-z0-9._-]+(/(?!\.+(/|\z))[A-Za-z0-9._-]+)*\z"), F.lit(False))
+
+
 def page_info(df: DataFrame, size: int) -> DataFrame:
     """Rows and pages of a filtered table; an empty one has one page."""
     n = F.count("*")

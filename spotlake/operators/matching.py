@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.geometry import box_iou
 from spotlake.operators.locate import locate
-from spotlake.operators.scale import cut, stored
+from spotlake.operators.scale import blocks, cut, stored
 
 
-def pairs_within(left: DataFrame, right: DataFrame, tolerance: float, left_id: str = "a", right_id: str = "b") -> DataFrame:
-    """(left_id, right_id, distance) of points (id, key, x, y) of the same key at most ``tolerance`` apart."""
-    ids = locate(left, right, within=tolerance, pid=(left_id,), rid=(right_id,), slab_height=max(2 * tolerance, 1e-6))
-    a = left.select(left_id, F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
-    b = right.select(right_id, F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
-    found = ids.distinct().join(a, left_id).join(b, right_id)
-    return found.withColumn("distance", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).drop("ax", "ay", "bx", "by")
+def pairs_within(left: DataFrame, right: DataFrame, tolerance: float, left_id: str = "a", right_id: str = "b", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(left_id, right_id, ``keep`` columns of the right, distance) of points (id, key, x, y) of one key at most ``tolerance`` apart."""
+    a = left.select(left_id, "key", "x", "y", F.col("x").cast("double").alias("__ax"), F.col("y").cast("double").alias("__ay"))
+    b = right.select(right_id, *keep, "key", "x", "y", F.col("x").cast("double").alias("__bx"), F.col("y").cast("double").alias("__by"))
+    # The coordinates ride along as ids, so no join brings them back.
+    found = locate(a, b, within=tolerance, pid=(left_id, "__ax", "__ay"), rid=(right_id, *keep, "__bx", "__by"), slab_height=max(2 * tolerance, 1e-6)).distinct()
+    return found.select(left_id, right_id, *keep, F.hypot(F.col("__ax") - F.col("__bx"), F.col("__ay") - F.col("__by")).alias("distance"))
 
 
 def nearest(pairs: DataFrame, left_id: str = "a", right_id: str = "b") -> DataFrame:
@@ -130,6 +130,36 @@ def sparse_assignment(rows: np.ndarray, cols: np.ndarray, costs: np.ndarray, pen
     return {(r, c) for r, c in enumerate(match) if c >= 0}
 
 
+def _grouped(pairs: DataFrame, left_id: str, right_id: str, rows_each: int = 100_000) -> DataFrame:
+    """``pairs`` with ``__group`` (its connected component) and ``__part``; whole components share a part of about ``rows_each`` pairs."""
+    text = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
+    named = stored(pairs.withColumns({"__a": text("a:", left_id), "__b": text("b:", right_id)}))
+    # A pair whose points have no other partner is a component as it stands.
+    lone = lambda c, o: named.groupBy(c).agg(F.count("*").alias("n"), F.min(o).alias(o)).where("n = 1").select("__a", "__b")
+    single = stored(lone("__a", "__b").join(lone("__b", "__a"), ["__a", "__b"]))
+    rest = named.join(single, ["__a", "__b"], "left_anti")
+    groups = least_labels(rest, "__a", "__b").select(F.col("vertex").alias("__a"), F.col("group").alias("__group"))
+    groups = groups.unionByName(single.select("__a", F.col("__a").alias("__group")))
+    return named.join(groups, "__a").withColumn("__part", F.pmod(F.xxhash64("__group"), F.lit(blocks(named, rows_each))))
+
+
+def _kept(g: pd.DataFrame, penalty: float, matrix_cells: int, max_cells: int | None = None) -> np.ndarray:
+    """Which pairs (``__a``, ``__b``, distance) of a component its least-cost matching keeps."""
+    if len(g) == 1:
+        return np.array([max_cells is None or max_cells > 0])
+    rows, i = np.unique(g["__a"], return_inverse=True)
+    cols, j = np.unique(g["__b"], return_inverse=True)
+    if max_cells is not None and len(rows) * len(cols) > max_cells:
+        raise ValueError(f"a component of {len(rows)} x {len(cols)} points exceeds {max_cells} cells")
+    if len(rows) * len(cols) > matrix_cells:
+        keep = sparse_assignment(i, j, g["distance"].to_numpy(), penalty)
+    else:
+        cost = np.full((len(rows), len(cols)), penalty)
+        cost[i, j] = g["distance"].to_numpy()
+        keep = {(x, y) for x, y in zip(*(v.tolist() for v in hungarian(cost)), strict=True) if cost[x, y] < penalty}
+    return np.array([(x, y) in keep for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+
+
 def assign_one_to_one(pairs: DataFrame, tolerance: float, left_id: str = "a", right_id: str = "b", max_cells: int | None = None, matrix_cells: int = 2_000_000) -> DataFrame:
     """Least-cost one-to-one matching of pairs within a tolerance; a point left alone costs twice the tolerance and one.
 
@@ -137,46 +167,48 @@ def assign_one_to_one(pairs: DataFrame, tolerance: float, left_id: str = "a", ri
     ``matrix_cells`` cells, beyond that over its pairs, whose number bounds the memory. No component is refused unless
     ``max_cells`` is given.
     """
-    text = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
-    named = stored(pairs.select(text("a:", left_id).alias("a"), text("b:", right_id).alias("b"), F.col(left_id).alias("__l"), F.col(right_id).alias("__r"), "distance"))
-    left, right = "__l", "__r"
-    groups = least_labels(named).withColumnRenamed("vertex", "a")
     penalty = 2 * tolerance + 1
+    grouped = _grouped(pairs.select(left_id, right_id, "distance"), left_id, right_id)
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        rows, i = np.unique(g["a"], return_inverse=True)
-        cols, j = np.unique(g["b"], return_inverse=True)
-        if max_cells is not None and len(rows) * len(cols) > max_cells:
-            raise ValueError(f"a component of {len(rows)} x {len(cols)} points exceeds {max_cells} cells")
-        if len(rows) * len(cols) > matrix_cells:
-            keep = sparse_assignment(i, j, g["distance"].to_numpy(), penalty)
-            return g[[(x, y) in keep for x, y in zip(i.tolist(), j.tolist(), strict=True)]][[left, right, "distance"]]
-        cost = np.full((len(rows), len(cols)), penalty)
-        cost[i, j] = g["distance"].to_numpy()
-        r, c = hungarian(cost)
-        keep = {(x, y) for x, y in zip(r.tolist(), c.tolist(), strict=True) if cost[x, y] <= tolerance}
-        return g[[(x, y) in keep for x, y in zip(i, j, strict=True)]][[left, right, "distance"]]
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        out = [g[_kept(g, penalty, matrix_cells, max_cells)] for _, g in part.groupby("__group", sort=False)]
+        return pd.concat(out)[[left_id, right_id, "distance"]]
 
-    schema = ", ".join(f"`{c}` {named.schema[c].dataType.simpleString()}" for c in (left, right, "distance"))
-    return named.join(groups, "a").groupBy("group").applyInPandas(solve, schema).withColumnsRenamed({left: left_id, right: right_id})
+    schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in (left_id, right_id, "distance"))
+    return grouped.groupBy("__part").applyInPandas(solve, schema)
 
 
-def staged(pairs: DataFrame, autos: DataFrame, reviewed: DataFrame, positive: tuple[str, ...], negative: tuple[str, ...], indeterminate: tuple[str, ...], complete: bool) -> DataFrame:
+def staged(pairs: DataFrame, autos: DataFrame, reviewed: DataFrame, positive: tuple[str, ...], negative: tuple[str, ...], indeterminate: tuple[str, ...], complete: bool, matrix_cells: int = 2_000_000) -> DataFrame:
     """Outcome of every automatic point (``a``) and every confirmed point that was missed (``b``).
 
     Stages: confirmed points first, then each negative and each indeterminate label in alphabetical order; every
-    stage matches mutually nearest pairs among what is left. Unmatched automatic points are false positives only if
-    the coverage is complete, else indeterminate.
+    stage matches one to one what is left: as many pairs as can be, of these with the least sum of distances. Unmatched automatic
+    points are false positives only if the coverage is complete, else indeterminate. All stages of a component of near points run
+    in one task; ``pairs`` (a, b, distance) may hold the reviewed ``label``.
     """
-    labelled = pairs.join(reviewed.select("b", "label"), "b")
     stages = [(positive, "TP")] + [((x,), "FP") for x in sorted(negative)] + [((x,), "indeterminate") for x in sorted(indeterminate)]
-    used = None
-    for labels, outcome in stages:
-        mine = labelled.where(F.col("label").isin(*labels))
-        if used is not None:
-            mine = mine.join(used.select("a"), "a", "left_anti")
-        hit = mutual_nearest(mine.select("a", "b", "distance")).select("a", "b", F.lit(outcome).alias("outcome"))
-        used = cut(hit if used is None else used.unionByName(hit))
+    labelled = pairs if "label" in pairs.columns else pairs.join(reviewed.select("b", "label"), "b")
+    labelled = labelled.where(F.col("label").isin([x for labels, _ in stages for x in labels])).select("a", "b", "label", "distance").distinct()
+    outcome_of = {x: outcome for labels, outcome in stages for x in labels}
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in part.groupby("__group", sort=False):
+            if len(g) == 1:
+                out.append(g)
+                continue
+            for labels, _ in stages:
+                mine = g[g["label"].isin(labels)]
+                if len(mine):
+                    # The matching falls into the components of the stage's own pairs, solved together here.
+                    hit = mine[_kept(mine, float(mine["distance"].sum()) + 1.0, matrix_cells)]
+                    out.append(hit)
+                    g = g[~g["__a"].isin(hit["__a"])]
+        found = pd.concat(out)
+        return pd.DataFrame({"a": found["a"], "b": found["b"], "outcome": found["label"].map(outcome_of)})
+
+    schema = ", ".join(f"`{c}` {labelled.schema[c].dataType.simpleString()}" for c in ("a", "b")) + ", outcome string"
+    used = stored(_grouped(labelled, "a", "b").groupBy("__part").applyInPandas(solve, schema))
     rest = autos.select("a").distinct().join(used.select("a"), "a", "left_anti")
     rest = rest.select("a", F.lit(None).cast(reviewed.schema["b"].dataType).alias("b"), F.lit("FP" if complete else "indeterminate").alias("outcome"))
     missed = reviewed.where(F.col("label").isin(*positive)).select("b").distinct().join(used.select("b"), "b", "left_anti")

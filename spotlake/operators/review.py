@@ -85,14 +85,17 @@ def consensus_for_training(verdicts: DataFrame, item: list[str]) -> DataFrame:
 
 
 def provenance(declared: DataFrame, known: DataFrame, key: str, declared_hash: str, known_hash: str) -> DataFrame:
-    """Declared source hashes against the known ones: five states."""
-    actual = known.select(F.col(key).alias("__k"), F.lower(F.trim(known_hash)).alias("__h")).where("__k is not null").groupBy("__k").agg(F.min("__h").alias("__lo"), F.max("__h").alias("__hi"))
+    """Declared source hashes against the known ones of the same key: five states."""
+    actual = known.select(F.col(key).alias("__k"), F.nullif(F.lower(F.trim(known_hash)), F.lit("")).alias("__h")).where("__k is not null").distinct()
+    sources = actual.groupBy("__k").agg(F.count("__h").alias("__n"))
+    pairs = actual.where("__h is not null").select(F.col("__k").alias("__k2"), F.col("__h"))
     said = F.nullif(F.lower(F.trim(declared_hash)), F.lit(""))
     state = (
         F.when(F.col("__k").isNull(), "unknown_source")
         .when(said.isNull(), "not_declared")
-        .when(F.col("__lo").isNull(), "source_without_hash")
-        .when((said == F.col("__lo")) | (said == F.col("__hi")), "match")
+        .when(F.col("__n") == 0, "source_without_hash")
+        .when(F.col("__h").isNotNull(), "match")
         .otherwise("mismatch")
     )
-    return declared.join(actual, F.col(key) == F.col("__k"), "left").withColumn("provenance", state).drop("__k", "__lo", "__hi")
+    rows = declared.join(sources, F.col(key) == F.col("__k"), "left").join(pairs, (F.col(key) == F.col("__k2")) & (said == F.col("__h")), "left")
+    return rows.withColumn("provenance", state).drop("__k", "__n", "__k2", "__h")

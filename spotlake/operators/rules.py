@@ -23,22 +23,25 @@ LOGGED = 4
 
 @dataclass(frozen=True)
 class Limits:
-    min_area_px: float = 4
-    max_area_px: float = 2000
+    # The defaults of the rules.
+    min_area_px: float = 5
+    max_area_px: float = 5000
     min_diameter_px: float = 2.0
-    max_diameter_px: float = 60.0
-    max_aspect: float = 3.0
-    max_eccentricity: float = 0.95
-    min_circularity: float = 0.35
-    min_solidity: float = 0.7
+    max_diameter_px: float = 80.0
+    max_aspect: float = 4.0
+    max_eccentricity: float = 0.92
+    min_circularity: float = 0.25
+    min_solidity: float = 0.60
     min_contrast: float = 0.02
-    min_edge_mm: float = 0.5
+    min_edge_mm: float = 0.0
+    min_valid_fraction: float = 0.95
 
 
 def reasons(limits: Limits = Limits(), valid_fraction: Column | None = None) -> Column:
     """The reasons against a candidate, in order; empty if there are none.
 
     A missing or NaN size passes the size rules, an infinite aspect ratio is elongated, a contrast that is not finite is low.
+    ``valid_fraction`` is the share of a candidate's pixels in the valid mask; without it all are (detection keeps none else).
     """
     c = F.col
     above = lambda name, top: F.coalesce(~F.isnan(name) & (c(name) > top), F.lit(False))
@@ -46,7 +49,7 @@ def reasons(limits: Limits = Limits(), valid_fraction: Column | None = None) ->
     boundary = c("distance_to_valid_boundary_mm")
     outside = F.coalesce(~F.isnan(boundary) & (boundary <= 0), F.lit(False))
     if valid_fraction is not None:
-        outside = outside | F.coalesce(valid_fraction < 1, F.lit(False))
+        outside = outside | F.coalesce(valid_fraction < limits.min_valid_fraction, F.lit(False))
     area = c("area_px")
     tests = (
         outside,
@@ -101,13 +104,19 @@ def decide(df: DataFrame, model: Model, limits: Limits = Limits()) -> DataFrame:
     """Rule reasons, the model's probability and the final decision, with its basis.
 
     A hard reason blocks; without finite features the model does not apply and nothing is accepted; else the
-    probability decides: target, artifact or uncertain. Only a target is accepted.
+    probability decides: target, artifact or uncertain. Only a target is accepted. What the rules alone say stays in
+    ``rule_accepted`` and ``rule_rejection_reason``; ``final_reason`` is empty for a target, the rules' own where they block,
+    else the classifier's.
     """
     model = model.checked()
     df = df.withColumn("reasons", reasons(limits)).withColumn("probability", model.probability())
     p = F.col("probability")
     hard = F.arrays_overlap("reasons", F.array(*map(F.lit, HARD)))
     decision = (
-        F.when(hard, "blocked").when(p.isNull(), "invalid_features").when(p >= model.accept, "target").when(p <= model.reject, "artifact").otherwise("uncertain")
+        F.when(hard, "blocked_by_geometry").when(p.isNull(), "feature_invalid").when(p >= model.accept, "target").when(p <= model.reject, "artifact").otherwise("uncertain")
     )
-    return df.withColumns({"decision": decision, "model_applied": p.isNotNull()}).withColumn("accepted_now", F.col("decision") == "target")
+    rule = F.array_join("reasons", ";")
+    d = F.col("decision")
+    reason = F.when(d == "target", "").when(d == "blocked_by_geometry", rule).otherwise(F.concat(F.lit("classifier_"), d))
+    out = df.withColumns({"decision": decision, "model_applied": p.isNotNull(), "rule_accepted": F.size("reasons") == 0, "rule_rejection_reason": rule})
+    return out.withColumns({"accepted_now": d == "target", "final_reason": reason, "decision_basis": F.lit("trained_candidate_classifier")})

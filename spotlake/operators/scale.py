@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +31,49 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_written: list[str] = []
+
+
+def scoped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after which the tables it stored are removed, but for those its result still reads.
+
+    These last until the process ends.
+    """
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        before = len(_written)
+        kept: set[str] = set()
+        try:
+            out = query(spark, folder)
+            kept = {part for f in out.inputFiles() for part in f.split("/")} if len(_written) > before else kept
+            return out
+        finally:
+            mine = _written[before:]
+            removed(spark, [p for p in mine if p.rsplit("/", 1)[1] not in kept])
+
+    return run
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stored tables."""
+    if not paths or spark.sparkContext._jsc is None:
+        return
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        _written.remove(p)
+
+
+@atexit.register
+def _at_end() -> None:
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession() if _written else None
+        if spark is not None:
+            removed(spark, list(_written))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise small, iterated state and forget its plan.
 
@@ -39,16 +86,27 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a compressed table in the shared folder and read it again (large intermediate rows)."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged (a shuffled, skew-split join).
+def broadcast_within(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else unchanged (a shuffled,
+    skew-split join). Texts count with their lengths, arrays with 64 bytes an entry, all else with 16 bytes a column.
 
     ``df`` should be cheap to count, i.e. come from :func:`cut` or :func:`stored`.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    size = F.lit(16 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            size = size + 64 * F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
 
 
 def blocks(df: DataFrame, rows_each: int) -> int:
@@ -57,15 +115,18 @@ def blocks(df: DataFrame, rows_each: int) -> int:
 
 
 def prefix_sum(
-    df: DataFrame, value: str, order: list[str], out: str, within: list[str] | None = None, buckets: int = 256, bucket: Column | None = None
+    df: DataFrame, value: str, order: list[str], out: str, within: list[str] | None = None, buckets: int | None = None, bucket: Column | None = None, rows_each: int = 200_000
 ) -> DataFrame:
     """Exclusive running sum of ``value`` in the total order (hash bucket of ``order``, ``order``), per ``within``.
 
-    No window ever covers a whole group: rows fall into ``buckets`` hash buckets, each bucket is summed (with map-side
-    partial sums), the at most ``buckets`` totals of a group are accumulated, and rows are only ordered inside their
-    bucket. The order is arbitrary but fixed by the values of ``order``. ``bucket`` (an integer with a bounded number of
-    values) replaces the hash bucket to order by something else first. A null ``value`` counts as 0.
+    No window ever covers a whole group: rows fall into ``buckets`` hash buckets (as many as give ``rows_each`` rows each,
+    at least 16, unless stated), each bucket is summed (with map-side partial sums), the at most ``buckets`` totals of a
+    group are accumulated, and rows are only ordered inside their bucket. The order is arbitrary but fixed by the values
+    of ``order`` and the buckets. ``bucket`` (an integer of so many values that a bucket stays small) replaces the hash
+    bucket to order by something else first. A null ``value`` counts as 0.
     """
+    if bucket is None and buckets is None:
+        buckets = max(16, blocks(df, rows_each))
     within = within or []
     amount = F.coalesce(F.col(value), F.lit(0))
     df = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(buckets)) if bucket is None else bucket)

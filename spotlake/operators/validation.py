@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.functions.scalars import precision_recall
@@ -16,6 +16,20 @@ def outcome_metrics(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns(precision_recall(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def stratum_metrics(outcomes: DataFrame, share: Column) -> DataFrame:
+    """TP, FP and FN of the centre, middle and edge strata of the normalised radius, each closed on the right; all three are present.
+
+    Rows whose radius is unknown or beyond the rim belong to none.
+    """
+    # The strata's ends.
+    name = F.when(share <= 0.33, "center").when(share <= 0.67, "middle").when(share <= 1 + 2.220446049250313e-16, "edge")
+    rows = outcomes.withColumn("stratum", name).where("stratum is not null")
+    names = F.array(*map(F.lit, ("center", "middle", "edge")))
+    every = outcomes.sparkSession.range(1).select(F.explode(names).alias("stratum"))
+    out = every.join(outcome_metrics(rows, ["stratum"]), "stratum", "left").fillna(0, ["tp", "fp", "fn", "indeterminate"])
+    return out.withColumn("count", F.col("tp") + F.col("fp") + F.col("fn") + F.col("indeterminate"))
+
+
 def bland_altman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mean and difference of two measurements, the mean of a pair with one value being that value."""
     x, y = F.col(a), F.col(b)
@@ -51,6 +65,20 @@ def decision_metrics(scored: DataFrame, by: list[str], accept: float = 0.75, rej
     return out.withColumns({"coverage": F.try_divide("decided", "n"), **precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))})
 
 
+def held_out(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Per held-out split: decisions (``decision`` of the model) against ``label``, with a status.
+
+    ``status`` is 'held_out_' and the split if both classes occur, else 'one_class_only': then nothing is validated.
+    """
+    d, t = F.col("decision"), F.col("label") == "target"
+    out = scored.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(d.isin("target", "artifact")).alias("decided"), F.count_if(t & (d == "target")).alias("tp"), F.count_if(~t & (d == "target")).alias("fp"),
+        F.count_if(t & (d != "target")).alias("fn"), F.count_if(~t & (d == "artifact")).alias("tn"), (F.max(t) & ~F.min(t)).alias("both"),
+    )
+    status = F.when(F.col("both"), F.concat_ws("_", F.lit("held_out"), *by)).otherwise("one_class_only")
+    return out.withColumns({"status": status, "coverage": F.try_divide("decided", "n"), **precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))}).drop("both")
+
+
 def bootstrap_bias(groups: DataFrame, observed: str, expected: str, draws: int = 2000, seed: int = 17) -> DataFrame:
     """Percentile interval of the total relative bias when whole wafers are drawn with replacement; null below two.
 

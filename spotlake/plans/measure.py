@@ -150,6 +150,12 @@ def logistic_score_decision(spark, d):
     return rows.groupBy("decision").agg(F.count("*").alias("n"), F.count_if("accepted_now").alias("accepted"), F.round(F.avg("probability"), 6).alias("mean_probability"))
 
 
+def classifier_reasons(spark, d):
+    """How candidates leave the model, by what the rules said of them and the final reason."""
+    rows = decide(candidates(spark, d, *dict.fromkeys([*FEATURES, *RULE_COLUMNS])), MODEL, LIMITS)
+    return rows.groupBy("decision", "rule_accepted", "rule_rejection_reason", "final_reason").agg(F.count("*").alias("n"))
+
+
 def standardize(spark, d):
     """Mean and population deviation of each feature over candidates with a whole feature vector."""
     rows = candidates(spark, d, *FEATURES).select(features().alias("x")).where("x is not null")
@@ -185,7 +191,7 @@ QUERIES = {
     for f in (
         rule_reject, reason_counts, accepted_split, polar_coords, wafer_coords, derived_shape, density_by_run, garwood_ci, radial_equal_width,
         radial_equal_area_edges, angular_sectors, regional_density, grid_density_dense, field_matrix_cube, strata_right_closed, heterogeneity_chi2,
-        logistic_score_decision, standardize, percentile_window, sensitivity_sweep, tile_ownership,
+        logistic_score_decision, classifier_reasons, standardize, percentile_window, sensitivity_sweep, tile_ownership,
     )
 }
 
@@ -251,8 +257,11 @@ SQL = {
         x AS (SELECT any_value(runs) AS runs, sum((count - area_cm2 * n / s) ^ 2 / (area_cm2 * n / s)) AS chi2 FROM dr, t WHERE area_cm2 > 0)
         SELECT runs, round(chi2, 4) AS chi2, round(chi2 / (runs - 1), 4) AS per_degree, chi2 / (runs - 1) > 1.5 AS heterogeneous FROM x""",
     "logistic_score_decision": f"""WITH s AS (SELECT CASE WHEN {_WHOLE} THEN 1 / (1 + exp(-greatest(-40, least(40, {_Z})))) END AS p, {_TESTS['outside_valid_mask']} OR ({_TESTS['near_wafer_edge']}) AS hard FROM {_c(*dict.fromkeys([*FEATURES, *RULE_COLUMNS]))}),
-        t AS (SELECT p, CASE WHEN hard THEN 'blocked' WHEN p IS NULL THEN 'invalid_features' WHEN p >= 0.75 THEN 'target' WHEN p <= 0.25 THEN 'artifact' ELSE 'uncertain' END AS decision FROM s)
+        t AS (SELECT p, CASE WHEN hard THEN 'blocked_by_geometry' WHEN p IS NULL THEN 'feature_invalid' WHEN p >= 0.75 THEN 'target' WHEN p <= 0.25 THEN 'artifact' ELSE 'uncertain' END AS decision FROM s)
         SELECT decision, count(*) AS n, count(*) FILTER (decision = 'target') AS accepted, round(avg(p), 6) AS mean_probability FROM t GROUP BY 1""",
+    "classifier_reasons": f"""WITH s AS (SELECT CASE WHEN {_WHOLE} THEN 1 / (1 + exp(-greatest(-40, least(40, {_Z})))) END AS p, {_TESTS['outside_valid_mask']} OR ({_TESTS['near_wafer_edge']}) AS hard, {_REASON} AS rule FROM {_c(*dict.fromkeys([*FEATURES, *RULE_COLUMNS]))}),
+        t AS (SELECT rule, CASE WHEN hard THEN 'blocked_by_geometry' WHEN p IS NULL THEN 'feature_invalid' WHEN p >= 0.75 THEN 'target' WHEN p <= 0.25 THEN 'artifact' ELSE 'uncertain' END AS decision FROM s)
+        SELECT decision, rule = '' AS rule_accepted, rule AS rule_rejection_reason, CASE decision WHEN 'target' THEN '' WHEN 'blocked_by_geometry' THEN rule ELSE 'classifier_' || decision END AS final_reason, count(*) AS n FROM t GROUP BY ALL""",
     "standardize": f"""WITH v AS (SELECT unnest([{', '.join(_X)}]) AS v, unnest(range(10)) AS feature FROM {_c(*FEATURES)} WHERE {_WHOLE})
         SELECT feature::INT AS feature, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation FROM v GROUP BY 1""",
     "percentile_window": f"""WITH c AS (SELECT * FROM {_c('mean_gray_raw')} WHERE {_ok('mean_gray_raw')}), l AS (SELECT run_id, count(*) AS n, quantile_cont(mean_gray_raw, 0.01) AS low, quantile_cont(mean_gray_raw, 0.99) AS high FROM c GROUP BY 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotlake.functions.names import instant, split_name, wafer_key
 from spotlake.functions.scalars import base_name, key_of_candidate
 from spotlake.operators import catalog as cat
 from spotlake.operators import matching as match
@@ -13,15 +14,16 @@ from spotlake.operators import signal as sig
 from spotlake.operators import validation as val
 from spotlake.operators.logistic import train
 from spotlake.operators.masks import run_objects
-from spotlake.operators.rules import decide
-from spotlake.operators.scale import stored, table
-from spotlake.plans.measure import candidates
+from spotlake.operators.rules import FEATURES, decide
+from spotlake.operators.scale import stored, table, trimmed
+from spotlake.plans.areas import wafers
+from spotlake.plans.measure import _TESTS, _WHOLE, _Z, LIMITS, MODEL, RULE_COLUMNS, candidates
 
 TOLERANCE_PX = 12.0
 
 
 def _norm(c: str):
-    return F.lower(F.btrim(F.col(c), F.lit(" \t\r\n")))
+    return F.lower(trimmed(c))
 
 
 def annotations(spark: SparkSession, d: str) -> DataFrame:
@@ -35,10 +37,9 @@ def named_annotations(spark, d):
 
 
 def labels(spark, d) -> DataFrame:
-    """The last verdict per candidate and reviewer (by time text, arrival, label), with one spelling per value."""
-    rows = table(spark, d, "training_labels").withColumns({"label": _norm("label"), "reviewer_id": _norm("reviewer_id"), "split": F.nullif(_norm("split"), F.lit(""))})
-    at = F.substring("updated_at_utc", 1, 19)
-    rows = rows.select("run_id", "defect_id", "reviewer_id", "label", "split", at.alias("at"), "received_at")
+    """The last verdict per candidate and reviewer (by point in time, arrival, label), with one spelling per value."""
+    rows = table(spark, d, "training_labels").withColumns({"label": _norm("label"), "reviewer_id": _norm("reviewer_id"), "split": split_name()})
+    rows = rows.select("run_id", "defect_id", "reviewer_id", "label", "split", instant("updated_at_utc").alias("at"), "received_at")
     return rev.keep_last(rows, ["run_id", "defect_id", "reviewer_id"], ["at", "received_at", "label", "split"])
 
 
@@ -81,7 +82,7 @@ def label_status(spark, d):
 
 def split_leakage(spark, d):
     """Wafers whose annotated rows stand in more than one split."""
-    rows = table(spark, d, "training_labels").select(F.upper(F.regexp_replace("wafer_id", "[^A-Za-z0-9]", "")).alias("wafer"), F.nullif(_norm("split"), F.lit("")).alias("split"))
+    rows = table(spark, d, "training_labels").select(wafer_key().alias("wafer"), split_name().alias("split"))
     return val.torn(rows, "wafer", "split")
 
 
@@ -110,7 +111,7 @@ def _reviewed(spark, d):
 
 
 def _near(spark, d):
-    return stored(match.pairs_within(_autos(spark, d), _reviewed(spark, d).drop("label"), TOLERANCE_PX))
+    return stored(match.pairs_within(_autos(spark, d), _reviewed(spark, d), TOLERANCE_PX, keep=("label",)))
 
 
 def proximity_pairs(spark, d):
@@ -127,8 +128,7 @@ def match_mutual(spark, d):
 
 def match_optimal(spark, d):
     """Least-cost one-to-one matching of accepted candidates and confirmed annotations."""
-    confirmed = _reviewed(spark, d).where("label = 'confirmed_point'").select("b")
-    return match.assign_one_to_one(_near(spark, d).join(confirmed, "b", "left_semi"), TOLERANCE_PX)
+    return match.assign_one_to_one(_near(spark, d).where("label = 'confirmed_point'"), TOLERANCE_PX)
 
 
 def match_cascade(spark, d):
@@ -178,12 +178,11 @@ def class_report(spark, d):
 
 
 def trained_scores(spark, d):
-    """A model trained on the usable consensus of the calibration split, applied to every candidate."""
-    from spotlake.operators.rules import FEATURES
-    from spotlake.plans.measure import RULE_COLUMNS
-
+    """A model trained on the usable consensus of the calibration split, wafers in several splits left out, applied to every candidate."""
     cols = list(dict.fromkeys([*FEATURES, *RULE_COLUMNS]))
-    truth = labels(spark, d).where("coalesce(split, '') in ('calibration', 'train', 'training')")
+    torn = split_leakage(spark, d).select("wafer")
+    rows = table(spark, d, "training_labels").select("run_id", "defect_id", wafer_key().alias("wafer")).join(torn, "wafer", "left_semi").select("run_id", "defect_id").distinct()
+    truth = labels(spark, d).where("split = 'calibration'").join(rows, ["run_id", "defect_id"], "left_anti")
     truth = rev.consensus_for_training(truth, ["run_id", "defect_id"]).where("status = 'usable'").select("run_id", F.col("defect_id").cast("bigint").alias("defect_id"), "label")
     rows = stored(candidates(spark, d, *cols))
     model = train(rows.join(truth, ["run_id", "defect_id"]))
@@ -235,7 +234,7 @@ def catalog_entries(spark, d):
 
 
 def latest_run(spark, d):
-    runs = table(spark, d, "run_catalog").withColumn("at", F.substring("generated_at_utc", 1, 19))
+    runs = table(spark, d, "run_catalog").withColumn("at", instant("generated_at_utc"))
     return cat.latest_run(runs.select("run_id", "status", "at").distinct()).select("run_id", "status")
 
 
@@ -245,6 +244,45 @@ def page_offset(spark, d):
     return cat.page(rows.select("run_id", "defect_id", "rejection_reason"), [F.col("run_id"), F.col("defect_id")], 3, 50)
 
 
+def page_filtered(spark, d):
+    """The first page of 50 rejected candidates with exactly the reason low_contrast among theirs, with their labels."""
+    rows = candidates(spark, d, "accepted", "rejection_reason", "contrast")
+    page = cat.page(cat.filtered(rows, "rejected", "low_contrast"), [F.col("run_id"), F.col("defect_id")], 1, 50)
+    verdicts = labels(spark, d).select("run_id", F.col("defect_id").try_cast("bigint").alias("defect_id"), "label")
+    return cat.with_labels(stored(page), verdicts, ["run_id", "defect_id"]).select("run_id", "defect_id", "rejection_reason", "label")
+
+
+def run_labels(spark, d):
+    """One label per judged candidate: that of all reviewers' last verdicts, or 'conflict'."""
+    verdicts = labels(spark, d).select("run_id", "defect_id", "label")
+    return cat.with_labels(verdicts.select("run_id", "defect_id").distinct(), verdicts, ["run_id", "defect_id"])
+
+
+def strata_outcomes(spark, d):
+    """True and false positives and misses of the staged matching per radial stratum of the wafer."""
+    out = match.staged(_near(spark, d), _autos(spark, d), _reviewed(spark, d), rev.POSITIVE, rev.NEGATIVE, rev.INDETERMINATE, complete=True)
+    centre = wafers(spark, d).select(F.col("image_id").alias("key"), "cx", "cy", "radius")
+    share = (F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) / F.col("radius")).alias("share")
+    one = _autos(spark, d).join(centre, "key").select(F.col("a").alias("ia"), share)
+    two = _reviewed(spark, d).join(centre, "key").select(F.col("b").alias("ib"), share.alias("other"))
+    rows = out.join(one, F.col("a") == F.col("ia"), "left").join(two, (F.col("b") == F.col("ib")) & F.col("a").isNull(), "left")
+    found = val.stratum_metrics(rows, F.coalesce("share", "other"))
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+def held_out_report(spark, d):
+    """The fixed example model against the usable consensus of each held-out split, wafers in several splits left out."""
+    rows = labels(spark, d)
+    torn = split_leakage(spark, d).select("wafer")
+    wafer = table(spark, d, "training_labels").select("run_id", "defect_id", wafer_key().alias("wafer")).where("wafer is not null").groupBy("run_id", "defect_id").agg(F.min("wafer").alias("wafer"))
+    truth = rev.consensus_for_training(rows, ["run_id", "defect_id"]).where("status = 'usable' and label in ('target', 'artifact')")
+    split = rows.groupBy("run_id", "defect_id").agg(F.max("split").alias("split"))
+    truth = truth.join(split, ["run_id", "defect_id"]).where("split in ('validation', 'locked_test')").join(wafer, ["run_id", "defect_id"], "left").join(torn, "wafer", "left_anti")
+    truth = truth.select("run_id", F.col("defect_id").try_cast("bigint").alias("defect_id"), "label", "split")
+    scored = decide(candidates(spark, d, *dict.fromkeys([*FEATURES, *RULE_COLUMNS])), MODEL, LIMITS).select("run_id", "defect_id", "probability", "decision")
+    return val.held_out(truth.join(scored, ["run_id", "defect_id"]), ["split"]).withColumns({c: F.round(c, 6) for c in ("coverage", "precision", "recall", "f1")})
+
+
 def page_counts(spark, d):
     return cat.page_info(candidates(spark, d, "accepted").where("not accepted"), 50)
 
@@ -311,7 +349,7 @@ QUERIES = {
     for f in (
         last_per_reviewer, reviewer_pairs_agreement, cohen_kappa, class_jaccard, arbitrate_mode_tie, consensus_ordered, label_status, split_leakage,
         provenance_status, candidate_keys, proximity_pairs, nearest_reference, match_mutual, match_optimal, match_cascade, semi_matched, anti_unmatched,
-        wafer_metrics, bland_altman, bootstrap_bias, class_report, trained_scores, dedup_groups, bbox_iou_links, union_priority, mask_objects, catalog_entries, latest_run, page_offset, page_counts,
+        wafer_metrics, bland_altman, bootstrap_bias, class_report, trained_scores, dedup_groups, bbox_iou_links, union_priority, mask_objects, catalog_entries, latest_run, page_offset, page_filtered, run_labels, strata_outcomes, held_out_report, page_counts,
         dense_renumber, evenly_spaced, farthest_points, balanced_sample, sliding_median, rle_encode, rle_pixels, multi_otsu, set_ops, sha_provenance,
     )
 }
@@ -327,8 +365,9 @@ _COUNTS = """count(*) AS items, count(*) FILTER (la = lb) AS equal, count(*) FIL
     count(*) FILTER (x = 1 AND y IS NOT NULL) AS first_points, count(*) FILTER (y = 1 AND x IS NOT NULL) AS second_points"""
 _CHANCE = "((first_points * second_points + (clear_pairs - first_points) * (clear_pairs - second_points)) / (clear_pairs * clear_pairs))"
 _KAPPA = f"CASE WHEN clear_pairs >= 2 AND abs(1 - {_CHANCE}) > 1e-12 THEN round((clear_equal / clear_pairs - {_CHANCE}) / (1 - {_CHANCE}), 6) END"
-_LABELS = f"""labels AS (SELECT run_id, defect_id, reviewer_id, label, split FROM (SELECT run_id, defect_id, {_N.format('reviewer_id')} AS reviewer_id, {_N.format('label')} AS label, nullif({_N.format('split')}, '') AS split,
-    updated_at_utc[1:19] AS t, received_at FROM training_labels) QUALIFY row_number() OVER (PARTITION BY run_id, defect_id, reviewer_id ORDER BY t DESC NULLS LAST, received_at DESC NULLS LAST, label DESC NULLS LAST, split DESC NULLS LAST) = 1)"""
+_SPLIT = f"CASE WHEN {_N.format('split')} IN ('train', 'training') THEN 'calibration' ELSE nullif({_N.format('split')}, '') END"
+_LABELS = f"""labels AS (SELECT run_id, defect_id, reviewer_id, label, split FROM (SELECT run_id, defect_id, {_N.format('reviewer_id')} AS reviewer_id, {_N.format('label')} AS label, {_SPLIT} AS split,
+    try_cast(updated_at_utc AS TIMESTAMPTZ) AS t, received_at FROM training_labels) QUALIFY row_number() OVER (PARTITION BY run_id, defect_id, reviewer_id ORDER BY t DESC NULLS LAST, received_at DESC NULLS LAST, label DESC NULLS LAST, split DESC NULLS LAST) = 1)"""
 _CONS = f"""{_LABELS}, cons AS (SELECT run_id, defect_id, count(*) AS verdicts, CASE WHEN count(*) FILTER (label = 'uncertain') > 0 THEN 'uncertain' WHEN count(DISTINCT label) > 1 THEN 'conflict'
     WHEN count(DISTINCT split) > 1 THEN 'split_conflict' ELSE 'usable' END AS status, max(label) AS top FROM labels GROUP BY 1, 2)"""
 _NEAR = f"""{_ANN}, autos AS (SELECT run_id || '/' || defect_id AS a, image_id AS key, centroid_x_px AS x, centroid_y_px AS y FROM (SELECT DISTINCT run_id, defect_id, image_id, centroid_x_px, centroid_y_px, accepted FROM candidates)
@@ -341,20 +380,52 @@ _CAND = "(SELECT DISTINCT run_id, defect_id, {0} FROM candidates)"
 
 
 def _cascade(select: str) -> str:
-    """The staged matching, a chain of common table expressions per stage."""
-    stages = [("'confirmed_point'", "TP")] + [(f"'{x}'", "FP") for x in sorted(rev.NEGATIVE)] + [(f"'{x}'", "indeterminate") for x in sorted(rev.INDETERMINATE)]
-    out, used = [], ""
+    """The staged matching: per stage, every one-to-one matching of each component is listed and the best is taken."""
+    stages = [("confirmed_point", "TP")] + [(x, "FP") for x in sorted(rev.NEGATIVE)] + [(x, "indeterminate") for x in sorted(rev.INDETERMINATE)]
+    out = []
     for i, (label, outcome) in enumerate(stages):
         left = f" AND a NOT IN (SELECT a FROM u{i - 1})" if i else ""
-        out.append(f"s{i} AS (SELECT a, b, distance FROM near WHERE label = {label}{left})")
-        best = f"""SELECT a, b, '{outcome}' AS outcome FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS i, row_number() OVER (PARTITION BY b ORDER BY distance, a) AS j FROM s{i}) WHERE i = 1 AND j = 1"""
-        out.append(f"u{i} AS ({best}{f' UNION ALL SELECT * FROM u{i - 1}' if i else ''})")
-        used = f"u{i}"
-    return f"""WITH {_NEAR}, {', '.join(out)}, every AS (SELECT a, b, outcome FROM {used} UNION ALL SELECT a, NULL, 'FP' FROM (SELECT DISTINCT a FROM autos) WHERE a NOT IN (SELECT a FROM {used})
+        before = f" UNION ALL SELECT * FROM u{i - 1}" if i else ""
+        out.append(f"""s{i} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS r, a, b, distance FROM near WHERE label = '{label}'{left}),
+t{i}(r, k) AS (SELECT r, r FROM s{i} UNION SELECT t.r, y.r FROM t{i} t JOIN s{i} x ON t.k = x.r JOIN (SELECT x.r AS q, y.r FROM s{i} x JOIN s{i} y ON x.a = y.a UNION SELECT x.r, y.r FROM s{i} x JOIN s{i} y ON x.b = y.b) y ON y.q = x.r),
+g{i} AS MATERIALIZED (SELECT s.*, g FROM s{i} s JOIN (SELECT r, min(k) AS g FROM t{i} GROUP BY 1) USING (r)),
+m{i}(g, last, n, cost, aa, bb, rs) AS (SELECT g, r, 1, distance, [a], [b], [r] FROM g{i}
+    UNION ALL SELECT m.g, e.r, n + 1, cost + distance, list_append(aa, a), list_append(bb, b), list_append(rs, r) FROM m{i} m JOIN g{i} e ON m.g = e.g AND e.r > last WHERE NOT list_contains(aa, a) AND NOT list_contains(bb, b)),
+u{i} AS MATERIALIZED (SELECT a, b, '{outcome}' AS outcome FROM (SELECT unnest(rs) AS r FROM (SELECT rs FROM m{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, cost, rs) = 1)) JOIN s{i} USING (r){before})""")
+    used = f"u{len(stages) - 1}"
+    return f"""WITH RECURSIVE {_NEAR}, {', '.join(out)}, every AS (SELECT a, b, outcome FROM {used} UNION ALL SELECT a, NULL, 'FP' FROM (SELECT DISTINCT a FROM autos) WHERE a NOT IN (SELECT a FROM {used})
         UNION ALL SELECT NULL, b, 'FN' FROM (SELECT DISTINCT b FROM reviewed WHERE label = 'confirmed_point') WHERE b NOT IN (SELECT b FROM {used})) {select}"""
 
 
+_OPTIMAL = f"""s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS r, a, b, distance FROM near WHERE label = 'confirmed_point'),
+t(r, k) AS (SELECT r, r FROM s UNION SELECT t.r, y.r FROM t JOIN s x ON t.k = x.r JOIN (SELECT x.r AS q, y.r FROM s x JOIN s y ON x.a = y.a UNION SELECT x.r, y.r FROM s x JOIN s y ON x.b = y.b) y ON y.q = x.r),
+g AS MATERIALIZED (SELECT s.*, g FROM s JOIN (SELECT r, min(k) AS g FROM t GROUP BY 1) USING (r)),
+m(g, last, gain, aa, bb, rs) AS (SELECT g, r, distance - {2 * TOLERANCE_PX + 1}, [a], [b], [r] FROM g
+    UNION ALL SELECT m.g, e.r, gain + distance - {2 * TOLERANCE_PX + 1}, list_append(aa, a), list_append(bb, b), list_append(rs, r) FROM m JOIN g e ON m.g = e.g AND e.r > last WHERE NOT list_contains(aa, a) AND NOT list_contains(bb, b))"""
+_STRATA = """, c AS (SELECT image_id AS key, max(image_width_px) / 2 AS cx, max(image_height_px) / 2 AS cy, max(image_width_px) / (2 * 1.08) AS radius FROM run_catalog WHERE image_id IS NOT NULL AND mm_per_pixel > 0 AND image_width_px > 0 AND image_height_px > 0 GROUP BY 1),
+        q AS (SELECT outcome, sqrt((coalesce(o.x, r.x) - cx) ^ 2 + (coalesce(o.y, r.y) - cy) ^ 2) / radius AS q FROM every e LEFT JOIN autos o ON e.a = o.a LEFT JOIN reviewed r ON e.b = r.b JOIN c ON c.key = coalesce(o.key, r.key)),
+        n AS (SELECT stratum, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'indeterminate') AS indeterminate
+            FROM (VALUES ('center', -1, 0.33), ('middle', 0.33, 0.67), ('edge', 0.67, 1 + 2e-16)) t(stratum, low, high) LEFT JOIN q ON q > low AND q <= high GROUP BY 1),
+        p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM n)
+        SELECT stratum, tp, fp, fn, indeterminate, tp + fp + fn + indeterminate AS count, round(precision, 6) AS precision, round(recall, 6) AS recall, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 6) END AS f1 FROM p"""
+
 SQL = {
+    "match_optimal": f"WITH RECURSIVE {_NEAR}, {_OPTIMAL} SELECT a, b, distance FROM (SELECT unnest(rs) AS r FROM (SELECT rs FROM m QUALIFY row_number() OVER (PARTITION BY g ORDER BY gain) = 1)) JOIN s USING (r)",
+    "strata_outcomes": _cascade(_STRATA),
+    "page_filtered": f"""WITH {_LABELS}, p AS (SELECT run_id, defect_id, rejection_reason FROM {_CAND.format('accepted, rejection_reason, contrast')} WHERE NOT accepted AND list_contains(list_transform(string_split(rejection_reason, ';'), lambda x: trim(x)), 'low_contrast')
+        ORDER BY run_id, defect_id LIMIT 50), v AS (SELECT run_id, try_cast(defect_id AS BIGINT) AS defect_id, CASE WHEN min(label) = max(label) THEN min(label) ELSE 'conflict' END AS label FROM labels WHERE label IS NOT NULL GROUP BY 1, 2)
+        SELECT p.run_id, p.defect_id, rejection_reason, label FROM p LEFT JOIN v USING (run_id, defect_id)""",
+    "run_labels": f"WITH {_LABELS} SELECT run_id, defect_id, CASE WHEN min(label) = max(label) THEN min(label) WHEN min(label) IS NOT NULL THEN 'conflict' END AS label FROM labels GROUP BY 1, 2",
+    "held_out_report": f"""WITH {_CONS}, torn AS (SELECT wafer FROM (SELECT DISTINCT upper(regexp_replace(wafer_id, '[^A-Za-z0-9]', '', 'g')) AS wafer, {_SPLIT} AS split FROM training_labels) WHERE wafer <> '' AND split IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+        w AS (SELECT run_id, defect_id, min(nullif(upper(regexp_replace(wafer_id, '[^A-Za-z0-9]', '', 'g')), '')) AS wafer FROM training_labels GROUP BY 1, 2), sp AS (SELECT run_id, defect_id, max(split) AS split FROM labels GROUP BY 1, 2),
+        truth AS (SELECT run_id, try_cast(defect_id AS BIGINT) AS defect_id, top = 'target' AS t, split FROM cons JOIN sp USING (run_id, defect_id) LEFT JOIN w USING (run_id, defect_id)
+            WHERE status = 'usable' AND top IN ('target', 'artifact') AND split IN ('validation', 'locked_test') AND coalesce(wafer NOT IN (SELECT wafer FROM torn), true)),
+        s AS (SELECT run_id, defect_id, CASE WHEN {_WHOLE} THEN 1 / (1 + exp(-greatest(-40, least(40, {_Z})))) END AS p, {_TESTS['outside_valid_mask']} OR ({_TESTS['near_wafer_edge']}) AS hard FROM {_CAND.format(', '.join(dict.fromkeys([*FEATURES, *RULE_COLUMNS])))}),
+        r AS (SELECT split, t, CASE WHEN hard THEN 'blocked' WHEN p >= 0.75 THEN 'target' WHEN p <= 0.25 THEN 'artifact' END AS v FROM truth JOIN s USING (run_id, defect_id)),
+        n AS (SELECT split, count(*) AS n, count(*) FILTER (v IN ('target', 'artifact')) AS decided, count(*) FILTER (t AND v = 'target') AS tp, count(*) FILTER (NOT t AND v = 'target') AS fp, count(*) FILTER (t AND v IS DISTINCT FROM 'target') AS fn,
+            count(*) FILTER (NOT t AND v = 'artifact') AS tn, CASE WHEN count(*) FILTER (t) > 0 AND count(*) FILTER (NOT t) > 0 THEN 'held_out_' || split ELSE 'one_class_only' END AS status FROM r GROUP BY 1),
+        q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM n)
+        SELECT split, n, decided, tp, fp, fn, tn, status, round(decided / n, 6) AS coverage, round(precision, 6) AS precision, round(recall, 6) AS recall, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 6) END AS f1 FROM q""",
     "last_per_reviewer": f"WITH {_LAST} SELECT * FROM last",
     "reviewer_pairs_agreement": f"WITH {_PAIRS}, c AS (SELECT first_reviewer, second_reviewer, {_COUNTS} FROM pairs GROUP BY 1, 2) SELECT *, round(equal / items, 6) AS raw_agreement, {_KAPPA} AS kappa FROM c",
     "cohen_kappa": f"WITH {_PAIRS}, c AS (SELECT {_COUNTS} FROM pairs) SELECT items, equal, clear_pairs, {_KAPPA} AS kappa FROM c",
@@ -367,11 +438,11 @@ SQL = {
         CASE WHEN verdicts = 1 THEN 'single_reviewer' WHEN labels = 1 THEN 'unanimous' WHEN ties = 1 THEN 'majority' ELSE 'tie_to_uncertain' END AS status FROM m JOIN r USING (image_id, candidate_id)""",
     "consensus_ordered": f"WITH {_CONS} SELECT run_id, defect_id, verdicts, status, CASE WHEN status = 'usable' THEN top END AS label FROM cons",
     "label_status": f"WITH {_LABELS} SELECT coalesce(split, 'none') AS split, label, count(*) AS n, count(DISTINCT reviewer_id) AS reviewers FROM labels GROUP BY 1, 2",
-    "split_leakage": f"""WITH s AS (SELECT DISTINCT upper(regexp_replace(wafer_id, '[^A-Za-z0-9]', '', 'g')) AS wafer, nullif({_N.format('split')}, '') AS split FROM training_labels)
-        SELECT wafer, count(*) AS splits, string_agg(split, ',' ORDER BY split) AS names FROM s WHERE wafer IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
-    "provenance_status": f"""WITH {_ANN}, k AS (SELECT image_id, min(lower(trim(source_image_sha256))) AS lo, max(lower(trim(source_image_sha256))) AS hi FROM run_catalog WHERE image_id IS NOT NULL GROUP BY 1)
-        SELECT CASE WHEN k.image_id IS NULL THEN 'unknown_source' WHEN nullif(lower(trim(source_image_sha256)), '') IS NULL THEN 'not_declared' WHEN lo IS NULL THEN 'source_without_hash'
-        WHEN lower(trim(source_image_sha256)) IN (lo, hi) THEN 'match' ELSE 'mismatch' END AS provenance, count(*) AS n FROM ann LEFT JOIN k ON ann.image_id = k.image_id GROUP BY 1""",
+    "split_leakage": f"""WITH s AS (SELECT DISTINCT upper(regexp_replace(wafer_id, '[^A-Za-z0-9]', '', 'g')) AS wafer, {_SPLIT} AS split FROM training_labels)
+        SELECT wafer, count(*) AS splits, string_agg(split, ',' ORDER BY split) AS names FROM s WHERE wafer <> '' AND split IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
+    "provenance_status": f"""WITH {_ANN}, k AS (SELECT image_id, list(DISTINCT nullif(lower(trim(source_image_sha256)), '')) FILTER (trim(source_image_sha256) <> '') AS hs FROM run_catalog WHERE image_id IS NOT NULL GROUP BY 1)
+        SELECT CASE WHEN k.image_id IS NULL THEN 'unknown_source' WHEN nullif(lower(trim(source_image_sha256)), '') IS NULL THEN 'not_declared' WHEN hs IS NULL THEN 'source_without_hash'
+        WHEN list_contains(hs, lower(trim(source_image_sha256))) THEN 'match' ELSE 'mismatch' END AS provenance, count(*) AS n FROM ann LEFT JOIN k ON ann.image_id = k.image_id GROUP BY 1""",
     "candidate_keys": f"""WITH {_ANN} SELECT image_id || '|' || CASE WHEN trim(candidate_id) <> '' THEN 'id:' || candidate_id ELSE 'px:' || format('{{:.3f}}', round(x_px, 3)) || ',' || format('{{:.3f}}', round(y_px, 3)) END AS key, count(*) AS n
         FROM ann WHERE image_id IS NOT NULL AND x_px IS NOT NULL AND y_px IS NOT NULL AND NOT isnan(x_px) AND NOT isnan(y_px) GROUP BY 1""",
     "proximity_pairs": f"WITH {_NEAR} SELECT a, b, round(distance, 6) AS distance FROM near",
@@ -416,7 +487,7 @@ SQL = {
         SELECT wafer_id, n, decided, tp, fp, fn, tn, round(decided / n, 6) AS coverage, round(precision, 6) AS precision, round(recall, 6) AS recall, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 6) END AS f1 FROM q""",
     "catalog_entries": """SELECT run_id, CASE WHEN status IS NOT NULL AND status <> 'completed' THEN 'failed' WHEN lower(input_file_name) LIKE '%synthetic%' THEN 'synthetic' ELSE 'real_exploratory' END AS kind, string_split(input_path, '/')[-1] AS file,
         CASE WHEN status = 'completed' THEN accepted_count END AS accepted_count, len(warnings) AS warnings FROM (SELECT DISTINCT * EXCLUDE (received_at) FROM run_catalog)""",
-    "latest_run": "SELECT run_id, status FROM (SELECT DISTINCT run_id, status, generated_at_utc[1:19] AS t FROM run_catalog) ORDER BY (status = 'completed') DESC, t DESC, run_id DESC LIMIT 1",
+    "latest_run": "SELECT run_id, status FROM (SELECT DISTINCT run_id, status, try_cast(generated_at_utc AS TIMESTAMPTZ) AS t FROM run_catalog) ORDER BY (status = 'completed') DESC, t DESC NULLS LAST, run_id DESC LIMIT 1",
     "page_offset": f"SELECT run_id, defect_id, rejection_reason FROM {_CAND.format('accepted, rejection_reason')} WHERE NOT accepted ORDER BY run_id, defect_id LIMIT 50 OFFSET 100",
     "page_counts": f"SELECT count(*) AS total, greatest(1, ceil(count(*) / 50))::BIGINT AS total_pages FROM {_CAND.format('accepted')} WHERE NOT accepted",
     "dense_renumber": f"SELECT run_id, defect_id, row_number() OVER (PARTITION BY run_id ORDER BY centroid_y_px, centroid_x_px, defect_id) AS number FROM {_CAND.format('centroid_x_px, centroid_y_px')} WHERE NOT isnan(centroid_x_px) AND NOT isnan(centroid_y_px) AND centroid_x_px IS NOT NULL AND centroid_y_px IS NOT NULL",

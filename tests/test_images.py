@@ -221,7 +221,7 @@ def test_wide_dark_spots_are_candidates_and_the_halo_must_hold_the_background(sp
     a[np.hypot(x - 150, y - 120) < 28] = 0.3
     np.save(tmp_path / "im.npy", (np.clip(a, 0, 1) * 65535).astype("u2"))
     geometry = spark.createDataFrame([("im", 128.0, 128.0, 118.0, 0.2)], "image_id string, cx double, cy double, radius double, mm_per_px double")
-    found = analyse(read_tiles(spark, [str(tmp_path / "im.npy")], 256, 0), geometry)[0].collect()
+    found = analyse(read_tiles(spark, [str(tmp_path / "im.npy")], 256, 0), geometry, Limits(max_area_px=2000, max_diameter_px=60.0))[0].collect()
     assert any(np.hypot(r.centroid_x_px - 150, r.centroid_y_px - 120) < 2 and r.area_px > 2300 and "too_large" in r.reasons for r in found)
     assert image.reach(101) == 105
     tiles = read_tiles(spark, [str(tmp_path / "im.npy")], 128, 104)

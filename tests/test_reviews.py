@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spotlake.operators import catalog, review, signal, validation
 from spotlake.operators.logistic import train
@@ -37,10 +38,16 @@ def test_keep_last_and_leakage(spark):
 def test_rules_in_order(spark):
     cols = "area_px bigint, equivalent_diameter_px double, aspect_ratio double, eccentricity double, circularity double, solidity double, contrast double, distance_to_valid_boundary_mm double"
     rows = [(50, 8.0, 1.2, 0.5, 0.9, 0.95, 0.2, 5.0), (1, 1.0, math.inf, 0.99, 0.1, 0.1, math.nan, -1.0), (5000, 80.0, 1.0, 0.1, 0.9, 0.9, 0.2, 0.1), (None,) * 8]
-    got = [r.reasons for r in spark.createDataFrame(rows, cols).withColumn("reasons", reasons(Limits())).collect()]
+    narrow = Limits(4, 2000, 2.0, 60.0, 3.0, 0.95, 0.35, 0.7, 0.02, 0.5)
+    df = spark.createDataFrame(rows, cols)
+    got = [r.reasons for r in df.withColumn("reasons", reasons(narrow)).collect()]
     assert got[0] == [] and got[3] == ["low_contrast"]
     assert got[1] == ["outside_valid_mask", "too_small", "too_elongated", "low_circularity", "low_solidity", "low_contrast"]
     assert got[2] == ["too_large", "near_wafer_edge"]
+    # The defaults are at their bounds in the third row; below 0.95 of valid pixels a candidate lies outside.
+    assert [r.reasons for r in df.withColumn("reasons", reasons()).collect()][2] == []
+    share = F.when(F.col("area_px") == 50, 0.95).otherwise(0.949)
+    assert [r.reasons[:1] for r in df.withColumn("reasons", reasons(Limits(), share)).collect()] == [[], ["outside_valid_mask"], ["outside_valid_mask"], ["outside_valid_mask"]]
 
 
 def _features(spark, n=400, seed=0):
@@ -98,3 +105,44 @@ def test_bootstrap(spark):
     r = validation.bootstrap_bias(spark.createDataFrame(rows, "id string, o double, e double"), "o", "e").first()
     assert r.wafers == 10 and r.low < 0.045 < r.high
     assert validation.bootstrap_bias(spark.createDataFrame(rows[:1], "id string, o double, e double"), "o", "e").first().low is None
+
+
+def test_decisions_keep_what_the_rules_said(spark):
+    df = _features(spark, 40).withColumn("distance_to_valid_boundary_mm", F.when(F.col("i") == 0, -1.0).otherwise(5.0)).withColumn("contrast", F.when(F.col("i") == 1, float("nan")).otherwise(F.col("contrast")))
+    model = Model((1.25,) * 10, (0.3,) * 10, (1.0,) * 10, 0.0)
+    rows = {r.i: r for r in decide(df, model).collect()}
+    assert (rows[0].decision, rows[0].final_reason, rows[0].accepted_now) == ("blocked_by_geometry", rows[0].rule_rejection_reason, False) and "outside_valid_mask" in rows[0].final_reason
+    assert (rows[1].decision, rows[1].final_reason, rows[1].model_applied) == ("feature_invalid", "classifier_feature_invalid", False)
+    assert all((r.final_reason == "") == r.accepted_now == (r.decision == "target") for r in rows.values())
+    assert any(not r.rule_accepted and r.accepted_now for r in rows.values())
+
+
+def test_pages_are_filtered_and_labelled(spark):
+    rows = [("r", 1, True, ""), ("r", 2, False, "too_small; low_contrast"), ("r", 3, False, "low_contrast_2"), ("r", 4, False, None), ("r", 5, None, "low_contrast")]
+    df = spark.createDataFrame(rows, "run_id string, defect_id bigint, accepted boolean, rejection_reason string")
+    ids = lambda d: sorted(r.defect_id for r in d.collect())
+    assert ids(catalog.filtered(df)) == [1, 2, 3, 4, 5] and ids(catalog.filtered(df, "rejected", "low_contrast")) == [2, 5]
+    assert ids(catalog.filtered(df, " ACCEPTED ")) == [1] and ids(catalog.filtered(df, item=" 3 ")) == [3] and ids(catalog.filtered(df, "accepted", item="3")) == []
+    with pytest.raises(ValueError):
+        catalog.filtered(df, "maybe")
+    verdicts = spark.createDataFrame([("r", 1, "target"), ("r", 1, "target"), ("r", 2, "target"), ("r", 2, "artifact"), ("r", 3, None), ("q", 4, "target")], "run_id string, defect_id bigint, label string")
+    got = {r.defect_id: r.label for r in catalog.with_labels(df, verdicts, ["run_id", "defect_id"]).collect()}
+    assert got == {1: "target", 2: "conflict", 3: None, 4: None, 5: None}
+    names = spark.createDataFrame([(x,) for x in ("a-1_b.c/d", "..", "a/../b", "", "/a", "a//b", "a b", "...x", None)], "n string")
+    assert [r.ok for r in names.select(catalog.safe_name(F.col("n")).alias("ok")).collect()] == [True, False, False, False, False, False, False, True, False]
+
+
+def test_strata_and_held_out(spark):
+    rows = spark.createDataFrame([("TP", 0.1), ("FN", 0.33), ("FP", 0.34), ("indeterminate", 1.0), ("TP", 1.1), ("TP", None)], "outcome string, q double")
+    got = {r.stratum: (r.tp, r.fp, r.fn, r["count"], r.precision, r.recall) for r in validation.stratum_metrics(rows, F.col("q")).collect()}
+    assert got == {"center": (1, 0, 1, 2, 1.0, 0.5), "middle": (0, 1, 0, 1, 0.0, None), "edge": (0, 0, 0, 1, None, None)}
+    scored = spark.createDataFrame([("v", "target", "target"), ("v", "artifact", "uncertain"), ("v", "target", "blocked_by_geometry"), ("l", "target", "artifact")], "split string, label string, decision string")
+    got = {r.split: (r.status, r.n, r.decided, r.tp, r.fn) for r in validation.held_out(scored, ["split"]).collect()}
+    assert got == {"v": ("held_out_v", 3, 1, 1, 1), "l": ("one_class_only", 1, 1, 0, 1)}
+
+
+def test_provenance_of_several_hashes(spark):
+    known = spark.createDataFrame([("i", "AA"), ("i", "bb "), ("i", "cc"), ("j", None), (None, "x")], "k string, h string")
+    said = spark.createDataFrame([(1, "i", "bb"), (2, "i", "dd"), (3, "i", " "), (4, "j", "x"), (5, "z", "x"), (6, None, "x")], "n int, k string, d string")
+    got = {r.n: r.provenance for r in review.provenance(said, known, "k", "d", "h").collect()}
+    assert got == {1: "match", 2: "mismatch", 3: "not_declared", 4: "source_without_hash", 5: "unknown_source", 6: "unknown_source"}

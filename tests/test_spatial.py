@@ -7,7 +7,7 @@ import pytest
 
 from spotlake.functions.scalars import poisson_bounds, with_poisson_interval
 from spotlake.operators import density, matching
-from spotlake.operators.locate import locate
+from spotlake.operators.locate import _nested, locate, locate_in_slabs
 from spotlake.operators.scale import prefix_sum
 from pyspark.sql import functions as F
 
@@ -168,3 +168,55 @@ def test_staged_example(spark):
     pairs = matching.pairs_within(autos, seen.drop("label"), 0.1)
     got = matching.staged(pairs, autos, seen, ("confirmed_point",), ("scratch",), ("uncertain",), True)
     assert {(r.a, r.b, r.outcome) for r in got.collect()} == {(1, 10, "TP"), (2, 11, "FP"), (3, 12, "indeterminate"), (None, 13, "FN")}
+
+
+def test_staged_matching_is_optimal(spark):
+    """A chain of three candidates and three points: the nearest pairs first would leave one pair unmatched."""
+    pairs = spark.createDataFrame([(1, 10, "c", 1.0), (1, 11, "c", 0.9), (2, 11, "c", 2.0), (2, 12, "s", 0.1), (3, 12, "s", 1.5), (3, 13, "s", 1.6), (4, 14, "s", 1.0)], "a bigint, b bigint, label string, distance double")
+    autos = spark.createDataFrame([(i,) for i in range(1, 6)], "a bigint")
+    seen = spark.createDataFrame([(10, "c"), (11, "c"), (12, "s"), (13, "s"), (14, "s"), (15, "c")], "b bigint, label string")
+    got = {(r.a, r.b, r.outcome) for r in matching.staged(pairs, autos, seen, ("c",), ("s",), ("u",), False).collect()}
+    assert got == {(1, 10, "TP"), (2, 11, "TP"), (3, 12, "FP"), (4, 14, "FP"), (5, None, "indeterminate"), (None, 15, "FN")}
+    assert matching.staged(pairs.limit(0), autos.limit(0), seen.limit(0), ("c",), ("s",), ("u",), True).count() == 0
+
+
+def test_staged_matching_equals_brute_force(spark):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(12), 100 + rng.randrange(12)): round(rng.random(), 6) for _ in range(22)}.items())
+    labels = {100 + k: rng.choice("ccs") for k in range(12)}
+    pairs = [(a, b, labels[b], d) for (a, b), d in rows]
+
+    def best(edges):
+        """(pairs, -cost) greatest over all one-to-one choices."""
+        if not edges:
+            return (0, 0.0), ()
+        (a, b, _, d), rest = edges[0], edges[1:]
+        (n, c), took = best([e for e in rest if e[0] != a and e[1] != b])
+        return max(((n + 1, c - d), (*took, (a, b))), best(rest))
+
+    _, first = best([e for e in pairs if e[2] == "c"])
+    used = {a for a, _ in first}
+    _, second = best([e for e in pairs if e[2] == "s" and e[0] not in used])
+    autos = spark.createDataFrame([(i,) for i in range(12)], "a bigint")
+    seen = spark.createDataFrame(sorted(labels.items()), "b bigint, label string")
+    out = matching.staged(spark.createDataFrame(pairs, "a bigint, b bigint, label string, distance double"), autos, seen, ("c",), ("s",), (), True).collect()
+    assert {(r.a, r.b) for r in out if r.outcome == "TP"} == set(first) and {(r.a, r.b) for r in out if r.outcome == "FP" and r.b} == set(second)
+
+
+def test_regions_of_very_different_heights(spark):
+    rng = random.Random(12)
+    pts = [(i, "a", rng.uniform(0, 50), rng.uniform(-5e5, 5e5), "") for i in range(150)]
+    boxes = [(f"r{i}", "a", x, y, x + 20, y + rng.choice([0.5, 3.0, 100.0, 9e5])) for i in range(150) for x, y in [(rng.uniform(0, 40), rng.choice([p[3] for p in pts]) - 0.2)]]
+    got = sorted(map(tuple, locate(spark.createDataFrame(pts, POINT).drop("rid"), spark.createDataFrame(boxes, "rid string, key string, x0 double, y0 double, x1 double, y1 double"), slab_height=1.0, hot_pairs=50).collect()))
+    assert got == sorted((p[0], b[0]) for p in pts for b in boxes if b[2] <= p[2] < b[4] and b[3] <= p[3] < b[5]) and len(got) > 100
+
+
+def test_overlapping_regions_take_little_memory():
+    import pandas as pd
+
+    n = 20_000
+    regions = pd.DataFrame({"cell": 0, "x0": np.arange(n) / n, "x1": 10.0 + np.arange(n) / n, "y0": 0.0, "y1": 1.0})
+    part, owner, leaves = _nested(np.arange(n), np.arange(n) + n, 2 * n)
+    assert len(part) < 2 * n * math.log2(2 * leaves) and len(owner) == len(part)
+    i, j = locate_in_slabs(pd.DataFrame({"cell": [0, 1], "x": [5.0, 5.0], "y": [0.5, 0.5]}), regions)
+    assert set(i) == {0} and sorted(j) == list(range(n))
