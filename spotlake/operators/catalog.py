@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.functions.scalars import parse_bool
-from spotlake.operators.scale import cut, prefix_sum
+from spotlake.operators.quantiles import medians
+from spotlake.operators.scale import cut, least_rows, numbered, prefix_sum, stored
 
 
 def dataset_kind(status: Column, name: Column) -> Column:
@@ -62,22 +63,25 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def renumbered(df: DataFrame, group: list[str], order: list[str], out: str = "number") -> DataFrame:
-    """1..n within a group in a total order."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """1..n within a group in a total order; a group may be spread over many tasks."""
+    return numbered(df, group, order, "__at").withColumn(out, F.col("__at") + 1).drop("__at")
 
 
 def evenly_spaced(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
     """k rows of each group at even positions from the first to the last (all rows of smaller groups)."""
-    over = Window.partitionBy(*group)
-    rows = df.withColumns({"__i": F.row_number().over(over.orderBy(*order)) - 1, "__n": F.count("*").over(over)})
+    rows = stored(numbered(df, group, order, "__i"))
+    sizes = rows.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)]).agg(F.count("*").alias("__n"))
+    on = F.lit(True)
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"__g{i}"))
     place = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("__n") - 1) / max(1, k - 1)))
-    return rows.where(F.array_contains(place, F.col("__i").cast("bigint"))).drop("__i", "__n")
+    return rows.join(sizes, on).where(F.array_contains(place, F.col("__i").cast("bigint"))).drop("__i", "__n", *[f"__g{i}" for i in range(len(group))])
 
 
 def class_sample(df: DataFrame, label: str, key: list[str], k: int, seed: int) -> DataFrame:
     """Up to k rows of every class without replacement, by the order of a seeded hash."""
-    over = Window.partitionBy(label).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
-    return df.withColumn("__r", F.row_number().over(over)).where(F.col("__r") <= k).drop("__r")
+    hashed = df.withColumn("__h", F.xxhash64(*key, F.lit(seed)))
+    return least_rows(hashed, [label], ["__h", *key], k, "__r").drop("__h", "__r")
 
 
 def farthest_points(points: DataFrame, k: int = 6) -> DataFrame:
@@ -85,7 +89,8 @@ def farthest_points(points: DataFrame, k: int = 6) -> DataFrame:
 
     Every step is one aggregate over the points; ties go to the smallest id.
     """
-    middle = points.agg(F.percentile("x", F.lit(0.5)).alias("mx"), F.percentile("y", F.lit(0.5)).alias("my"))
+    points = stored(points)
+    middle = medians(points, [], ["x", "y"]).select(F.col("x").alias("mx"), F.col("y").alias("my"))
     rows = cut(points.join(middle, F.lit(True)).withColumn("far", -F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))).drop("mx", "my"))
     chosen = []
     while len(chosen) < k:

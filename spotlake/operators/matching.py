@@ -216,19 +216,29 @@ def staged(pairs: DataFrame, autos: DataFrame, reviewed: DataFrame, positive: tu
     return used.unionByName(rest).unionByName(missed)
 
 
-def box_pairs(df: DataFrame, key: str, min_iou: float) -> DataFrame:
-    """(a, b), a < b: all pairs of boxes (id, key, box) of one key that may overlap by ``min_iou`` of their union, and some more.
+def box_pairs(df: DataFrame, key: str, min_iou: float, tile: str) -> DataFrame:
+    """(a, b, box_a, box_b), a < b: all pairs of boxes (id, key, tile, box) of one key and other tiles that may overlap by ``min_iou``
+    of their union, and some more.
 
-    Repeated pairs can occur. Boxes with a null give nothing.
+    Repeated pairs can occur. Boxes with a null give nothing; a null tile stands for any tile.
     """
     # With overlap >= t of the union, sides differ by at most 1 / t and centres by (1 - t) / (1 + t) of the longer side.
     reach = max(0.5, (1 - min_iou) / (1 + min_iou)) / min_iou + 1e-6
     b = F.col("box")
     sides = {"x": ((b[0] + b[2]) / 2, (b[2] - b[0]) * reach), "y": ((b[1] + b[3]) / 2, (b[3] - b[1]) * reach)}
-    centres = df.select(F.col("id").alias("a"), F.col(key).alias("key"), *[c.alias(n) for n, (c, _) in sides.items()])
-    boxes = df.select(F.col("id").alias("b"), F.col(key).alias("key"), *[(c - h).alias(f"{n}0") for n, (c, h) in sides.items()], *[(c + h).alias(f"{n}1") for n, (c, h) in sides.items()])
-    found = locate(centres, boxes, pid=("a",), rid=("b",), slab_height=32.0).where("a <> b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    own = lambda n: [F.col("id").alias(n), F.col(tile).alias(f"t{n}"), *[b[i].cast("double").alias(f"{n}{i}") for i in range(4)], F.col(key).alias("key")]
+    centres = df.select(*own("a"), *[c.alias(n) for n, (c, _) in sides.items()])
+    boxes = df.select(*own("b"), *[(c - h).alias(f"{n}0") for n, (c, h) in sides.items()], *[(c + h).alias(f"{n}1") for n, (c, h) in sides.items()])
+    ids = lambda n: (n, f"t{n}", *[f"{n}{i}" for i in range(4)])
+    found = locate(centres, boxes, pid=ids("a"), rid=ids("b"), slab_height=32.0)
+    # Either box may find the other one; both ways round, the pair is written with the smaller id first.
+    across = F.col("ta").isNull() | F.col("tb").isNull() | (F.col("ta") != F.col("tb"))
+    corners = lambda n: F.array(*[F.col(f"{n}{i}") for i in range(4)])
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    return found.where(across & (F.col("a") != F.col("b"))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pick(corners("a"), corners("b")).alias("box_a"), pick(corners("b"), corners("a")).alias("box_b")
+    )
 
 
 def box_links(df: DataFrame, key: str, tile: str, min_iou: float = 0.30) -> DataFrame:
@@ -236,10 +246,7 @@ def box_links(df: DataFrame, key: str, tile: str, min_iou: float = 0.30) -> Data
 
     Ids must be unique; boxes without links are left out, a null tile stands for any tile.
     """
-    side = lambda n: df.select(F.col("id").alias(n), F.col("box").alias(f"box_{n}"), F.col(tile).alias(f"tile_{n}"))
-    pairs = box_pairs(df, key, min_iou).distinct().join(side("a"), "a").join(side("b"), "b")
-    across = F.col("tile_a").isNull() | F.col("tile_b").isNull() | (F.col("tile_a") != F.col("tile_b"))
-    hit = pairs.where(across & (box_iou("box_a", "box_b") >= min_iou))
+    hit = box_pairs(df, key, min_iou, tile).where(box_iou("box_a", "box_b") >= min_iou).select("a", "b").distinct()
     return hit.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
 
 
@@ -249,15 +256,11 @@ def duplicates(df: DataFrame, key: str, tile: str, max_distance: float = 3.0, mi
     ``df``: id, key, tile, x, y, box, core_distance, area. Adds ``group`` (the smallest id of the group) and ``kept``
     (greatest core distance, then area, then smallest id). A null tile stands for any tile.
     """
-    points = df.select(F.col("id").alias("a"), F.col(key).alias("key"), "x", "y")
-    near = locate(points, points.withColumnRenamed("a", "b"), within=max_distance, pid=("a",), rid=("b",), slab_height=2 * max_distance).where("a < b")
-    inside = box_pairs(df, key, min_iou)
-    one = df.select(F.col("id").alias("a"), F.col("box").alias("box_a"), F.col(tile).alias("tile_a"))
-    two = df.select(F.col("id").alias("b"), F.col("box").alias("box_b"), F.col(tile).alias("tile_b"))
-    near = near.select("a", "b", F.lit(True).alias("near"))
-    both = near.union(inside.select("a", "b", F.lit(False))).groupBy("a", "b").agg(F.max("near").alias("near")).join(one, "a").join(two, "b")
-    across = F.col("tile_a").isNull() | F.col("tile_b").isNull() | (F.col("tile_a") != F.col("tile_b"))
-    linked = both.where(across & (F.col("near") | (box_iou("box_a", "box_b") >= min_iou))).select("a", "b")
+    points = df.select(F.col("id").alias("a"), F.col(tile).alias("ta"), F.col(key).alias("key"), "x", "y")
+    across = F.col("ta").isNull() | F.col("tb").isNull() | (F.col("ta") != F.col("tb"))
+    near = locate(points, points.withColumnsRenamed({"a": "b", "ta": "tb"}), within=max_distance, pid=("a", "ta"), rid=("b", "tb"), slab_height=2 * max_distance)
+    inside = box_pairs(df, key, min_iou, tile)
+    linked = near.where(across & (F.col("a") < F.col("b"))).select("a", "b").union(inside.where(box_iou("box_a", "box_b") >= min_iou).select("a", "b")).distinct()
     groups = least_labels(linked)
     out = df.join(groups, F.col("id") == F.col("vertex"), "left").drop("vertex").withColumn("group", F.coalesce("group", "id"))
     order = Window.partitionBy("group").orderBy(F.desc("core_distance"), F.desc("area"), "id")

@@ -148,6 +148,33 @@ def prefix_sum(
     )
 
 
+def least_rows(df: DataFrame, group: list[str], order: list[str], k: int, place: str) -> DataFrame:
+    """The first k rows of each group in a total order, numbered from 1; hash parts of a group are cut to k rows before they meet."""
+    part = F.pmod(F.xxhash64(*order), F.lit(1024))
+    some = df.withColumn("__p", part).withColumn("__r", F.row_number().over(Window.partitionBy(*group, "__p").orderBy(*order))).where(F.col("__r") <= k).drop("__p", "__r")
+    return some.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(place) <= k)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_each: int = 200_000) -> DataFrame:
+    """0, 1, ... within each group in the order of ``order`` (a total one), without a window over a whole group.
+
+    Rows are sorted by range over all groups, counted per range and group, and numbered within the range from the counts before.
+    ``df`` is stored once.
+    """
+    parts = max(1, blocks(df, rows_each))
+    ranged = df.repartitionByRange(parts, *[F.asc_nulls_first(c) for c in [*group, *order]]) if parts > 1 else df
+    rows = stored(ranged.withColumn("__p", F.spark_partition_id() if parts > 1 else F.lit(0)))
+    keys = [*group, "__p"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__s", F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__s")
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return rows.withColumn("__in", inside).join(before, on).withColumn(out, F.col("__in") + F.col("__s")).drop("__in", "__s", "__p", *[f"__k{i}" for i in range(len(keys))])
+
+
 def trimmed(c: Column | str) -> Column:
     """Without leading and trailing spaces, tabs, CR and LF."""
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(" \t\r\n"))

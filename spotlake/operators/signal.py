@@ -9,18 +9,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotlake.operators.scale import numbered, stored
 
-def sliding_median(df: DataFrame, group: list[str], order: list[str], value: str, half: int = 25, out: str = "median") -> DataFrame:
-    """Median of the ``half`` rows before, the row and the ``half`` rows after it, within the group."""
-    over = Window.partitionBy(*group).orderBy(*order).rowsBetween(-half, half)
-    return df.withColumn(out, F.percentile(value, F.lit(0.5)).over(over))
+
+def sliding_median(df: DataFrame, group: list[str], order: list[str], value: str, half: int = 25, out: str = "median", piece: int = 20_000) -> DataFrame:
+    """Median of the ``half`` rows before, the row and the ``half`` rows after it, within the group.
+
+    Groups are cut into pieces of ``piece`` rows, each with copies of the rows of its neighbours that its windows reach.
+    """
+    rows = numbered(df, group, order, "__i")
+    home = F.floor(F.col("__i") / piece)
+    rows = rows.withColumn("__home", home).withColumn("__p", F.explode(F.array_distinct(F.array(home, F.floor((F.col("__i") - half) / piece), F.floor((F.col("__i") + half) / piece)))))
+    over = Window.partitionBy(*group, "__p").orderBy("__i").rowsBetween(-half, half)
+    return rows.withColumn(out, F.percentile(value, F.lit(0.5)).over(over)).where("__p = __home").drop("__i", "__p", "__home")
 
 
 def run_lengths(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """Runs of equal neighbouring values: their first position (from 0) and length."""
-    by = Window.partitionBy(*group).orderBy(*order)
-    rows = df.withColumns({"__i": F.row_number().over(by) - 1, "__k": F.row_number().over(Window.partitionBy(*group, value).orderBy(*order)) - 1})
-    runs = rows.groupBy(*group, value, (F.col("__i") - F.col("__k")).alias("__g")).agg(F.min("__i").cast("bigint").alias("start"), F.count("*").alias("length"))
+    rows = stored(numbered(df, group, order, "__i").select(*group, value, "__i"))
+    again = numbered(rows, [*group, value], ["__i"], "__k")
+    runs = again.groupBy(*group, value, (F.col("__i") - F.col("__k")).alias("__g")).agg(F.min("__i").cast("bigint").alias("start"), F.count("*").alias("length"))
     return runs.drop("__g")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spotlake.operators.scale import table
+from spotlake.operators.scale import broadcast_within, least_rows, stored, table
 from spotlake.streaming.windows import sessions, tumbling
 
 
@@ -47,13 +47,19 @@ def sales_rollup(spark, d):
 
 
 def nearest_vectors(spark, d, k: int = 5):
-    """The k nearest embeddings of every label's mean vector: means are few, so they are the broadcast side."""
+    """The k nearest embeddings of every label's mean vector.
+
+    Means are one row per label and are carried as arrays; each vector is folded with a mean where it is read, and only the k
+    nearest of a partition and label are shuffled.
+    """
     rows = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    flat = rows.select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
-    means = flat.groupBy("label", "i").agg(F.avg("v").alias("m")).withColumnRenamed("label", "centre")
-    dist = flat.join(means, "i").groupBy("centre", "vec_id").agg(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))).alias("d2"))
-    order = Window.partitionBy("centre").orderBy(F.round("d2", 7), "vec_id")
-    return dist.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("centre", "place", "vec_id")
+    flat = rows.select("label", F.posexplode("embedding").alias("i", "v"))
+    sums = flat.groupBy("label", "i").agg(F.avg("v").alias("m"))
+    means = stored(sums.groupBy(F.col("label").alias("centre")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("mean")))
+    near = F.aggregate(F.zip_with("embedding", "mean", lambda v, m: (v - m) * (v - m)), F.lit(0.0), lambda a, x: a + x)
+    # The means are all compared with all vectors, as stated queries; their number is that of the labels.
+    dist = rows.select("vec_id", "embedding").join(broadcast_within(means, 100_000), F.size("embedding") == F.size("mean")).select("centre", "vec_id", F.round(near, 7).alias("d2"))
+    return least_rows(dist, ["centre"], ["d2", "vec_id"], k, "place").select("centre", "place", "vec_id")
 
 
 QUERIES = {f.__name__: f for f in (tumbling_events, session_events, json_props, asof_previous, sales_rollup, nearest_vectors)}

@@ -11,7 +11,8 @@ from spotlake.functions import geometry as g
 from spotlake.functions.scalars import parse_bool, with_poisson_interval
 from spotlake.operators import density as dens
 from spotlake.operators.rules import FEATURES, Limits, Model, decide, features, reasons
-from spotlake.operators.scale import table
+from spotlake.operators.quantiles import quantiles
+from spotlake.operators.scale import stored, table
 
 RADIUS_MM, FIELD_MM = 75.0, 25.0
 CENTRED = "centroid_x_px is not null and centroid_y_px is not null and not isnan(centroid_x_px) and not isnan(centroid_y_px)"
@@ -165,9 +166,8 @@ def standardize(spark, d):
 
 def percentile_window(spark, d):
     """1st and 99th percentile of the raw grey value per run, and the shares clipped by them."""
-    rows = candidates(spark, d, "mean_gray_raw").where("mean_gray_raw is not null and not isnan(mean_gray_raw)")
-    lims = rows.groupBy("run_id").agg(F.percentile("mean_gray_raw", F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.count("*").alias("n"))
-    lims = lims.select("run_id", "n", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    rows = stored(candidates(spark, d, "mean_gray_raw").where("mean_gray_raw is not null and not isnan(mean_gray_raw)").select("run_id", "mean_gray_raw"))
+    lims = quantiles(rows, ["run_id"], {"low": 0.01, "high": 0.99}, "mean_gray_raw")
     both = rows.join(lims, "run_id").groupBy("run_id", "n", "low", "high").agg(F.count_if(F.col("mean_gray_raw") <= F.col("low")).alias("at_low"), F.count_if(F.col("mean_gray_raw") >= F.col("high")).alias("at_high"))
     return both.select("run_id", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "at_low", "at_high")
 

@@ -13,7 +13,9 @@ NEAR_PX = 4.0
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return structured(table(spark, d, "raw_rows", "row_id", "file_kind", "file_name", "line_no", "line_text"))
+    """The records, split once: dictionary, hits and broken rows all read the stored fields."""
+    parsed = structured(table(spark, d, "raw_rows", "row_id", "file_kind", "file_name", "line_no", "line_text"))
+    return stored(parsed.drop("line_text"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

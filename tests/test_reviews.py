@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spotlake.operators import catalog, review, signal, validation
 from spotlake.operators.logistic import train
+from spotlake.operators.quantiles import medians, quantiles
 from spotlake.operators.rules import FEATURES, Limits, Model, decide, reasons
+from spotlake.operators.scale import least_rows, numbered
 
 
 def test_kappa_example(spark):
@@ -146,3 +148,38 @@ def test_provenance_of_several_hashes(spark):
     said = spark.createDataFrame([(1, "i", "bb"), (2, "i", "dd"), (3, "i", " "), (4, "j", "x"), (5, "z", "x"), (6, None, "x")], "n int, k string, d string")
     got = {r.n: r.provenance for r in review.provenance(said, known, "k", "d", "h").collect()}
     assert got == {1: "match", 2: "mismatch", 3: "not_declared", 4: "source_without_hash", 5: "unknown_source", 6: "unknown_source"}
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([rng.gauss(0, 1), rng.choice([0.0, -0.0, 1e300, -1e-300]), float(rng.randint(0, 3))])) for _ in range(2000)]
+    odd = [("a", math.nan), ("a", None), ("c", math.inf), ("d", 7.0)]
+    got = {r.g: r for r in quantiles(spark.createDataFrame(rows + odd, "g string, v double"), ["g"], {"q0": 0.0, "q37": 0.37, "q99": 0.99, "q100": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "d"} and got["d"].q37 == 7.0
+    for g in ("a", "b", None):
+        values = [v for k, v in rows if k == g]
+        want = np.quantile(values, [0.0, 0.37, 0.99, 1.0])
+        assert got[g].n == len(values) and np.allclose([got[g].q0, got[g].q37, got[g].q99, got[g].q100], want, rtol=1e-12)
+    assert quantiles(spark.createDataFrame([], "g string, v double"), ["g"], {"m": 0.5}).count() == 0
+    assert medians(spark.createDataFrame([(1.0, 5.0), (2.0, None), (4.0, 6.0)], "x double, y double"), [], ["x", "y"]).first()[:] == (2.0, 5.5)
+
+
+@pytest.mark.parametrize("rows_each", [7, 10_000])
+def test_numbers_and_least_rows(spark, rows_each):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None, "b"]), i, rng.randrange(40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    got = {r.i: r.n for r in numbered(df, ["g"], ["v", "i"], "n", rows_each).collect()}
+    least = sorted((r.g or "", r.p, r.i) for r in least_rows(df, ["g"], ["v", "i"], 3, "p").collect())
+    for g in ("a", None, "b"):
+        mine = sorted((v, i) for k, i, v in rows if k == g)
+        assert [got[i] for _, i in mine] == list(range(len(mine)))
+        assert [x for x in least if x[0] == (g or "")] == [(g or "", n + 1, i) for n, (_, i) in enumerate(mine[:3])]
+
+
+def test_sliding_medians_meet_at_pieces(spark):
+    values = [("a", i, float(v)) for i, v in enumerate(np.random.default_rng(5).normal(0, 1, 200))] + [("b", 1, 2.0)]
+    df = spark.createDataFrame(values, "g string, i int, v double")
+    got = {(r.g, r.i): r.median for r in signal.sliding_median(df, ["g"], ["i"], "v", 5, piece=17).collect()}
+    a = [v for g, _, v in values if g == "a"]
+    assert len(got) == 201 and all(got["a", i] == pytest.approx(np.median(a[max(0, i - 5) : i + 6])) for i in range(200))
