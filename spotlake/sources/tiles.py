@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,6 +118,10 @@ def opened(path: str) -> Npy | Tiff | Raster:
     return kind(path)
 
 
+def _stem(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
 class Band(InputPartition):
     def __init__(self, path: str, y: int, end: int):
         self.path, self.y, self.end = path, y, end
@@ -128,6 +133,9 @@ class TileReader(DataSourceReader):
         self.tile, self.halo = int(options.get("tile", 1024)), int(options.get("halo", 128))
         if not 0 <= self.halo < self.tile:
             raise ValueError("the halo must be smaller than the tile")
+        # An image is named by its file; where several paths have a file of that name, by the whole path.
+        stems = Counter(_stem(p) for p in set(self.paths))
+        self.names = {p: _stem(p) if stems[_stem(p)] == 1 else os.path.splitext(p)[0] for p in self.paths}
 
     def partitions(self) -> list[Band]:
         out = []
@@ -152,7 +160,7 @@ class TileReader(DataSourceReader):
             x = i * self.tile
             x0, x1 = max(0, x - self.halo), min(width, x + self.tile + self.halo)
             core_w, core_h = min(self.tile, width - x), min(self.tile, height - y)
-            name = os.path.splitext(os.path.basename(path))[0]
+            name = self.names[path]
             number = y // self.tile * across + i
             yield (name, number, x0, y0, x1 - x0, y1 - y0, x, y, core_w, core_h, width, height, rows.dtype.str, np.ascontiguousarray(rows[:, x0:x1]).tobytes(), getattr(source, "inverted", False))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlake.kernels import forest, image
+from spotlake.operators.rules import Limits
 from spotlake.operators.detect import analyse
 from spotlake.operators.grey import grey, windowed, windows
 from spotlake.sources.tiles import opened, read_tiles, tile_grid
@@ -152,7 +153,8 @@ def test_invalid_rectangles_and_a_pixel_model(spark, tmp_path):
     assert d.full_px == d.edge_px + d.invalid_px + d.valid_px and d.invalid_px > 10_000
     y, x = np.mgrid[:256, :256]
     near = np.min([np.hypot(x - u, y - v) for u, v in spots], axis=0)
-    features = image.pixel_features(image.as_float01(a)).reshape(256 * 256, -1)
+    scaled = image.normalize(a, *np.percentile(a.astype("f4"), [1, 99]))  # the scale on which the analysis reads the image
+    features = image.pixel_features(scaled).reshape(256 * 256, -1)
     inside = (np.hypot(x - 128, y - 128) < 105).ravel()
     rng = np.random.default_rng(0)
     pick = np.concatenate([rng.choice(np.flatnonzero(m.ravel() & inside), 400) for m in (near < 2.0, near > 6.0)])

@@ -86,3 +86,12 @@ def test_stream_windows_equal_the_batch(spark, tmp_path):
         stream = f(spark.readStream.schema(schema).parquet(str(tmp_path / "e")), late="1 day")
         stream.writeStream.format("memory").queryName(f"w_{name}").outputMode("complete" if name == "t" else "append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(str, spark.table("w_t").collect())) == sorted(map(str, tumbling(rows).collect()))
+
+
+def test_images_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        np.save(tmp_path / folder / "x.npy", np.full((4, 4), ord(folder), "u1"))
+    np.save(tmp_path / "y.npy", np.zeros((4, 4), "u1"))
+    rows = read_tiles(spark, [str(tmp_path / p) for p in ("a/x.npy", "b/x.npy", "y.npy")], 8, 0).collect()
+    assert {r.image_id: r.px[0] for r in rows} == {str(tmp_path / "a/x"): ord("a"), str(tmp_path / "b/x"): ord("b"), "y": 0}
