@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 
 from spotlake.operators.raw_load import ANNOTATION_COLUMNS, REFERENCE_COLUMNS
+from spotlake.sources.tiles import read_tiles
 from spotlake.sources.tables import eligible, read_annotations, read_references, read_run_summaries, write_candidates, write_summary
 from spotlake.streaming.windows import last_verdicts, new_files, sessions, tumbling
 
