@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotlake.functions.names import image_key, instant, split_name, wafer_key, word
 from spotlake.llm.consensus import chance_corrected, consensus
-from spotlake.llm.keys import image_key, instant, split_name, wafer_key, word
 from spotlake.llm.overlap import cross_split_overlaps
 from spotlake.llm.splits import assign, components
 from spotlake.operators.scale import stored, table
@@ -75,7 +75,7 @@ def p2_assignment(spark: SparkSession, d: str) -> DataFrame:
     weights = rows.groupBy("key").agg(F.count("*").alias("rows"))
     sized = linked.join(weights, "key")
     groups = sized.groupBy("component").agg(F.sum("rows").alias("weight"))
-    targets = [(r.split, r.target_share) for r in table(spark, d, "split_targets").limit(1000).collect()]
+    targets = [(r.split, r.target_share) for r in table(spark, d, "split_targets").collect()]
     chosen = assign(groups, targets).select("component", "split")
     return sized.join(chosen, "component").select(F.col("key").alias("group_key"), "component", "split", "rows")
 
@@ -133,6 +133,11 @@ def _counted(df: DataFrame) -> DataFrame:
     )
 
 
+def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of overlapping classes of equal regions: boxes, exact ratio, and the share of the smaller one that shared chunks show."""
+    return _overlaps(spark, d)[1]
+
+
 def p6_by_split(spark: SparkSession, d: str) -> DataFrame:
     return _counted(_touched(spark, d).groupBy("split"))
 
@@ -144,6 +149,6 @@ def p6_by_wafer(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_consensus, p1_reviewers, p1_agreement, p2_found, p2_assignment, p2_shares, p6_found, p6_by_split, p6_by_wafer,
+        p1_found, p1_consensus, p1_reviewers, p1_agreement, p2_found, p2_assignment, p2_shares, p6_found, p6_overlaps, p6_by_split, p6_by_wafer,
     )
 }

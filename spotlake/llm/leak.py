@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman alignment.
 
-The corpus is read once for the n-grams of the evaluation items. Every one that a document holds seeds a candidate at its
-place, however rare or common it is elsewhere, so what other documents hold never hides a copy. Around the seeds, item
-and document are aligned word by word.
+The corpus is read once for n-grams that may be those of evaluation items, by a bit table of bounded size; a join with the items'
+n-grams decides. Every one that a document holds seeds a candidate at its place, however rare or common it is elsewhere, so what
+other documents hold never hides a copy. Each place takes its stretch of the document with it, so that places, not documents,
+are spread over the cluster, where item and stretch are aligned word by word.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.rolling import Rolling, mix
-from spotlake.operators.scale import stored
+from spotlake.operators.scale import broadcast_within, stored
 
 GRAM = 6
 _byte = np.arange(256)
@@ -81,14 +82,36 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1
     return best, longest
 
 
-def _hits(wanted: np.ndarray, n: int):
-    wanted = np.unique(wanted)
-    bits = 22
-    table = np.zeros(1 << bits, bool)
-    table[(wanted >> np.uint64(64 - bits)).astype(np.int64)] = True
+def _item_grams(parts: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        found = [word_hashes(t) for t in part["words"]]
+        own = [np.unique(grams(w, n).view(np.int64)) for w in found]
+        sizes = [len(g) for g in own]
+        lengths = np.array([len(w) for w in found], np.int64)
+        yield pd.DataFrame({"item": np.repeat(part["item"].to_numpy(), sizes), "size": np.repeat(lengths, sizes), "gram": np.concatenate([*own, np.empty(0, np.int64)])})
+
+
+def bit_table(marks: DataFrame, most_bits: int = 29) -> tuple[np.ndarray, int]:
+    """(words of 64 bits, address bits): a bit is set where some ``gram`` has these leading bits.
+
+    About 64 bits a gram, at most 2**``most_bits`` (64 MiB): beyond, more grams pass that the join then drops, none is lost.
+    The driver receives at most that many bytes, whatever the number of grams.
+    """
+    n = marks.count()
+    bits = min(most_bits, max(12, (64 * n).bit_length()))
+    place = F.shiftrightunsigned("gram", 64 - bits)
+    rows = marks.select(F.shiftright(place, 6).alias("at"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+    packed = rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[packed["at"].to_numpy(np.int64)] = packed["w"].to_numpy(np.int64).view(np.uint64)
+    return table, bits
+
+
+def _hits(table, bits: int, n: int):
     shape = pa.schema([("id", pa.int64()), ("gram", pa.int64()), ("at", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
         for batch in batches:
             text = batch.column("text").cast(pa.large_utf8())
             buffers = text.buffers()
@@ -97,10 +120,9 @@ def _hits(wanted: np.ndarray, n: int):
             offsets = offsets - (offsets[0] if len(offsets) else 0)
             hashes, owner = words(data, offsets)
             gram = grams(hashes, n)
-            likely = np.flatnonzero(table[(gram >> np.uint64(64 - bits)).astype(np.int64)])
-            likely = likely[owner[likely] == owner[likely + n - 1]]
-            place = np.minimum(np.searchsorted(wanted, gram[likely]), len(wanted) - 1)
-            at = likely[wanted[place] == gram[likely]]
+            place = gram >> np.uint64(64 - bits)
+            at = np.flatnonzero((known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+            at = at[owner[at] == owner[at + n - 1]]
             first = np.searchsorted(owner, owner[at])
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             yield pa.record_batch([pa.array(ids[owner[at]], pa.int64()), pa.array(gram[at].view(np.int64)), pa.array(at - first)], schema=shape)
@@ -110,60 +132,56 @@ def _hits(wanted: np.ndarray, n: int):
 
 def leaks(
     documents: DataFrame, items: DataFrame, passage: int = 12, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", block: int = 2000, broadcast_rows: int = 100_000,
+    item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = 1_000_000, places_each: int = 1_000,
 ) -> DataFrame:
     """(item, document, ``score``, ``coverage``, ``run``) of every document that shares an n-gram with an item.
 
     ``score`` is the best local alignment (2 for an equal word, -1 for another or a gap), ``coverage`` its share of the
     item's full score, ``run`` the longest shared passage in words. Every pair with ``run`` >= ``passage`` is found;
     edited copies are found if they share any 6 words in a row with the item (``passage`` words if that is less).
-    Items are taken in blocks of ``block``, each against all documents. Ids must be integers; null ids, null
-    and empty texts give nothing; repeated rows give one pair.
+    Items and documents may be many: the corpus is read twice, once for seeds and once for the places around them. Ids must be
+    integers; null ids, null and empty texts give nothing; repeated rows give one pair.
     """
+    spark = documents.sparkSession
+    n = min(GRAM, passage)
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     chosen = stored(items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("words")).where("item is not null and words is not null").distinct())
-    n_blocks = max(1, -(-chosen.count() // block))
-    out = None
-    for b in range(n_blocks):
-        part = chosen.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).collect() if n_blocks > 1 else chosen.limit(block).collect()
-        found = _block(docs, [(r.item, word_hashes(r.words)) for r in part], passage, broadcast_rows)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"item": item_col, "id": id_col})
-
+    marks = stored(chosen.mapInPandas(lambda parts: _item_grams(parts, n), "item bigint, size bigint, gram bigint"))
+    bits_of = bit_table(marks.select("gram").distinct())
+    table = spark.sparkContext.broadcast(bits_of[0])
+    hits = stored(docs.mapInArrow(_hits(table, bits_of[1], n), "id bigint, gram bigint, at bigint"))
+    found = hits.join(broadcast_within(marks, broadcast_rows), "gram")
+    # A place is a stretch of four item lengths, aligned with an item length before and after it.
+    places = stored(found.select("item", "size", "id", F.floor(F.col("at") / (4 * F.col("size"))).alias("place")).distinct())
+    load = places.groupBy("id").agg(F.ceil(F.count("*") / places_each).alias("parts"))
+    part = F.pmod(F.xxhash64("item", "place"), "parts")
+    per_doc = places.join(load, "id").groupBy("id", part.alias("part")).agg(F.collect_list(F.struct("item", "size", "place")).alias("places"))
+    per_doc = broadcast_within(stored(per_doc), broadcast_rows)
+
+    def stretches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for doc, text, here in zip(part["id"], part["text"], part["places"], strict=True):
+                hashes = word_hashes(text)
+                for p in here:
+                    low = max(0, (4 * p["place"] - 1) * p["size"])
+                    out.append((p["item"], doc, hashes[low : (4 * p["place"] + 5) * p["size"]].tobytes()))
+            yield pd.DataFrame(out, columns=["item", "id", "stretch"])
 
-def _block(docs: DataFrame, items: list[tuple[int, np.ndarray]], passage: int, broadcast_rows: int) -> DataFrame:
-    spark = docs.sparkSession
-    n = min(GRAM, passage)
-    own = [(item, w, grams(w, n).view(np.int64)) for item, w in items]
-    rows = pd.DataFrame({
-        "item": np.concatenate([np.full(len(g), i, np.int64) for i, _, g in own] or [np.empty(0, np.int64)]),
-        "gram": np.concatenate([g for _, _, g in own] or [np.empty(0, np.int64)]),
-    }).drop_duplicates()
-    result = "item bigint, id bigint, score bigint, coverage double, run bigint"
-    if rows.empty:
-        return spark.createDataFrame([], result)
-    hits = stored(docs.mapInArrow(_hits(rows["gram"].to_numpy().view(np.uint64), n), "id bigint, gram bigint, at bigint"))
-    longest = max(len(w) for _, w in items)
-    stretch = 4 * longest
-    marks = spark.createDataFrame(rows)
-    found = hits.join(F.broadcast(marks) if len(rows) <= 10 * broadcast_rows else marks, "gram")
-    places = found.select("item", "id", F.floor(F.col("at") / stretch).alias("place")).distinct()
-    per_doc = stored(places.groupBy("id").agg(F.collect_list(F.struct("item", "place")).alias("places")))
-    if per_doc.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0] <= broadcast_rows:
-        per_doc = F.broadcast(per_doc)
-    by_item = dict(items)
+    cut_out = docs.join(per_doc, "id").mapInPandas(stretches, "item bigint, id bigint, stretch binary").distinct()
+    texts = broadcast_within(chosen, broadcast_rows)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc, text, places in zip(part["id"], part["text"], part["places"], strict=True):
-                hashes = word_hashes(text)
-                for p in places:
-                    item = by_item[p["item"]]
-                    low = max(0, p["place"] * stretch - longest)
-                    best, run = align(item, hashes[low : (p["place"] + 1) * stretch + longest])
-                    out.append((p["item"], doc, best, best / (2 * len(item)), run))
+            known, out = {}, []
+            for item, doc, stretch, text in zip(part["item"], part["id"], part["stretch"], part["words"], strict=True):
+                if text not in known:
+                    known[text] = word_hashes(text)
+                best, run = align(known[text], np.frombuffer(stretch, np.uint64))
+                out.append((item, doc, best, best / (2 * len(known[text])), run))
             yield pd.DataFrame(out, columns=["item", "id", "score", "coverage", "run"])
 
-    scored = docs.join(per_doc, "id").mapInPandas(score, result)
-    return scored.groupBy("item", "id").agg(F.max("score").alias("score"), F.max("coverage").alias("coverage"), F.max("run").alias("run"))
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    scored = cut_out.repartition(spread, "item", "id", "stretch").join(texts, "item").mapInPandas(score, "item bigint, id bigint, score bigint, coverage double, run bigint")
+    out = scored.groupBy("item", "id").agg(F.max("score").alias("score"), F.max("coverage").alias("coverage"), F.max("run").alias("run"))
+    return out.withColumnsRenamed({"item": item_col, "id": id_col})

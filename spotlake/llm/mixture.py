@@ -8,25 +8,24 @@ added, and a document is emitted once per integer boundary that its stretch cros
 from __future__ import annotations
 
 import base64
-import random
 from collections.abc import Iterator
 
 import pandas as pd
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.llm.keys import source_key
-from spotlake.operators.scale import prefix_sum, stored
+from spotlake.operators.scale import blocks, broadcast_within, prefix_sum, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encodings: dict = {}
-PIECE = 100_000
 
 
-def encoding(path: str) -> tiktoken.Encoding:
+def encoding(path: str):
+    import tiktoken
+
     if path not in _encodings:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -46,24 +45,26 @@ def token_counts(documents: DataFrame, text_col: str = "text", out: str = "n_tok
     return documents.withColumn(out, count(text_col))
 
 
-def rates(sizes: list[tuple[str, int]], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, float]:
-    """Expected copies per document of each source.
+def rates(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """(source, rate, cap): expected copies per document of each source of ``sizes`` (source, tokens) with a positive target.
 
     Shares are scaled to the sources that have tokens. Without ``total`` the mixture is the largest in which every
     source reaches its share within its cap; with one, sources that cannot are used up to their cap.
     """
-    size = {s: n for s, n in sizes if n and n > 0}
-    use = {s: (w, max(0, m or 0)) for s, w, m in targets if s in size and w and w > 0 and m and m > 0}
-    whole = sum(w for w, _ in use.values())
-    if not use:
-        return {}
+    use = sizes.where("tokens > 0").join(targets.where("target_share > 0 and max_repeats > 0"), "source")
+    use = use.select("source", "tokens", F.col("target_share").alias("w"), F.col("max_repeats").alias("cap"))
+    whole = use.agg(F.sum("w").alias("whole"))
+    shared = use.join(whole, F.lit(True)).withColumn("most", F.col("cap") * F.col("tokens") * F.col("whole") / F.col("w"))
     if total is None:
-        total = min(m * size[s] * whole / w for s, (w, m) in use.items())
-    return {s: min(float(m), total * w / whole / size[s]) for s, (w, m) in use.items()}
+        shared = shared.join(shared.agg(F.min("most").alias("total")), F.lit(True))
+    else:
+        shared = shared.withColumn("total", F.lit(float(total)))
+    rate = F.least(F.col("cap").cast("double"), F.col("total") * F.col("w") / F.col("whole") / F.col("tokens"))
+    return shared.select("source", rate.alias("rate"), "cap")
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", total: float | None = None, seed: int = 0, path: str = VOCABULARY, max_sources: int = 10_000
+    documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", total: float | None = None, seed: int = 0, path: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report) of ``documents`` (id, ``source``, ``text``) for ``targets`` (``source``, ``target_share``, ``max_repeats``).
 
@@ -74,22 +75,17 @@ def mix(
     """
     targets = targets.select(source_key().alias("source"), "target_share", F.col("max_repeats").cast("int").alias("max_repeats"))
     targets = stored(targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max_by("max_repeats", "target_share").alias("max_repeats")))
-    if targets.limit(max_sources + 1).count() > max_sources:
-        raise ValueError(f"more than {max_sources} targets")
     named = documents.select(F.col(id_col).alias("id"), source_key().alias("source"), "text")
     used = named.join(targets.select("source"), "source", "left_semi")
     sized = stored(token_counts(used, path=path).select("id", "source", "n_tokens"))
+    each = max(64, blocks(sized, 2_000_000))
     sizes = stored(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")))
-    wanted = [tuple(r) for r in targets.collect()]
-    expected = rates([(r.source, r.tokens) for r in sizes.collect()], wanted, total)
-    caps = {s: m for s, _, m in wanted}
-    spark = documents.sparkSession
-    draws = random.Random(seed)
-    plan = [(s, c, draws.random(), caps[s]) for s, c in sorted(expected.items())]
-    plan = spark.createDataFrame(plan, "source string, rate double, offset double, cap int")
-    like = F.floor(F.log2(F.col("n_tokens") + 1.0) * 4) * 64 + F.pmod(F.xxhash64("id"), F.lit(64))
+    # One random offset per source, drawn by its name and the seed.
+    offset = F.pmod(F.xxhash64("source", F.lit(seed), F.lit("offset")), F.lit(1 << 40)) / float(1 << 40)
+    plan = stored(rates(sizes, targets, total).withColumn("offset", offset))
+    like = F.floor(F.log2(F.col("n_tokens") + 1.0) * 4) * each + F.pmod(F.xxhash64("id"), F.lit(each))
     placed = prefix_sum(sized.withColumn("one", F.lit(1)), "one", ["id"], "rank", ["source"], bucket=like)
-    placed = placed.join(F.broadcast(plan), "source")
+    placed = placed.join(broadcast_within(plan, 100_000), "source")
     crossed = F.floor(F.col("rate") * (F.col("rank") + 1) + F.col("offset")) - F.floor(F.col("rate") * F.col("rank") + F.col("offset"))
     mixture = placed.withColumn("copies", F.least(crossed, F.col("cap").cast("bigint"))).where("copies > 0")
     mixture = stored(mixture.select(F.col("id").alias(id_col), "source", "n_tokens", "copies"))

@@ -1,8 +1,8 @@
 """Same or near-same records across splits by content-defined chunks.
 
 A region's normalised record is the run of columns and the run of rows of its image that it covers; a column or row
-of an image is a token whose hash depends on the image and its position only. Chunk ends are cut where a token's hash is
-the least of its block of tokens, so regions that overlap cut alike wherever both cover the image. A chunk is the
+of an image is a token whose hash depends on the image and its position only. Each aligned block of tokens is cut once, at a token drawn by
+the hash of image and block, so regions that overlap cut alike wherever both cover the image. A chunk is the
 product of a chunk of columns and one of rows; equal digests are joined across splits and shared chunk areas are
 summed into overlap fractions.
 """
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from spotlake.operators.scale import stored
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_LOOKS = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -28,37 +27,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def cuts(image: int, axis: int, start: int, length: int, level: int) -> np.ndarray:
-    """Cut positions within [start, start + length]: one per aligned block of 2**level tokens, where the hash is least.
-
-    Of blocks longer than 1024 tokens, evenly spaced tokens are looked at.
-    """
-    size = 1 << level
-    stride = max(1, size // _LOOKS)
-    first, last = start >> level, (start + length) >> level
-    at = (np.arange(first, last + 1, dtype=np.int64)[:, None] << level) + np.arange(0, size, stride, dtype=np.int64)[None, :]
-    salt = np.uint64((image * 2 + axis) & 0xFFFFFFFFFFFFFFFF)
-    value = _mix(at.view(np.uint64) ^ _mix(np.array([salt]))[0])
-    found = at[np.arange(len(at)), value.argmin(axis=1)]
+    """Cut positions within [start, start + length]: one per aligned block of 2**level tokens, drawn by the block's hash."""
+    block = np.arange(start >> level, ((start + length) >> level) + 1, dtype=np.int64)
+    salt = _mix(np.array([(image * 128 + axis * 64 + level) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+    drawn = _mix(block.view(np.uint64) ^ salt) & np.uint64((1 << level) - 1)
+    found = (block << level) + drawn.view(np.int64)
     return found[(found >= start) & (found <= start + length)]
 
 
-def levels(length: int, least: float) -> list[int]:
+def levels(length: int, least: float, train: bool) -> list[int]:
     """Chunk scales of a side: regions whose overlap is ``least`` of their union share a scale and, on it, a chunk.
 
     Two blocks fit into the common part of both sides if the block is at most a third of it, and that part is at least
-    ``least`` of the longer side; sides of such a pair differ by less than one power of two if ``least`` > 0.5.
+    ``least`` of the longer side. The scale is that of the training region: its own top is at most that of the longer side. The tops of such a
+    pair differ by one at most if ``least`` > 0.5, so the fewer, held-out regions are cut on three scales.
     """
     top = max(0, int(np.floor(np.log2(max(1.0, length * least / 3)))))
-    span = int(np.ceil(np.log2(1 / least)))
-    return sorted({max(0, top - i) for i in range(span + 1)})
+    return [top] if train else sorted({max(0, top - 1), top, top + 1})
 
 
 def chunk_rows(rois: pd.DataFrame, least: float) -> pd.DataFrame:
-    """One row (id, scale, digest, area) per chunk of the regions (id, image, x, y, w, h)."""
+    """One row (id, scale, digest, area) per chunk of the regions (id, image, x, y, w, h, t: of the training split)."""
     out_id, out_scale, out_digest, out_area = [], [], [], []
-    for i, image, x, y, w, h in zip(*(rois[c].tolist() for c in ("id", "image", "x", "y", "w", "h")), strict=True):
-        columns = [(k, cuts(image, 0, x, w, k)) for k in levels(w, least)]
-        rows = [(k, cuts(image, 1, y, h, k)) for k in levels(h, least)]
+    for i, image, x, y, w, h, t in zip(*(rois[c].tolist() for c in ("id", "image", "x", "y", "w", "h", "t")), strict=True):
+        columns = [(k, cuts(image, 0, x, w, k)) for k in levels(w, least, t)]
+        rows = [(k, cuts(image, 1, y, h, k)) for k in levels(h, least, t)]
         for kx, cx in columns:
             for ky, cy in rows:
                 if len(cx) < 2 or len(cy) < 2:
@@ -90,7 +83,7 @@ def cross_split_overlaps(regions: DataFrame, least: float = 0.6, train: str = "c
     classes = rows.where(F.col("split").isin(train, *held)).distinct()
     sides = classes.groupBy("image").agg(F.max(F.col("split") == train).alias("t"), F.max(F.col("split") != train).alias("e")).where("t and e")
     classes = stored(classes.join(sides.select("image"), "image", "left_semi").withColumn("id", F.monotonically_increasing_id()))
-    chunks = classes.select("id", F.xxhash64("image").alias("image"), *box).mapInPandas(
+    chunks = classes.select("id", F.xxhash64("image").alias("image"), *box, (F.col("split") == train).alias("t")).mapInPandas(
         lambda parts: (chunk_rows(p, least) for p in parts), "id bigint, scale int, digest bigint, area bigint"
     )
     side = classes.select("id", (F.col("split") == train).alias("t"))

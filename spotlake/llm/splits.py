@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +78,11 @@ def assign(groups: DataFrame, shares: list[tuple[str, float]], seed: str = "0",
     room = {s: max(0.0, v) for s, v in lacking.items()}
     whole = sum(room.values()) or 1.0
     rest = groups.where(~big).agg(F.sum("weight")).first()[0] or 0
-    middle, bound, to = F.col("before") + F.col("weight") / 2, 0.0, F.lit(shares[-1][0])
-    steps = []
-    for s, _ in shares:
-        bound += rest * room[s] / whole
-        steps.append((s, bound))
-    for s, at in reversed(steps):
-        to = F.when(middle < at, F.lit(s)).otherwise(to)
-    light = light.withColumn("split", to).drop("before")
+    middle = F.col("before") + F.col("weight") / 2
+    ends = np.cumsum([rest * room[s] / whole for s, _ in shares])[:-1]
+    # The split's number is that of the ends at or below the middle of the group; any number of splits is one lookup.
+    passed = F.size(F.filter(F.lit(ends).cast("array<double>"), lambda e: e <= middle)) if len(ends) else F.lit(0)
+    light = light.withColumn("split", F.get(F.lit([s for s, _ in shares]), passed)).drop("before")
     if not placed:
         return light
     where = reduce(lambda x, y: x.when(F.col("component").isin(y[1]), F.lit(y[0])), placed.items(), F)

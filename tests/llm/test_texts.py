@@ -4,8 +4,9 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from spotlake.llm.leak import align, leaks, word_hashes
+from spotlake.llm.leak import align, bit_table, leaks, word_hashes
 from spotlake.llm.mixture import mix, rates
 from spotlake.llm.spans import factor, shared_spans
 from spotlake.llm.suffixes import Suffixes
@@ -121,8 +122,8 @@ def test_leaks_equal_brute_force(spark):
             v = _words(x)
             if any(tuple(v[j : j + 12]) in grams for j in range(len(v) - 11)):
                 want.add((k, i))
-    for block in (2000, 7):
-        found = leaks(df, table, block=block).collect()
+    for each in (1000, 2):
+        found = leaks(df, table, places_each=each).collect()
         assert {(r.item_id, r.doc_id) for r in found if r.run >= 12 and r.score >= 24} == want and len(want) > 20
         assert len({(r.item_id, r.doc_id) for r in found}) == len(found)
     assert leaks(spark.createDataFrame([], DOC), table).count() == 0
@@ -145,6 +146,34 @@ def test_a_whole_copy_does_not_hide_an_edited_one(spark):
     assert got == {1: (40, 1.0), 2: (12, pytest.approx(71 / 80)), 3: (6, pytest.approx(12 / 80))}
 
 
+def test_the_bit_table_loses_no_gram(spark):
+    marks = spark.range(5000).select(F.xxhash64("id").alias("gram"))
+    for most in (12, 29):
+        table, bits = bit_table(marks, most)
+        place = np.array([r.gram for r in marks.collect()], np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        assert ((table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).all() and bits <= most and len(table) == 1 << (bits - 6)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2, 0.25])
+def test_recall_of_edited_copies(spark, rate):
+    """Copies of items with words replaced, dropped and doubled at a rate, in other text; brute alignment of all pairs is the truth."""
+    rng = random.Random(int(rate * 100))
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(k, [rng.choice(vocab) for _ in range(rng.randrange(30, 60))]) for k in range(12)]
+    docs = []
+    for i in range(60):
+        words_ = [rng.choice(vocab) for _ in range(rng.randrange(20, 120))]
+        for w in rng.choice(items)[1]:
+            u = rng.random()
+            words_ += [rng.choice(vocab)] if u < rate / 2 else [] if u < rate * 3 / 4 else [w, w] if u < rate else [w]
+        docs.append((i, " ".join(words_ + [rng.choice(vocab) for _ in range(30)])))
+    truth = {(k, i) for k, w in items for i, t in docs if align(word_hashes(" ".join(w)), word_hashes(t))[0] >= len(w)}
+    found = leaks(spark.createDataFrame([(i, t, "", "") for i, t in docs], DOC), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"))
+    got = {(r.item_id, r.doc_id) for r in found.where("coverage >= 0.5").collect()}
+    print(f"rate {rate}: {len(got & truth)} of {len(truth)}")
+    assert got <= truth and len(got) >= 0.9 * len(truth) and len(truth) > 40
+
+
 def test_alignment_equals_the_textbook():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -178,6 +207,10 @@ def test_mixture_reaches_its_shares(spark):
     assert mix(df.limit(0), targets)[0].count() == 0 and mix(df, targets.limit(0))[0].count() == 0
 
 
-def test_rates():
-    assert rates([("a", 100), ("b", 10)], [("a", 0.5, 1), ("b", 0.5, 3)]) == {"a": 0.3, "b": 3.0}
-    assert rates([("a", 0)], [("a", 1.0, 2)]) == {} and rates([], []) == {}
+def test_rates(spark):
+    def got(sizes, targets):
+        frames = spark.createDataFrame(sizes, "source string, tokens bigint"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+        return {r.source: r.rate for r in rates(*frames).collect()}
+
+    assert got([("a", 100), ("b", 10)], [("a", 0.5, 1), ("b", 0.5, 3)]) == {"a": 0.3, "b": 3.0}
+    assert got([("a", 0)], [("a", 1.0, 2)]) == {} and got([], []) == {}
