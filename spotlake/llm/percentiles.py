@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +23,14 @@ PARTS = 16
 
 def percentiles(
     values: DataFrame, group: list[str], per_mille: Sequence[int] = (50, 250, 500, 750, 950, 990), error: float = 0.0, value: str = "value",
-    weight: str | None = None, broadcast_rows: int = 200_000, max_passes: int = 1100,
+    weight: str | None = None, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """(group columns, ``per_mille``, ``n``, ``value``, ``error``): the value of rank ceil(n * per_mille / 1000), at least 1.
 
     ``error`` is half the width of the interval left, at most the ``error`` asked for; 0 means the exact value. Null,
     NaN and infinite values do not count; null group values form a group of their own; a group without values does not
-    appear. ``weight`` (a positive integer column) repeats a value, as for merged summaries.
+    appear. ``weight`` (a positive integer column) repeats a value, as for merged summaries. Every pass shrinks every interval, so
+    the passes end by themselves; none is given up.
     """
     names = [f"g{i}" for i in range(len(group))]
     number = F.col(value).cast("double")
@@ -44,7 +46,7 @@ def percentiles(
     state = cut(state.select(*names, "n", "lo", "hi", F.lit(0).cast("bigint").alias("below"), wanted.alias("targets")))
     done: list[DataFrame] = []
     base = rows
-    for turn in range(max_passes):
+    for turn in count():
         narrow = (F.col("hi") / 2 - F.col("lo") / 2) <= error
         done.append(state.where(narrow))
         state = state.where(~narrow)
@@ -79,16 +81,21 @@ def percentiles(
     return out.select(*back, F.col("t.p").alias("per_mille"), "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + half).alias("value"), half.alias("error"))
 
 
+def halvings(relative: float) -> int:
+    """How often an octave is halved until a value is within ``relative`` of the middle of its part."""
+    return max(0, math.ceil(-math.log2(math.log2((1 + relative) / (1 - relative)))))
+
+
 def summary(values: DataFrame, group: list[str], relative: float = 0.01, value: str = "value") -> DataFrame:
     """Counts between fixed midpoints that do not depend on the data: (group, ``edge``, ``n``, ``middle``).
 
-    Midpoints are powers of (1 + relative) / (1 - relative) on both sides of 0, so a value lies within ``relative`` of
-    its ``middle`` (0 stands for itself). Summaries of the same ``relative`` are joined by adding up ``n``; see
+    The midpoints are those of the bisection of the logarithm to base 2, each octave halved until a part's ends are within
+    (1 + relative) / (1 - relative) of each other, on both sides of 0: a value lies within ``relative`` of its ``middle`` (0 stands for itself). Summaries of the same ``relative`` are joined by adding up ``n``; see
     :func:`joined`. Null, NaN and infinite values do not count.
     """
     if not 0 < relative < 1:
         raise ValueError("relative must lie in (0, 1)")
-    step = math.log((1 + relative) / (1 - relative))
+    step = math.log(2) / 2 ** halvings(relative)
     v = F.col(value).cast("double")
     rows = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     level = F.ceil(F.log(F.abs(v)) / step).cast("int")

@@ -38,6 +38,22 @@ def test_consensus_defined_cases(spark):
     assert one.first().label == "x"
 
 
+def test_an_unfinished_consensus_says_so(spark):
+    rows = [(i, r, t, None) for i in range(40) for r, t in (("a", "x" if i % 2 else "y"), ("b", "x" if i % 3 else "y"), ("c", "x"))]
+    df = spark.createDataFrame(rows, VOTE)
+    for rounds, done in ((1, False), (60, True)):
+        _, annotators, used = consensus(df, ["i"], max_rounds=rounds)
+        assert {r.converged for r in annotators.collect()} == {done} and used <= rounds
+    assert consensus(df, ["i"], sureness=0.0)[0].count() == 40
+
+
+def test_many_splits(spark):
+    shares = [(f"s{i:04d}", 1.0) for i in range(1500)]
+    groups = spark.createDataFrame([(f"g{i}", 1) for i in range(15_000)], "component string, weight bigint")
+    out = assign(groups, shares, heavy=10).groupBy("split").count().collect()
+    assert len(out) == 1500 and all(5 <= r["count"] <= 15 for r in out)
+
+
 def test_alpha_matches_pairs(spark):
     rng = random.Random(2)
     votes = [(i, f"r{k}", rng.choice("xyz"), None) for i in range(60) for k in range(rng.choice([1, 2, 4]))]
