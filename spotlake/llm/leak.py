@@ -66,19 +66,33 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
     """(best local alignment score, longest run of equal words) of two word sequences (Smith-Waterman, linear gaps)."""
-    width = len(text)
-    before, run = np.zeros(width + 1, np.int64), np.zeros(width + 1, np.int64)
-    best = longest = 0
-    slope = gap * np.arange(width + 1)
+    best, run = align_many(item, [text], match, mismatch, gap)
+    return int(best[0]), int(run[0])
+
+
+def align_many(item: np.ndarray, texts: list[np.ndarray], match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`align` of one item with several texts at once, row by row of all their matrices.
+
+    Shorter texts end in cells that match nothing; scores there never exceed those before them.
+    """
+    width = max(map(len, texts), default=0)
+    words_, real = np.zeros((len(texts), width), np.uint64), np.zeros((len(texts), width), bool)
+    for i, t in enumerate(texts):
+        words_[i, : len(t)] = t
+        real[i, : len(t)] = True
+    before = np.zeros((len(texts), width + 1), np.int32)
+    run = np.zeros_like(before)
+    best, longest = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+    slope = (gap * np.arange(width + 1)).astype(np.int32)
     for word in item:
-        same = text == word
-        now = np.zeros(width + 1, np.int64)
-        now[1:] = np.maximum(before[:-1] + np.where(same, match, mismatch), before[1:] + gap)
+        same = (words_ == word) & real
+        now = np.zeros_like(before)
+        now[:, 1:] = np.maximum(before[:, :-1] + np.where(same, np.int32(match), np.int32(mismatch)), before[:, 1:] + np.int32(gap))
         np.maximum(now, 0, out=now)
         # Gaps along the row: the best of all earlier cells, each lowered by its distance.
-        now = np.maximum(now, np.maximum.accumulate(now - slope) + slope)
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best, longest, before = max(best, int(now.max())), max(longest, int(run.max())), now
+        now = np.maximum(now, np.maximum.accumulate(now - slope, axis=1) + slope)
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        best, longest, before = np.maximum(best, now.max(axis=1)), np.maximum(longest, run.max(axis=1)), now
     return best, longest
 
 
@@ -173,13 +187,15 @@ def leaks(
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            known, out = {}, []
-            for item, doc, stretch, text in zip(part["item"], part["id"], part["stretch"], part["words"], strict=True):
-                if text not in known:
-                    known[text] = word_hashes(text)
-                best, run = align(known[text], np.frombuffer(stretch, np.uint64))
-                out.append((item, doc, best, best / (2 * len(known[text])), run))
-            yield pd.DataFrame(out, columns=["item", "id", "score", "coverage", "run"])
+            out = []
+            for (item, text), group in part.groupby(["item", "words"], sort=False):
+                own = word_hashes(text)
+                ids, cells = group["id"].to_numpy(), [np.frombuffer(b, np.uint64) for b in group["stretch"]]
+                step = max(1, 200_000 // max(1, max(map(len, cells))))
+                for k in range(0, len(cells), step):
+                    best, run = align_many(own, cells[k : k + step])
+                    out.append(pd.DataFrame({"item": item, "id": ids[k : k + step], "score": best, "coverage": best / (2 * len(own)), "run": run}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["item", "id", "score", "coverage", "run"])
 
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     scored = cut_out.repartition(spread, "item", "id", "stretch").join(texts, "item").mapInPandas(score, "item bigint, id bigint, score bigint, coverage double, run bigint")
