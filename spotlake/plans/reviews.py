@@ -14,6 +14,7 @@ from spotlake.operators import signal as sig
 from spotlake.operators import validation as val
 from spotlake.operators.logistic import train
 from spotlake.operators.masks import run_objects
+from spotlake.operators.pixel_training import SIDES, left_out
 from spotlake.operators.rules import FEATURES, decide
 from spotlake.operators.scale import stored, table, trimmed
 from spotlake.plans.areas import wafers
@@ -322,6 +323,12 @@ def rle_pixels(spark, d):
     return sig.rle_decode(rows, ["sample_id"], "label_mask_rle")
 
 
+def regions_left_out(spark, d):
+    """How many labelled regions of the pixel samples cannot train a model, and why."""
+    rows = table(spark, d, "pixel_samples").select("sample_id", F.col("image_sha256").alias("image_id"), F.col("roi_xywh").alias("roi"), F.col("label_mask_rle.runs").alias("runs"))
+    return left_out(rows.distinct()).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def multi_otsu(spark, d):
     return sig.otsu_cut(candidates(spark, d, "mean_dark_response"), ["run_id"], "mean_dark_response")
 
@@ -350,7 +357,7 @@ QUERIES = {
         last_per_reviewer, reviewer_pairs_agreement, cohen_kappa, class_jaccard, arbitrate_mode_tie, consensus_ordered, label_status, split_leakage,
         provenance_status, candidate_keys, proximity_pairs, nearest_reference, match_mutual, match_optimal, match_cascade, semi_matched, anti_unmatched,
         wafer_metrics, bland_altman, bootstrap_bias, class_report, trained_scores, dedup_groups, bbox_iou_links, union_priority, mask_objects, catalog_entries, latest_run, page_offset, page_filtered, run_labels, strata_outcomes, held_out_report, page_counts,
-        dense_renumber, evenly_spaced, farthest_points, balanced_sample, sliding_median, rle_encode, rle_pixels, multi_otsu, set_ops, sha_provenance,
+        dense_renumber, evenly_spaced, farthest_points, balanced_sample, sliding_median, rle_encode, rle_pixels, regions_left_out, multi_otsu, set_ops, sha_provenance,
     )
 }
 
@@ -498,6 +505,11 @@ SQL = {
         SELECT run_id, accepted, min(i) AS start, count(*) AS length FROM r GROUP BY run_id, accepted, i - k""",
     "rle_pixels": """WITH s AS (SELECT sample_id, any_value(label_mask_rle) AS m FROM pixel_samples WHERE label_mask_rle IS NOT NULL GROUP BY 1), r AS (SELECT sample_id, unnest(m.runs) AS r, m.shape[1]::BIGINT * m.shape[2] AS size FROM s)
         SELECT sample_id, r[3] AS value, sum(r[2])::BIGINT AS pixels FROM r WHERE len(r) = 3 AND r[1] >= 0 AND r[2] > 0 AND r[1] + r[2] <= size GROUP BY 1, 2""",
+    "regions_left_out": f"""WITH s AS (SELECT DISTINCT sample_id, image_sha256 AS i, roi_xywh AS r, label_mask_rle.runs AS u FROM pixel_samples),
+        t AS (SELECT CASE WHEN sample_id IS NULL OR i IS NULL OR r IS NULL OR u IS NULL THEN 'missing' WHEN len(r) <> 4 OR len(list_filter(r, lambda v: v IS NULL)) > 0 THEN 'roi' WHEN r[1] < 0 OR r[2] < 0 THEN 'position'
+            WHEN NOT (r[3] BETWEEN {SIDES[0]} AND {SIDES[1]} AND r[4] BETWEEN {SIDES[0]} AND {SIDES[1]}) THEN 'side'
+            WHEN len(list_filter(u, lambda x: coalesce(len(x) = 3 AND x[1] >= 0 AND x[2] > 0 AND x[1]::BIGINT + x[2] <= r[3]::BIGINT * r[4], false))) < len(u) THEN 'runs' END AS reason FROM s)
+        SELECT reason, count(*) AS n FROM t WHERE reason IS NOT NULL GROUP BY 1""",
     "set_ops": """WITH r AS (SELECT image_id FROM run_catalog WHERE image_id IS NOT NULL), c AS (SELECT image_id FROM candidates WHERE image_id IS NOT NULL), s AS (SELECT image_id FROM expert_annotations WHERE image_id IS NOT NULL)
         SELECT image_id, 'in_all' AS part FROM (FROM r INTERSECT FROM c INTERSECT FROM s) UNION ALL SELECT image_id, 'no_candidates' FROM (FROM r EXCEPT FROM c)
         UNION ALL SELECT image_id, 'no_run' FROM (FROM s EXCEPT FROM r) UNION ALL SELECT image_id, 'any' FROM (FROM r UNION FROM c UNION FROM s)""",

@@ -8,7 +8,7 @@ from spotlake.kernels import forest, image
 from spotlake.operators import models
 from spotlake.operators.config import load
 from spotlake.operators.detect import analyse
-from spotlake.operators.pixel_training import labelled_pixels
+from spotlake.operators.pixel_training import labelled_pixels, left_out
 from spotlake.operators.rules import FEATURES, Model
 from spotlake.operators.signal import rle_encode
 from spotlake.sources.tiles import read_tiles
@@ -50,6 +50,7 @@ def test_labelled_pixels_have_no_seams_and_train_a_forest(spark, tmp_path):
     part = whole[40:210, 30:220]
     rows = [(1, "im", roi, rle_encode(part)), (2, "im", [0, 0, 8, 8], [[0, 1, 1]]), (3, "im", [0, 0, 64, 64], [[5, 9999, 1]]), (4, None, roi, []), (5, "im", None, []), (6, "no", roi, [])]
     samples = spark.createDataFrame(rows, "sample_id int, image_id string, roi array<int>, runs array<array<int>>")
+    assert {r.sample_id: r.reason for r in left_out(samples).collect()} == {2: "side", 3: "runs", 4: "missing", 5: "missing"}
     found = labelled_pixels(read_tiles(spark, [str(tmp_path / "im.npy")], 64, image.HALO), samples, 64)
     got = {r.id - (1 << 22): (r.y, r.x) for r in found.collect()}
     want = np.flatnonzero(part.ravel())
