@@ -59,11 +59,11 @@ def assign(groups: DataFrame, shares: list[tuple[str, float]], seed: str = "0",
 
     Groups above a ``heavy``-th of the total (so at most ``heavy`` of them) go, heaviest first, to the split that lacks
     most; the others are laid in a row in hashed order and cut by cumulative weight into what remains. Shares are
-    scaled to sum to 1. A null or negative weight counts as 0.
+    scaled to sum to 1. A null or negative weight counts as 0. Without a positive share all groups have a null split.
     """
     shares = sorted((s, w) for s, w in shares if s is not None and w and w > 0)
     if not shares:
-        raise ValueError("no split has a positive share")
+        return groups.withColumn("split", F.lit(None).cast("string"))
     groups = stored(groups.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0))))
     total = groups.agg(F.sum("weight")).first()[0] or 0
     scale = sum(w for _, w in shares)

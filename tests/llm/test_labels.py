@@ -103,6 +103,12 @@ def test_assign_keeps_groups_and_shares(spark):
     assert assign(spark.createDataFrame([], "component string, weight bigint"), [("a", 1.0)]).count() == 0
 
 
+def test_assign_without_a_share(spark):
+    groups = spark.createDataFrame([("c", 1)], "component string, weight bigint")
+    for shares in ([], [("a", None)], [(None, 1.0)], [("a", 0.0)]):
+        assert [tuple(r) for r in assign(groups, shares).select("component", "weight", "split").collect()] == [("c", 1, None)]
+
+
 ROI = "image string, split string, x bigint, y bigint, w bigint, h bigint, iou string"
 
 
