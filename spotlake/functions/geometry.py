@@ -57,6 +57,13 @@ def box_or_around(box: Column | str, x, y, diameter, least: float = 1.0) -> Colu
     return F.when(F.size(col(box)) == 4, F.transform(col(box), lambda v: v.cast("bigint"))).otherwise(around)
 
 
+def true_box(box: Column | str) -> Column:
+    """The box as doubles, or null if it has not four finite values or no area; nothing is put in its place."""
+    b = F.transform(col(box), lambda v: v.cast("double"))
+    sound = (F.size(b) == 4) & F.forall(b, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)) & ~F.isnan(v)) & (F.get(b, F.lit(2)) > F.get(b, F.lit(0))) & (F.get(b, F.lit(3)) > F.get(b, F.lit(1)))
+    return F.when(sound, b)
+
+
 def box_iou(a: Column | str, b: Column | str) -> Column:
     """Intersection over union of half-open boxes; 0 where they do not meet or have no area."""
     a, b = col(a), col(b)

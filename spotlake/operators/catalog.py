@@ -51,6 +51,17 @@ def safe_name(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A(?!\.+(/|\z))[A-Za-z0-9._-]+(/(?!\.+(/|\z))[A-Za-z0-9._-]+)*\z"), F.lit(False))
 
 
+def shared_slots(accepted: int, rejected: int, slots: int) -> tuple[int, int]:
+    """How many accepted and rejected rows fill ``slots`` places: half each, accepted first, and what one side leaves goes to the other."""
+    first = max(min(accepted, (slots + 1) // 2), min(accepted, slots - rejected))
+    return first, min(rejected, slots - first)
+
+
+def joined_once(*lists: Column) -> Column:
+    """The values of several arrays, each at its first place; null arrays and null values are left out."""
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])))
+
+
 def page_info(df: DataFrame, size: int) -> DataFrame:
     """Rows and pages of a filtered table; an empty one has one page."""
     n = F.count("*")

@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from spotlake.functions.scalars import parse_bool, with_poisson_interval
 from spotlake.operators.density import rates
 
+# The calibration profiles on record, what they override and what they may claim.
+GENERIC = "generic_transparent_rules"
+PROFILES = {
+    GENERIC: {"status": "generic_unvalidated_defaults", "overrides": {}},
+    "cn4n82006412_r40_b2_standard_20260815": {
+        "status": "single_wafer_spatial_internal_calibration",
+        "overrides": {"detection": {"method": "blackhat", "threshold_method": "otsu", "threshold_offset": 0.030, "use_watershed": False}},
+    },
+}
+
 SWEEP = (0.8, 0.9, 1.0, 1.1, 1.2)
 
 
@@ -26,6 +36,15 @@ def merged(base: Mapping, *over: Mapping) -> dict:
     return out
 
 
+def with_profile(settings: Mapping, name: str | None = None, profiles: Mapping[str, Mapping] = PROFILES) -> dict:
+    """The settings under a named profile's overrides, with its name and facts as ``analysis_profile``; blank means the generic one."""
+    name = (name or "").strip() or GENERIC
+    if name not in profiles:
+        raise ValueError(f"unknown profile: {name}")
+    facts = {k: v for k, v in profiles[name].items() if k != "overrides"}
+    return merged(settings, profiles[name].get("overrides", {}), {"analysis_profile": {"profile_id": name, **facts}})
+
+
 def load(path: str, defaults: Mapping, *over: Mapping) -> dict:
     """Defaults, then the JSON object of a file, then overrides."""
     with open(path, encoding="utf-8-sig") as f:

@@ -88,6 +88,51 @@ def windows(tiles: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFrame
     return fine.groupBy("image_id").cogroup(wanted.groupBy("image_id")).applyInPandas(ends, "image_id string, low double, high double")
 
 
+def extrema(tiles: DataFrame) -> DataFrame:
+    """(image_id, ``least``, ``greatest``, ``pixels``, ``finite``, ``below``, ``above``): exact extremes of the finite pixels and the shares
+    of these beyond the window of ``windowed`` tiles, which are clipped; null without a window or without finite pixels.
+    """
+    has = "low" in tiles.columns
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                y, x = row.core_y - row.y0, row.core_x - row.x0
+                a = pixels(row)[y : y + row.core_h, x : x + row.core_w].astype(np.float64)
+                v = a[np.isfinite(a)]
+                ends = (float(v.min()), float(v.max())) if len(v) else (None, None)
+                out.append((row.image_id, *ends, a.size, len(v), int((v < row.low).sum()) if has else None, int((v > row.high).sum()) if has else None))
+            yield pd.DataFrame(out, columns=["image_id", "least", "greatest", "pixels", "finite", "under", "over"])
+
+    each = tiles.mapInPandas(part, "image_id string, least double, greatest double, pixels bigint, finite bigint, under bigint, over bigint")
+    sums = [F.sum(c).alias(c) for c in ("pixels", "finite", "under", "over")]
+    out = each.groupBy("image_id").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), *sums)
+    return out.select("image_id", "least", "greatest", "pixels", "finite", F.try_divide("under", "finite").alias("below"), F.try_divide("over", "finite").alias("above"))
+
+
+def decimated(tiles: DataFrame, step: int) -> DataFrame:
+    """Every ``step``-th row and column of each image, in pieces (image_id, y, x, h, w, dtype, px): places count kept rows and columns.
+
+    A tile gives the kept pixels of its core as they stand; one that holds none gives no row. No image is put together.
+    """
+    if step < 1:
+        raise ValueError("the step is at least 1")
+
+    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                y, x = -row.core_y % step, -row.core_x % step
+                if y < row.core_h and x < row.core_w:
+                    dy, dx = row.core_y - row.y0, row.core_x - row.x0
+                    a = pixels(row)[dy : dy + row.core_h, dx : dx + row.core_w][y::step, x::step]
+                    out.append((row.image_id, (row.core_y + y) // step, (row.core_x + x) // step, *a.shape, row.dtype, a.tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "y", "x", "h", "w", "dtype", "px"])
+
+    return tiles.mapInPandas(part, "image_id string, y int, x int, h int, w int, dtype string, px binary")
+
+
 def windowed(tiles: DataFrame) -> DataFrame:
     """``tiles`` with the window of their image (``low``, ``high``) and ``inverted``, true where zero is white.
 

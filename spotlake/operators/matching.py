@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.geometry import box_iou
 from spotlake.operators.locate import locate
-from spotlake.operators.scale import blocks, cut, stored
+from spotlake.operators.scale import blocks, broadcast_within, cut, stored
 
 
 def pairs_within(left: DataFrame, right: DataFrame, tolerance: float, left_id: str = "a", right_id: str = "b", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -23,6 +23,23 @@ def pairs_within(left: DataFrame, right: DataFrame, tolerance: float, left_id: s
     return found.select(left_id, right_id, *keep, F.hypot(F.col("__ax") - F.col("__bx"), F.col("__ay") - F.col("__by")).alias("distance"))
 
 
+def in_micrometres(left: DataFrame, right: DataFrame, scales: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both point tables with ``x`` and ``y`` in micrometres: from ``x_mm``, ``y_mm`` where every point of the key, on both sides, has
+    them finite, else from ``x``, ``y`` in pixels and the key's scale.
+
+    ``scales``: key, mm_per_pixel; one that is missing, not positive or not finite gives null coordinates, with which a point matches
+    nothing. Of several scales of a key the greatest counts. ``x_mm`` and ``y_mm`` are dropped.
+    """
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+    whole = [df.groupBy("key").agg(F.bool_and(finite("x_mm") & finite("y_mm")).alias("mm")) for df in (left, right)]
+    whole = whole[0].unionByName(whole[1]).groupBy("key").agg(F.bool_and("mm").alias("__mm"))
+    usable = scales.where(finite("mm_per_pixel") & (F.col("mm_per_pixel") > 0)).groupBy("key").agg(F.max("mm_per_pixel").alias("__scale"))
+    how = broadcast_within(stored(whole.join(usable, "key", "left")), 1_000_000)
+    um = lambda c: F.when(F.col("__mm"), F.col(f"{c}_mm")).otherwise(F.col(c) * F.col("__scale")) * 1000
+    scaled = [df.join(how, "key", "left").withColumns({"x": um("x"), "y": um("y")}).select(*[c for c in df.columns if c not in ("x_mm", "y_mm")]) for df in (left, right)]
+    return scaled[0], scaled[1]
+
+
 def nearest(pairs: DataFrame, left_id: str = "a", right_id: str = "b") -> DataFrame:
     """The nearest right point of each left point; ties go to the smaller id."""
     best = pairs.groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("m"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spotlake.operators.scale import stored
+
 # What the labels of the experts mean.
 POSITIVE = ("confirmed_point",)
 NEGATIVE = ("detector_artifact", "large_dark_region", "line_fragment", "particle_or_dust", "scratch")
@@ -23,6 +25,45 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col("__r").getField(c).alias(c) for c in rest]).select(*df.columns)
 
 
+def with_snapshot(verdicts: DataFrame, candidates: DataFrame, runs: DataFrame, features: list[str]) -> DataFrame:
+    """Verdicts (run_id, defect_id, label, split, reviewer_id, notes, updated_at_utc) with what their candidate was when they were given.
+
+    Adds the run's ``input_file_name`` and ``wafer_id`` (its id where it has none), ``candidates_digest`` (of all rows of the run's
+    candidates in any order, by partial sums), ``x_mm``, ``y_mm``, ``accepted_at_annotation_time``,
+    ``rejection_reason_at_annotation_time`` and the features, NaN as null. A verdict on a candidate that is not there raises.
+    Repeated candidate rows count once; of several runs of one id the least values are taken.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in candidates.schema.fields}
+    number = lambda c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
+    rows = candidates.distinct()
+    row = F.xxhash64(*[F.col(c) for c in sorted(candidates.columns)])
+    own = rows.groupBy("run_id").agg(F.concat_ws(":", F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(38,0)"))).alias("text"))
+    digests = own.select("run_id", F.sha2("text", 256).alias("candidates_digest"))
+    seen = rows.select(
+        "run_id", F.trim(F.col("defect_id").cast("string")).alias("defect_id"), *[number(c).alias(c) for c in ("x_mm", "y_mm")],
+        F.coalesce(F.col("accepted").cast("string"), F.lit("")).alias("accepted_at_annotation_time"),
+        F.coalesce("rejection_reason", F.lit("")).alias("rejection_reason_at_annotation_time"), *[number(c).alias(c) for c in features], F.lit(True).alias("__there"),
+    )
+    seen = seen.groupBy("run_id", "defect_id").agg(F.min(F.struct(*[c for c in seen.columns if c not in ("run_id", "defect_id")])).alias("s")).select("run_id", "defect_id", "s.*")
+    named = runs.groupBy("run_id").agg(F.min("input_file_name").alias("input_file_name"), F.min("wafer_id").alias("wafer_id"))
+    given = verdicts.withColumns({"defect_id": F.trim(F.col("defect_id").cast("string")), "label": F.lower(F.trim("label")), "split": F.lower(F.trim("split")), "reviewer_id": F.trim("reviewer_id")})
+    out = stored(given.join(seen, ["run_id", "defect_id"], "left").join(named, "run_id", "left").join(digests, "run_id", "left"))
+    lost = out.where("__there is null").select("run_id", "defect_id").limit(5).collect()
+    if lost:
+        raise ValueError("no such candidate: " + ", ".join(f"{r.run_id}/{r.defect_id}" for r in lost))
+    return out.drop("__there").withColumns({"input_file_name": F.coalesce("input_file_name", "run_id"), "wafer_id": F.coalesce("wafer_id", "run_id")})
+
+
+def upserted(present: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The labels in hand with newer verdicts: per candidate and reviewer the new row replaces the old one, of several new ones the last.
+
+    Columns that one side lacks are null there.
+    """
+    both = present.withColumn("__new", F.lit(0)).unionByName(verdicts.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    rest = sorted(c for c in both.columns if c not in ("__new", "run_id", "defect_id", "reviewer_id", "updated_at_utc"))
+    return keep_last(both, ["run_id", "defect_id", "reviewer_id"], ["__new", "updated_at_utc", *rest]).drop("__new")
+
+
 def reviewer_pairs(verdicts: DataFrame, item: list[str], reviewer: str = "reviewer_id", label: str = "label") -> DataFrame:
     """Every pair of reviewers' verdicts on an item, the smaller id first (a bounded number per item)."""
     a = verdicts.select(*item, F.col(reviewer).alias("first_reviewer"), F.col(label).alias("first_label"))

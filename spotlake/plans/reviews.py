@@ -20,7 +20,7 @@ from spotlake.operators.scale import stored, table, trimmed
 from spotlake.plans.areas import wafers
 from spotlake.plans.measure import _TESTS, _WHOLE, _Z, LIMITS, MODEL, RULE_COLUMNS, candidates
 
-TOLERANCE_PX = 12.0
+TOLERANCE_PX, TOLERANCE_UM = 12.0, 100.0
 
 
 def _norm(c: str):
@@ -137,6 +137,22 @@ def match_cascade(spark, d):
     return out.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def match_cascade_um(spark, d):
+    """Outcomes per image of the staged matching in micrometres: by millimetre coordinates where an image has all of them, else by its pixel scale."""
+    autos = candidates(spark, d, "image_id", "centroid_x_px", "centroid_y_px", "x_mm", "y_mm", "accepted").where("accepted and image_id is not null")
+    autos = autos.select(F.concat_ws("/", "run_id", "defect_id").alias("a"), F.col("image_id").alias("key"), F.col("centroid_x_px").alias("x"), F.col("centroid_y_px").alias("y"), "x_mm", "y_mm")
+    seen = table(spark, d, "expert_annotations", "annotation_seq", "image_id", "x_px", "y_px", "x_mm", "y_mm", "label").distinct().where("image_id is not null")
+    seen = seen.select(F.col("annotation_seq").alias("b"), F.col("image_id").alias("key"), F.col("x_px").alias("x"), F.col("y_px").alias("y"), "x_mm", "y_mm", _norm("label").alias("label"))
+    scales = table(spark, d, "run_catalog").select(F.col("image_id").alias("key"), "mm_per_pixel").distinct()
+    autos, seen = (stored(df) for df in match.in_micrometres(autos, seen, scales))
+    placed = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    pairs = stored(match.pairs_within(autos.where(placed), seen.where(placed), TOLERANCE_UM, keep=("label",)))
+    out = match.staged(pairs, autos, seen, rev.POSITIVE, rev.NEGATIVE, rev.INDETERMINATE, complete=True)
+    rows = out.join(autos.select(F.col("a").alias("ia"), F.col("key").alias("ka")).distinct(), F.col("a") == F.col("ia"), "left")
+    rows = rows.join(seen.select(F.col("b").alias("ib"), F.col("key").alias("kb")).distinct(), F.col("b") == F.col("ib"), "left")
+    return rows.groupBy(F.coalesce("ka", "kb").alias("image_id"), "outcome").agg(F.count("*").alias("n"))
+
+
 def semi_matched(spark, d):
     return _autos(spark, d).join(_near(spark, d).select("a"), "a", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
 
@@ -355,7 +371,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         last_per_reviewer, reviewer_pairs_agreement, cohen_kappa, class_jaccard, arbitrate_mode_tie, consensus_ordered, label_status, split_leakage,
-        provenance_status, candidate_keys, proximity_pairs, nearest_reference, match_mutual, match_optimal, match_cascade, semi_matched, anti_unmatched,
+        provenance_status, candidate_keys, proximity_pairs, nearest_reference, match_mutual, match_optimal, match_cascade, match_cascade_um, semi_matched, anti_unmatched,
         wafer_metrics, bland_altman, bootstrap_bias, class_report, trained_scores, dedup_groups, bbox_iou_links, union_priority, mask_objects, catalog_entries, latest_run, page_offset, page_filtered, run_labels, strata_outcomes, held_out_report, page_counts,
         dense_renumber, evenly_spaced, farthest_points, balanced_sample, sliding_median, rle_encode, rle_pixels, regions_left_out, multi_otsu, set_ops, sha_provenance,
     )
@@ -383,10 +399,19 @@ reviewed AS (SELECT annotation_seq AS b, image_id AS key, x_px AS x, y_px AS y,
 near AS (SELECT DISTINCT a, b, label, sqrt((o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y)) AS distance FROM autos o JOIN reviewed r ON o.key = r.key
     WHERE (o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y) <= {TOLERANCE_PX * TOLERANCE_PX})"""
 _NEAREST = "SELECT a, b, distance FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) = 1"
+_FINITE = "bool_and(x_mm IS NOT NULL AND y_mm IS NOT NULL AND isfinite(x_mm) AND isfinite(y_mm))"
+_NEAR_UM = f"""autos0 AS (SELECT DISTINCT run_id || '/' || defect_id AS a, image_id AS key, centroid_x_px AS x, centroid_y_px AS y, x_mm, y_mm FROM candidates WHERE accepted AND image_id IS NOT NULL),
+reviewed0 AS (SELECT DISTINCT annotation_seq AS b, image_id AS key, x_px AS x, y_px AS y, x_mm, y_mm, {_N.format('label')} AS label FROM expert_annotations WHERE image_id IS NOT NULL),
+how AS (SELECT key, mm, scale FROM (SELECT key, {_FINITE} AS mm FROM (SELECT key, x_mm, y_mm FROM autos0 UNION ALL SELECT key, x_mm, y_mm FROM reviewed0) GROUP BY 1)
+    LEFT JOIN (SELECT image_id AS key, max(mm_per_pixel) AS scale FROM run_catalog WHERE mm_per_pixel > 0 AND isfinite(mm_per_pixel) GROUP BY 1) USING (key)),
+autos AS (SELECT a, key, CASE WHEN mm THEN x_mm ELSE x * scale END * 1000 AS x, CASE WHEN mm THEN y_mm ELSE y * scale END * 1000 AS y FROM autos0 JOIN how USING (key)),
+reviewed AS (SELECT b, key, CASE WHEN mm THEN x_mm ELSE x * scale END * 1000 AS x, CASE WHEN mm THEN y_mm ELSE y * scale END * 1000 AS y, label FROM reviewed0 JOIN how USING (key)),
+near AS (SELECT DISTINCT a, b, label, sqrt((o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y)) AS distance FROM autos o JOIN reviewed r ON o.key = r.key
+    WHERE NOT isnan(o.x) AND NOT isnan(o.y) AND NOT isnan(r.x) AND NOT isnan(r.y) AND (o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y) <= {TOLERANCE_UM * TOLERANCE_UM})"""
 _CAND = "(SELECT DISTINCT run_id, defect_id, {0} FROM candidates)"
 
 
-def _cascade(select: str) -> str:
+def _cascade(select: str, near: str = _NEAR) -> str:
     """The staged matching: per stage, every one-to-one matching of each component is listed and the best is taken."""
     stages = [("confirmed_point", "TP")] + [(x, "FP") for x in sorted(rev.NEGATIVE)] + [(x, "indeterminate") for x in sorted(rev.INDETERMINATE)]
     out = []
@@ -400,7 +425,7 @@ m{i}(g, last, n, cost, aa, bb, rs) AS (SELECT g, r, 1, distance, [a], [b], [r] F
     UNION ALL SELECT m.g, e.r, n + 1, cost + distance, list_append(aa, a), list_append(bb, b), list_append(rs, r) FROM m{i} m JOIN g{i} e ON m.g = e.g AND e.r > last WHERE NOT list_contains(aa, a) AND NOT list_contains(bb, b)),
 u{i} AS MATERIALIZED (SELECT a, b, '{outcome}' AS outcome FROM (SELECT unnest(rs) AS r FROM (SELECT rs FROM m{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, cost, rs) = 1)) JOIN s{i} USING (r){before})""")
     used = f"u{len(stages) - 1}"
-    return f"""WITH RECURSIVE {_NEAR}, {', '.join(out)}, every AS (SELECT a, b, outcome FROM {used} UNION ALL SELECT a, NULL, 'FP' FROM (SELECT DISTINCT a FROM autos) WHERE a NOT IN (SELECT a FROM {used})
+    return f"""WITH RECURSIVE {near}, {', '.join(out)}, every AS (SELECT a, b, outcome FROM {used} UNION ALL SELECT a, NULL, 'FP' FROM (SELECT DISTINCT a FROM autos) WHERE a NOT IN (SELECT a FROM {used})
         UNION ALL SELECT NULL, b, 'FN' FROM (SELECT DISTINCT b FROM reviewed WHERE label = 'confirmed_point') WHERE b NOT IN (SELECT b FROM {used})) {select}"""
 
 
@@ -456,6 +481,7 @@ SQL = {
     "nearest_reference": f"WITH {_NEAR} SELECT a, b, round(distance, 6) AS distance FROM ({_NEAREST})",
     "match_mutual": f"WITH {_NEAR}, n AS ({_NEAREST}), m AS (SELECT a, b FROM near QUALIFY row_number() OVER (PARTITION BY b ORDER BY distance, a) = 1) SELECT n.a, n.b, round(distance, 6) AS distance FROM n JOIN m ON n.a = m.a AND n.b = m.b",
     "match_cascade": _cascade("SELECT outcome, count(*) AS n FROM every GROUP BY 1"),
+    "match_cascade_um": _cascade("SELECT coalesce(o.key, r.key) AS image_id, outcome, count(*) AS n FROM every e LEFT JOIN autos o ON e.a = o.a LEFT JOIN reviewed r ON e.b = r.b GROUP BY 1, 2", _NEAR_UM),
     "wafer_metrics": _cascade("""
         , n AS (SELECT coalesce(o.key, r.key) AS image_id, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn,
             count(*) FILTER (outcome = 'indeterminate') AS indeterminate FROM every e LEFT JOIN autos o ON e.a = o.a LEFT JOIN reviewed r ON e.b = r.b GROUP BY 1),

@@ -66,6 +66,62 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+# The columns of the table of training labels, its labels and its splits.
+LABEL_COLUMNS = (
+    "annotation_schema_version", "run_id", "defect_id", "input_file_name", "wafer_id", "label", "split", "reviewer_id", "notes", "updated_at_utc",
+    "defects_csv_sha256", "x_mm", "y_mm", "accepted_at_annotation_time", "rejection_reason_at_annotation_time", "area_mm2", "equivalent_diameter_um",
+    "major_axis_length_um", "minor_axis_length_um", "aspect_ratio", "eccentricity", "circularity", "solidity", "contrast", "mean_dark_response",
+)
+LABEL_VALUES, SPLITS = ("target", "artifact", "uncertain"), ("calibration", "validation", "locked_test")
+
+
+def read_training_labels(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Training labels: all columns are needed; places and features as doubles; unknown labels or splits and blank keys raise."""
+    rows = read_text_table(spark, paths, LABEL_COLUMNS)
+    numbers = ("x_mm", "y_mm", *LABEL_COLUMNS[LABEL_COLUMNS.index("area_mm2") :])
+    rows = rows.withColumns({c: F.expr(f"try_cast({c} as double)") for c in numbers}).withColumns({c: F.lower(F.trim(c)) for c in ("label", "split")})
+    name = F.concat_ws("/", "run_id", "defect_id")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    _refuse(rows, {
+        "label": (~F.coalesce(F.col("label").isin(*LABEL_VALUES), F.lit(False)), name),
+        "split": (~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)), name),
+        "key": (blank("run_id") | blank("defect_id") | blank("reviewer_id"), name),
+    })
+    return rows
+
+
+def read_result_folders(spark: SparkSession, folder: str, numbers: tuple[str, ...] = ("centroid_x_px", "centroid_y_px", "x_mm", "y_mm")) -> dict[str, DataFrame]:
+    """Tables ``accepted``, ``areas`` (wafer_id, area_cm2) and ``scales`` (image_id, mm_per_pixel) of all run folders below ``folder``.
+
+    Every folder needs ``summary.json`` and ``defects_accepted.csv``. The accepted rows of all folders are united, with the image and
+    wafer of their folder's summary (the folder's name where it states none) and ``numbers`` as doubles; their files must have the same heading.
+    """
+    files = spark.read.format("binaryFile").load(f"{folder}/*/{{summary.json,defects_accepted.csv}}").select(F.split("path", "/").alias("p"))
+    held = files.groupBy(F.element_at("p", -2).alias("run")).agg(F.countDistinct(F.element_at("p", -1)).alias("n")).where("n < 2").limit(10).collect()
+    if held:
+        raise ValueError("summary.json or defects_accepted.csv is missing: " + ", ".join(sorted(r.run for r in held)))
+    schema = "input_file_name string, wafer_id string, valid_analysis_area_cm2 double, mm_per_pixel double"
+    own = lambda: F.element_at(F.split(F.input_file_name(), "/"), -2)
+    runs = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/summary.json").withColumn("run_id", own())
+    runs = runs.withColumns({"image_id": F.coalesce("input_file_name", "run_id"), "wafer_id": F.coalesce("wafer_id", "run_id")})
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(f"{folder}/*/defects_accepted.csv")
+    missing = [c for c in ("defect_id", *numbers) if c not in rows.columns]
+    if missing:
+        raise ValueError("missing columns: " + ", ".join(missing))
+    rows = rows.drop("image_id", "wafer_id", "run_id", "accepted").withColumns({c: F.expr(f"try_cast({c} as double)") for c in numbers}).withColumn("run_id", own())
+    accepted = rows.join(runs.select("run_id", "image_id", "wafer_id"), "run_id").withColumn("accepted", F.lit(True))
+    return {
+        "accepted": accepted,
+        "areas": runs.groupBy("wafer_id").agg(F.max("valid_analysis_area_cm2").alias("area_cm2")),
+        "scales": runs.groupBy("image_id").agg(F.max("mm_per_pixel").alias("mm_per_pixel")),
+    }
+
+
+def append_operation(operations: DataFrame, path: str) -> None:
+    """Append rows to the history of operations; rows that stand there are never rewritten."""
+    operations.write.mode("append").parquet(path)
+
+
 def eligible(references: DataFrame) -> DataFrame:
     return references.where("label = 'confirmed_point' and registration_status = 'registered'")
 
