@@ -2,7 +2,8 @@
 
 A wafer's rows are runs of its disc, counted once, and the union of its invalid rectangles in each row are runs within the disc,
 counted minus once. How many pixels of a run lie in a bin follows from the ends of both, so the work grows with the rows
-of the images and the heights of the rectangles, never with their pixels.
+of the images and the heights of the rectangles, never with their pixels. Rows are made from strips, after the last join, and
+go straight into sums: only strips and sums are moved, and neither rows nor cells are ever one side of a join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,31 @@ from pyspark.sql import functions as F
 from spotlake.functions.scalars import with_poisson_interval
 
 SHAPE = ("cx", "cy", "radius", "scale")
+# Rows of an image that are handled together, rows of all images in a task.
+STRIP, ROWS_EACH = 256, 500_000
+
+
+def _in_strips(df: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows ``low`` to ``high`` (excluded) parted at the multiples of STRIP, with the number of the strip."""
+    parts = df.withColumn("strip", F.explode(F.sequence(F.floor(F.col(low) / STRIP).cast("int"), F.floor((F.col(high) - 1) / STRIP).cast("int"))))
+    return parts.withColumns({low: F.greatest(F.col(low), F.col("strip") * STRIP), high: F.least(F.col(high), (F.col("strip") + 1) * STRIP)})
+
+
+def disjoint(boxes: DataFrame) -> DataFrame:
+    """(image_id, strip, y0, y1, x0, x1): the union of boxes (image_id, x0, y0, x1, y1) as boxes that don't overlap, none across strips.
+
+    Within a strip the rows between two ends of boxes hold the same boxes, so they are united once for all. A strip has at most
+    STRIP + 1 ends, so the list of them stays short however many boxes there are.
+    """
+    parts = _in_strips(boxes, "y0", "y1")
+    strip = Window.partitionBy("image_id", "strip")
+    parts = parts.withColumn("ends", F.array_sort(F.array_union(F.collect_set("y0").over(strip), F.collect_set("y1").over(strip))))
+    between = F.transform("ends", lambda y, k: F.struct(y.alias("low"), F.get("ends", k + 1).alias("high")))
+    bands = parts.select("image_id", "strip", "x0", "x1", F.inline(F.filter(between, lambda e: (e["low"] >= F.col("y0")) & (e["low"] < F.col("y1")))))
+    by = Window.partitionBy("image_id", "strip", "low").orderBy("x0", "x1")
+    reach = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = bands.withColumn("new", F.when(reach >= F.col("x0"), 0).otherwise(1)).withColumn("bar", F.sum("new").over(by))
+    return marked.groupBy("image_id", "strip", F.col("low").alias("y0"), F.col("high").alias("y1"), "bar").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("bar")
 
 
 def signed_runs(wafers: DataFrame, invalid: DataFrame) -> DataFrame:
@@ -22,24 +48,24 @@ def signed_runs(wafers: DataFrame, invalid: DataFrame) -> DataFrame:
 
     ``wafers`` (image_id unique, width, height, cx, cy, radius in pixels, scale in mm a pixel) are discs cut by their
     image; ``invalid`` (image_id, x0, y0, x1, y1, half open, in any order of the corners) may overlap. Rows with a null,
-    and rectangles of images without wafer, count for nothing.
+    and rectangles of images without wafer, count for nothing. Rectangles are cut to the disc's rows before these are listed.
     """
-    half = lambda: F.sqrt(F.greatest(F.lit(0.0), F.col("radius") * F.col("radius") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
     rows = wafers.dropna().where("radius > 0 and scale > 0 and width > 0 and height > 0")
     first, last = F.greatest(F.lit(0), F.ceil(F.col("cy") - F.col("radius"))), F.least(F.col("height") - 1, F.floor(F.col("cy") + F.col("radius")))
-    disc = rows.where(first <= last).withColumn("y", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    disc = disc.withColumns({"a": F.greatest(F.lit(0), F.ceil(F.col("cx") - half())).cast("int"), "b": F.least(F.col("width") - 1, F.floor(F.col("cx") + half())).cast("int")}).where("a <= b")
-    boxes = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).select(
-        "image_id", F.least("x0", "x1").cast("int").alias("x0"), F.greatest("x0", "x1").cast("int").alias("x1"), F.least("y0", "y1").cast("int").alias("y0"), F.greatest("y0", "y1").cast("int").alias("y1")
-    )
-    bars = boxes.where("x0 < x1 and y0 < y1").distinct().select("image_id", "x0", "x1", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
-    by = Window.partitionBy("image_id", "y").orderBy("x0", "x1")
-    reach = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = bars.withColumn("new", F.when(reach >= F.col("x0"), 0).otherwise(1)).withColumn("bar", F.sum("new").over(by))
-    union = marked.groupBy("image_id", "y", "bar").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    cut = disc.join(union, ["image_id", "y"]).withColumns({"a": F.greatest("a", "x0"), "b": F.least("b", F.col("x1") - 1)}).where("a <= b")
-    own = ["image_id", "y", "a", "b"]
-    return disc.select(*own, F.lit(1).alias("sign"), *SHAPE).unionByName(cut.select(*own, F.lit(-1).alias("sign"), *SHAPE))
+    discs = rows.where(first <= last).withColumns({"first": first.cast("int"), "end": (last + 1).cast("int"), "width": F.col("width").cast("int")})
+    boxes = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).join(discs.select("image_id", "width", "first", "end"), "image_id").select(
+        "image_id", F.greatest(F.least("x0", "x1").cast("int"), F.lit(0)).alias("x0"), F.least(F.greatest("x0", "x1").cast("int"), "width").alias("x1"),
+        F.greatest(F.least("y0", "y1").cast("int"), "first").alias("y0"), F.least(F.greatest("y0", "y1").cast("int"), "end").alias("y1"),
+    )
+    own = ["image_id", "strip", "y0", "y1", "x0", "x1"]
+    whole = _in_strips(discs.select("image_id", F.col("first").alias("y0"), F.col("end").alias("y1"), F.lit(0).alias("x0"), F.col("width").alias("x1")), "y0", "y1")
+    strips = whole.select(*own, F.lit(1).alias("sign")).unionByName(disjoint(boxes.where("x0 < x1 and y0 < y1").distinct()).select(*own, F.lit(-1).alias("sign")))
+    # Strips are few and short, their rows are many: the number of tasks follows from the rows.
+    tasks = max(1, -(-(discs.agg(F.sum((F.col("end") - F.col("first")).cast("bigint"))).first()[0] or 0) // ROWS_EACH))
+    spread = strips.join(discs.select("image_id", *SHAPE), "image_id").repartition(tasks, "image_id", "strip")
+    half = F.sqrt(F.greatest(F.lit(0.0), F.col("radius") * F.col("radius") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
+    a, b = F.greatest("x0", F.ceil(F.col("cx") - half).cast("int")), F.least(F.col("x1") - 1, F.floor(F.col("cx") + half).cast("int"))
+    return spread.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).select("image_id", "y", a.alias("a"), b.alias("b"), "sign", *SHAPE).where("a <= b")
 
 
 def _inside(low: Column, high: Column) -> Column:
@@ -122,11 +148,20 @@ def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float =
     cell = lambda p: clip(F.floor(((p + middle - F.col("cx")) * F.col("scale") + F.col("reach")) / F.col("side")))
     below = (F.col("y") + middle - F.col("cy")) * F.col("scale")
     y_cell = clip(F.floor(((below if down else -below) + F.col("reach")) / F.col("side")))
-    rows = rows.withColumn("y_cell", y_cell).withColumn("x_cell", F.explode(F.sequence(cell(F.col("a")), cell(F.col("b")))))
     edge = lambda k: F.ceil((k * F.col("side") - F.col("reach")) / F.col("scale") + F.col("cx") - middle).cast("int")
-    low = F.when(F.col("x_cell") == 0, F.col("a")).otherwise(edge(F.col("x_cell")))
-    high = F.when(F.col("x_cell") == F.col("n") - 1, F.col("b")).otherwise(edge(F.col("x_cell") + 1) - 1)
-    return rows.groupBy("image_id", "x_cell", "y_cell").agg(F.sum(_inside(low, high)).cast("bigint").alias("pixels"))
+    low = lambda k: F.when(k == 0, F.col("a")).otherwise(edge(k))
+    high = lambda k: F.when(k == F.col("n") - 1, F.col("b")).otherwise(edge(k + 1) - 1)
+    left, right = F.col("left"), F.col("right")
+    rows = rows.withColumns({"y_cell": y_cell, "left": cell(F.col("a")), "right": cell(F.col("b"))})
+    # A run covers all columns of the cells between those of its ends, so the runs with the same cells at their ends are summed first.
+    sums = rows.groupBy("image_id", "y_cell", "left", "right").agg(
+        F.sum(_inside(low(left), high(left))).alias("at_left"), F.sum(_inside(low(right), high(right))).alias("at_right"), F.sum("sign").alias("between"),
+        *[F.max(c).alias(c) for c in ("side", "reach", "scale", "cx")],
+    )
+    spread = sums.withColumn("x_cell", F.explode(F.sequence("left", "right")))
+    at = F.col("x_cell")
+    pixels = F.when(at == left, F.col("at_left")).when(at == right, F.col("at_right")).otherwise(F.col("between") * (edge(at + 1) - edge(at)))
+    return spread.groupBy("image_id", "x_cell", "y_cell").agg(F.sum(pixels).cast("bigint").alias("pixels"))
 
 
 def densities(bins: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

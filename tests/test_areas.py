@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotlake.operators import mask_area as area
+from spotlake.plans import areas
 
 WAFER = "image_id string, width int, height int, cx double, cy double, radius double, scale double"
 BOX = "image_id string, x0 int, y0 int, x1 int, y1 int"
@@ -78,3 +79,60 @@ def test_densities_and_fields(spark, runs):
 def test_nothing(spark):
     none = area.signed_runs(spark.createDataFrame([], WAFER), spark.createDataFrame([], BOX))
     assert none.count() == 0 and area.ring_pixels(none, 3).count() == 0 and area.sector_pixels(none, 4).count() == 0
+
+
+def above_rows(df):
+    """The operators between the listing of pixel rows and the result; they are listed once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    lists = [k for k, line in enumerate(plan) if "Generate" in line and ", [y#" in line]
+    assert len(lists) == 1
+    return [line.strip(" :+-").split()[0] for line in plan[: lists[0]]]
+
+
+def test_rows_are_no_side_of_a_join(spark):
+    runs = area.signed_runs(spark.createDataFrame(WAFERS, WAFER), spark.createDataFrame(BOXES, BOX))
+    assert "Join" not in above_rows(runs)
+    steps = above_rows(area.cell_pixels(runs, 2 * F.col("radius") * F.col("scale") / 9, F.lit(9)))
+    assert "Join" not in steps and "Aggregate" in steps[steps.index("Generate") :]
+
+
+def test_rectangles_of_many_ends(spark):
+    """Overlapping, touching and repeated rectangles whose ends fall on and between strips."""
+    rng = np.random.default_rng(5)
+    xs, ys = np.sort(rng.integers(-20, 720, (60, 2))), np.sort(rng.integers(-20, 720, (60, 2)))
+    boxes = [("a", *map(int, (x[0], y[0], x[1], y[1]))) for x, y in zip(xs, ys, strict=True) if y[1] - y[0] < 200 or x[1] - x[0] < 50]
+    boxes += [("a", 10, 256, 40, 512), ("a", 40, 255, 60, 513), ("a", 40, 255, 60, 513), ("a", 300, 100, 300, 400), ("a", 90, 300, 95, 301)]
+    y, x = np.mgrid[:700, :700]
+    inside = np.hypot(x - 350.0, y - 349.5) <= 330
+    valid = inside.copy()
+    for _, x0, y0, x1, y1 in boxes:
+        valid[max(0, y0) : max(0, y1), max(0, x0) : max(0, x1)] = False
+    got = area.signed_runs(spark.createDataFrame([("a", 700, 700, 350.0, 349.5, 330.0, 0.1)], WAFER), spark.createDataFrame(boxes, BOX)).collect()
+    covered = np.zeros((700, 700), int)
+    for r in got:
+        covered[r.y, r.a : r.b + 1] += r.sign
+    assert (covered == valid).all() and 0 < valid.sum() < inside.sum()
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The same masks twice: far beyond their images, and cut to them."""
+    out = []
+    for far, near in ((2**31 - 1, -(2**31) + 1), (3000, 0)):
+        d = tmp_path_factory.mktemp("areas")
+        spark.createDataFrame([("r1", "a", 600, 600, 0.2), ("r2", "a", 600, 600, 0.2), ("r3", "b", 500, 400, 0.25)], "run_id string, image_id string, image_width_px int, image_height_px int, mm_per_pixel double").write.parquet(f"{d}/run_catalog.parquet")
+        masks = [("a", 0, 250, 40, far), ("a", 200, near, 230, 310), ("a", 210, 300, far, 320), ("b", near, near, 100, far), ("b", 250, 190, 260, 210), ("none", 0, near, 5, far)]
+        spark.createDataFrame(masks, "image_id string, x0_px int, y0_px int, x1_px int, y1_px int").write.parquet(f"{d}/mask_regions.parquet")
+        points = [(r, f"d{k}", i, 37.0 * k % 600, 53.0 * k % 600, k % 3 > 0) for k in range(40) for r, i in (("r1", "a"), ("r2", "a"), ("r3", "b"))]
+        spark.createDataFrame(points, "run_id string, defect_id string, image_id string, centroid_x_px double, centroid_y_px double, accepted boolean").write.parquet(f"{d}/candidates.parquet")
+        out.append(str(d))
+    return out
+
+
+BEYOND = ["mask_fields"]
+
+
+@pytest.mark.parametrize("name", BEYOND)
+def test_masks_beyond_their_image(spark, folders, name):
+    far, cut = (sorted(tuple(r) for r in areas.QUERIES[name](spark, d).collect()) for d in folders)
+    assert far == cut and len(far) > 2
