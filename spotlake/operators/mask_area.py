@@ -85,15 +85,23 @@ def valid_pixels(runs: DataFrame) -> DataFrame:
     return out.select("image_id", "pixels", (F.col("pixels") * F.col("scale") * F.col("scale") / 100).alias("area_cm2"), (F.col("far") * F.col("scale")).alias("max_radius_mm"))
 
 
+def _within(runs: DataFrame, fractions: list[float]) -> DataFrame:
+    """(image_id, upto): valid pixels nearer to the centre than each fraction of the radius, in one pass over the runs."""
+    dy = F.col("y") - F.col("cy")
+
+    def count(share: float) -> Column:
+        if share >= 1:
+            return (F.col("b") - F.col("a") + 1) * F.col("sign")
+        rho = F.lit(float(share)) * F.col("radius")
+        half = F.sqrt(F.greatest(F.lit(0.0), rho * rho - dy * dy))
+        return F.when(rho > F.abs(dy), _inside(F.floor(F.col("cx") - half) + 1, F.ceil(F.col("cx") + half) - 1)).otherwise(0)
+
+    return runs.groupBy("image_id").agg(F.array(*[F.sum(count(q)).cast("bigint") for q in fractions]).alias("upto"))
+
+
 def within_radii(runs: DataFrame, fractions: list[float]) -> DataFrame:
     """(image_id, edge, pixels): valid pixels nearer to the centre than each fraction of the radius; from 1 on, all."""
-    shares = F.array(*[F.lit(float(q)) for q in fractions])
-    rows = runs.select("*", F.posexplode(shares).alias("edge", "share"))
-    dy, rho = F.col("y") - F.col("cy"), F.col("share") * F.col("radius")
-    half = F.sqrt(F.greatest(F.lit(0.0), rho * rho - dy * dy))
-    partial = F.when(rho > F.abs(dy), _inside(F.floor(F.col("cx") - half) + 1, F.ceil(F.col("cx") + half) - 1)).otherwise(0)
-    count = F.when(F.col("share") >= 1, (F.col("b") - F.col("a") + 1) * F.col("sign")).otherwise(partial)
-    return rows.groupBy("image_id", "edge").agg(F.sum(count).cast("bigint").alias("pixels"))
+    return _within(runs, fractions).select("image_id", F.posexplode("upto").alias("edge", "pixels"))
 
 
 def ring_pixels(runs: DataFrame, bins: int) -> DataFrame:
@@ -107,11 +115,9 @@ def ring_pixels(runs: DataFrame, bins: int) -> DataFrame:
 def region_pixels(runs: DataFrame, ranges: list[tuple[str, float, float]]) -> DataFrame:
     """(image_id, region, pixels) of named ranges of the normalised radius, closed on the left and at the rim; they may overlap."""
     fractions = sorted({q for _, low, high in ranges for q in (low, high)})
-    upto = within_radii(runs, fractions)
-    at = F.create_map(*[x for n, low, high in ranges for x in (F.lit(n), F.array(F.lit(fractions.index(low)), F.lit(fractions.index(high))))])
-    spread = upto.select("image_id", "edge", "pixels", F.explode(at).alias("region", "edges"))
-    part = F.when(F.col("edge") == F.col("edges")[1], F.col("pixels")).otherwise(0) - F.when(F.col("edge") == F.col("edges")[0], F.col("pixels")).otherwise(0)
-    return spread.groupBy("image_id", "region").agg(F.sum(part).alias("pixels"))
+    at = fractions.index
+    parts = [F.struct(F.lit(n).alias("region"), (F.col("upto")[at(high)] - F.col("upto")[at(low)]).alias("pixels")) for n, low, high in ranges]
+    return _within(runs, fractions).select("image_id", F.inline(F.array(*parts)))
 
 
 def sector_pixels(runs: DataFrame, bins: int) -> DataFrame:
@@ -164,15 +170,21 @@ def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float =
     return spread.groupBy("image_id", "x_cell", "y_cell").agg(F.sum(pixels).cast("bigint").alias("pixels"))
 
 
-def densities(bins: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
-    """``bins`` (keys, pixels, scale) with the counts (keys, count) of each: area, density and the exact Poisson interval.
+def area_densities(bins: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``bins`` (keys, pixels, scale) with the counts (keys, count) of each: area and density.
 
     Where no pixel is valid, the count stays and the density is null.
     """
     out = bins.join(counts, keys, "left").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
-    out = with_poisson_interval(out.withColumn("valid_area_cm2", F.col("pixels") * F.col("scale") * F.col("scale") / 100).drop("scale"), "count")
+    out = out.withColumn("valid_area_cm2", F.col("pixels") * F.col("scale") * F.col("scale") / 100).drop("scale")
+    return out.withColumn("density_cm2", F.when(F.col("valid_area_cm2") > 0, F.col("count") / F.col("valid_area_cm2")))
+
+
+def densities(bins: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``area_densities`` with the exact Poisson interval."""
+    out = with_poisson_interval(area_densities(bins, counts, keys), "count")
     per = lambda c: F.when(F.col("valid_area_cm2") > 0, F.col(c) / F.col("valid_area_cm2"))
-    return out.withColumns({"density_cm2": per("count"), "poisson_lower_cm2": per("poisson_lower"), "poisson_upper_cm2": per("poisson_upper")}).drop("poisson_lower", "poisson_upper")
+    return out.withColumns({"poisson_lower_cm2": per("poisson_lower"), "poisson_upper_cm2": per("poisson_upper")}).drop("poisson_lower", "poisson_upper")
 
 
 def fields(areas: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:

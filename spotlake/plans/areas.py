@@ -73,7 +73,7 @@ def mask_region_density(spark, d):
     names = F.array(*[F.struct(F.lit(n).alias("region"), F.lit(a).alias("low"), F.lit(b).alias("high")) for n, a, b in RANGES])
     points = _points(spark, d).select("run_id", "accepted", "q", F.inline(names))
     points = points.where("q >= low and (q < high or high >= 1 and q <= high)")
-    out = area.densities(_per_run(spark, d, area.region_pixels(_runs(spark, d), RANGES)), _counts(points, region=F.col("region")), ["run_id", "region"])
+    out = area.area_densities(_per_run(spark, d, area.region_pixels(_runs(spark, d), RANGES)), _counts(points, region=F.col("region")), ["run_id", "region"])
     return out.select("run_id", "region", "pixels", "count", F.round("valid_area_cm2", 6).alias("valid_area_cm2"), F.round("density_cm2", 6).alias("density_cm2"))
 
 
