@@ -106,10 +106,8 @@ def within_radii(runs: DataFrame, fractions: list[float]) -> DataFrame:
 
 def ring_pixels(runs: DataFrame, bins: int) -> DataFrame:
     """(image_id, bin, pixels) of rings of equal width."""
-    upto = within_radii(runs, [k / bins for k in range(bins + 1)])
-    inner = upto.select("image_id", F.col("edge").alias("bin"), F.col("pixels").alias("__inner"))
-    outer = upto.where("edge > 0").select("image_id", (F.col("edge") - 1).alias("bin"), "pixels")
-    return outer.join(inner, ["image_id", "bin"]).select("image_id", "bin", (F.col("pixels") - F.col("__inner")).alias("pixels"))
+    parts = [F.struct(F.lit(k).alias("bin"), (F.col("upto")[k + 1] - F.col("upto")[k]).alias("pixels")) for k in range(bins)]
+    return _within(runs, [k / bins for k in range(bins + 1)]).select("image_id", F.inline(F.array(*parts)))
 
 
 def region_pixels(runs: DataFrame, ranges: list[tuple[str, float, float]]) -> DataFrame:

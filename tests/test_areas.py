@@ -95,6 +95,7 @@ def test_rows_are_no_side_of_a_join(spark):
     steps = above_rows(area.cell_pixels(runs, 2 * F.col("radius") * F.col("scale") / 9, F.lit(9)))
     assert "Join" not in steps and "Aggregate" in steps[steps.index("Generate") :]
     assert "Join" not in above_rows(area.region_pixels(runs, [("core", 0.0, 0.35), ("rim", 0.8, 1.0)]))
+    assert "Join" not in above_rows(area.ring_pixels(runs, 5))
 
 
 def test_rectangles_of_many_ends(spark):
@@ -130,7 +131,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-BEYOND = ["mask_fields", "mask_region_density"]
+BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals"]
 
 
 @pytest.mark.parametrize("name", BEYOND)
