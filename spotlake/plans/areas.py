@@ -83,7 +83,7 @@ def mask_grid_density(spark, d):
     bins = area.cell_pixels(_runs(spark, d), side, F.lit(CELLS)).where("pixels > 0")
     cell = lambda c: F.greatest(F.lit(0), F.least(F.floor((F.col(c) + F.col("reach")) / (2 * F.col("reach") / CELLS)), F.lit(CELLS - 1))).cast("int")
     counts = _counts(_points(spark, d).where("abs(dx) <= reach and abs(dy) <= reach"), x_cell=cell("dx"), y_cell=cell("dy"))
-    out = area.densities(_per_run(spark, d, bins), counts, ["run_id", "x_cell", "y_cell"])
+    out = area.area_densities(_per_run(spark, d, bins), counts, ["run_id", "x_cell", "y_cell"])
     runs = table(spark, d, "run_catalog", "run_id", "image_id").distinct().join(wafers(spark, d), "image_id").select("run_id", (F.pow(2 * F.col("radius") * F.col("scale") / CELLS / 10, F.lit(2.0))).alias("cell"))
     return out.join(runs, "run_id").select("run_id", "x_cell", "y_cell", "pixels", "count", F.round(F.col("valid_area_cm2") / F.col("cell"), 6).alias("valid_fraction"), F.round("density_cm2", 4).alias("density_cm2"))
 

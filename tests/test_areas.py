@@ -117,6 +117,11 @@ def test_rectangles_of_many_ends(spark):
     assert (covered == valid).all() and 0 < valid.sum() < inside.sum()
 
 
+def test_no_interval_is_computed_for_densities_alone(spark, folders):
+    for name in PLAIN:
+        assert "PythonUDF" not in areas.QUERIES[name](spark, folders[1])._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     """The same masks twice: far beyond their images, and cut to them."""
@@ -132,7 +137,8 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_valid_area"]
+PLAIN = ["mask_region_density", "mask_grid_density"]
+BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_valid_area", "mask_grid_density"]
 
 
 @pytest.mark.parametrize("name", BEYOND)
