@@ -49,9 +49,9 @@ def mask_valid_area(spark, d):
     return out.select("image_id", "pixels", F.round("area_cm2", 6).alias("area_cm2"), F.round("max_radius_mm", 6).alias("max_radius_mm"))
 
 
-def ring_densities(spark, d) -> DataFrame:
+def ring_densities(spark, d, rate=area.area_densities) -> DataFrame:
     ring = F.when(F.col("q") <= 1, F.least(F.floor(F.col("q") * RINGS), F.lit(RINGS - 1)).cast("int"))
-    return area.densities(_per_run(spark, d, area.ring_pixels(_runs(spark, d), RINGS)), _counts(_points(spark, d).where("q <= 1"), bin=ring), ["run_id", "bin"])
+    return rate(_per_run(spark, d, area.ring_pixels(_runs(spark, d), RINGS)), _counts(_points(spark, d).where("q <= 1"), bin=ring), ["run_id", "bin"])
 
 
 def mask_ring_density(spark, d):
@@ -60,7 +60,7 @@ def mask_ring_density(spark, d):
 
 def mask_ring_intervals(spark, d):
     """The exact Poisson interval of every ring's density."""
-    return ring_densities(spark, d).select("run_id", "bin", "count", "poisson_lower_cm2", "poisson_upper_cm2")
+    return ring_densities(spark, d, area.densities).select("run_id", "bin", "count", "poisson_lower_cm2", "poisson_upper_cm2")
 
 
 def mask_sector_density(spark, d):

@@ -137,8 +137,8 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-PLAIN = ["mask_region_density", "mask_grid_density"]
-BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_valid_area", "mask_grid_density"]
+PLAIN = ["mask_region_density", "mask_grid_density", "mask_ring_density"]
+BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_valid_area", "mask_grid_density", "mask_ring_density"]
 
 
 @pytest.mark.parametrize("name", BEYOND)
