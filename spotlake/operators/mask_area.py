@@ -127,19 +127,21 @@ def sector_pixels(runs: DataFrame, bins: int) -> DataFrame:
         raise ValueError("bins must be even")
     half, step = bins // 2, 360.0 / bins
     cot = [1e6] + [0.0 if 2 * k == half else 1 / math.tan(math.radians(k * step)) for k in range(1, half)] + [-1e6]
-    edges = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(cot[k]).alias("outer"), F.lit(cot[k + 1]).alias("inner")) for k in range(half)])
-    rows = runs.select("*", (F.col("cy") - F.col("y")).alias("up"), F.explode(edges).alias("e")).select("*", "e.*")
-    up, cx = F.col("up"), F.col("cx")
-    # Above the axis a sector holds inner < dx / up <= outer; below it, mirrored, inner <= dx / -up < outer.
-    high = F.when(F.col("k") == 0, F.col("b")).when(up > 0, F.floor(cx + up * F.col("outer"))).otherwise(F.ceil(cx - up * F.col("outer")) - 1)
-    low = F.when(F.col("k") == half - 1, F.col("a")).when(up > 0, F.floor(cx + up * F.col("inner")) + 1).otherwise(F.ceil(cx - up * F.col("inner")))
-    bin_ = F.when(up > 0, F.col("k")).otherwise(bins - 1 - F.col("k"))
-    counted = rows.where("up <> 0").select("image_id", bin_.alias("bin"), _inside(low, high).alias("pixels"))
+    up, cx, a, b = F.col("cy") - F.col("y"), F.col("cx"), F.col("a"), F.col("b")
+    sums = []
+    for k in range(half):  # above the axis a sector holds inner < dx / up <= outer
+        high = b if k == 0 else F.floor(cx + up * F.lit(cot[k]))
+        low = a if k == half - 1 else F.floor(cx + up * F.lit(cot[k + 1])) + 1
+        sums.append(F.when(up > 0, _inside(low, high)))
+    for k in reversed(range(half)):  # below it, mirrored, inner <= dx / -up < outer
+        high = b if k == 0 else F.ceil(cx - up * F.lit(cot[k])) - 1
+        low = a if k == half - 1 else F.ceil(cx - up * F.lit(cot[k + 1]))
+        sums.append(F.when(up < 0, _inside(low, high)))
     # On the axis, the centre and all to its right have the angle 0, all to its left 180.
-    axis = runs.where("y = cy")
-    right = axis.select("image_id", F.lit(0).alias("bin"), _inside(F.ceil("cx"), F.col("b")).alias("pixels"))
-    left = axis.select("image_id", F.lit(half).alias("bin"), _inside(F.col("a"), F.ceil("cx") - 1).alias("pixels"))
-    return counted.unionByName(right).unionByName(left).groupBy("image_id", "bin").agg(F.sum("pixels").cast("bigint").alias("pixels"))
+    sums[0] = sums[0].when(up == 0, _inside(F.ceil(cx), b))
+    sums[half] = sums[half].when(up == 0, _inside(a, F.ceil(cx) - 1))
+    parts = runs.groupBy("image_id").agg(F.array(*[F.sum(c).cast("bigint") for c in sums]).alias("parts"))
+    return parts.select("image_id", F.posexplode("parts").alias("bin", "pixels")).where("pixels is not null")
 
 
 def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float = 0.0, down: bool = False) -> DataFrame:

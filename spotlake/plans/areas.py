@@ -65,7 +65,7 @@ def mask_ring_intervals(spark, d):
 
 def mask_sector_density(spark, d):
     sector = F.least(F.floor(F.col("angle") / (360.0 / SECTORS)), F.lit(SECTORS - 1)).cast("int")
-    out = area.densities(_per_run(spark, d, area.sector_pixels(_runs(spark, d), SECTORS)), _counts(_points(spark, d), bin=sector), ["run_id", "bin"])
+    out = area.area_densities(_per_run(spark, d, area.sector_pixels(_runs(spark, d), SECTORS)), _counts(_points(spark, d), bin=sector), ["run_id", "bin"])
     return out.select("run_id", "bin", "pixels", "count", F.round("valid_area_cm2", 6).alias("valid_area_cm2"), F.round("density_cm2", 6).alias("density_cm2"))
 
 

@@ -97,6 +97,7 @@ def test_rows_are_no_side_of_a_join(spark):
     assert "Join" not in above_rows(area.region_pixels(runs, [("core", 0.0, 0.35), ("rim", 0.8, 1.0)]))
     assert "Join" not in above_rows(area.ring_pixels(runs, 5))
     assert "Join" not in above_rows(area.valid_pixels(runs))
+    assert "Join" not in above_rows(area.sector_pixels(runs, 12))
 
 
 def test_rectangles_of_many_ends(spark):
@@ -137,8 +138,8 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-PLAIN = ["mask_region_density", "mask_grid_density", "mask_ring_density"]
-BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_valid_area", "mask_grid_density", "mask_ring_density"]
+PLAIN = ["mask_region_density", "mask_grid_density", "mask_ring_density", "mask_sector_density"]
+BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_valid_area", "mask_grid_density", "mask_ring_density", "mask_sector_density"]
 
 
 @pytest.mark.parametrize("name", BEYOND)
