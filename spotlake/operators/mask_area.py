@@ -3,7 +3,9 @@
 A wafer's rows are runs of its disc, counted once, and the union of its invalid rectangles in each row are runs within the disc,
 counted minus once. How many pixels of a run lie in a bin follows from the ends of both, so the work grows with the rows
 of the images and the heights of the rectangles, never with their pixels. Rows are made from strips, after the last join, and
-go straight into sums: only strips and sums are moved, and neither rows nor cells are ever one side of a join.
+go straight into sums: only strips and sums are moved, and neither rows nor cells are ever one side of a join. Rectangles and
+discs are joined by sorting: a broadcast is planned from the size of the files, and repeated rectangles take far less there
+than in the driver's memory.
 """
 
 from __future__ import annotations
@@ -53,16 +55,17 @@ def signed_runs(wafers: DataFrame, invalid: DataFrame) -> DataFrame:
     rows = wafers.dropna().where("radius > 0 and scale > 0 and width > 0 and height > 0")
     first, last = F.greatest(F.lit(0), F.ceil(F.col("cy") - F.col("radius"))), F.least(F.col("height") - 1, F.floor(F.col("cy") + F.col("radius")))
     discs = rows.where(first <= last).withColumns({"first": first.cast("int"), "end": (last + 1).cast("int"), "width": F.col("width").cast("int")})
-    boxes = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).join(discs.select("image_id", "width", "first", "end"), "image_id").select(
+    boxes = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).join(discs.select("image_id", "width", "first", "end").hint("merge"), "image_id").select(
         "image_id", F.greatest(F.least("x0", "x1").cast("int"), F.lit(0)).alias("x0"), F.least(F.greatest("x0", "x1").cast("int"), "width").alias("x1"),
         F.greatest(F.least("y0", "y1").cast("int"), "first").alias("y0"), F.least(F.greatest("y0", "y1").cast("int"), "end").alias("y1"),
     )
-    own = ["image_id", "strip", "y0", "y1", "x0", "x1"]
-    whole = _in_strips(discs.select("image_id", F.col("first").alias("y0"), F.col("end").alias("y1"), F.lit(0).alias("x0"), F.col("width").alias("x1")), "y0", "y1")
-    strips = whole.select(*own, F.lit(1).alias("sign")).unionByName(disjoint(boxes.where("x0 < x1 and y0 < y1").distinct()).select(*own, F.lit(-1).alias("sign")))
+    own = ["image_id", "strip", "y0", "y1", "x0", "x1", *SHAPE]
+    whole = _in_strips(discs.select("image_id", F.col("first").alias("y0"), F.col("end").alias("y1"), F.lit(0).alias("x0"), F.col("width").alias("x1"), *SHAPE), "y0", "y1")
+    cut = disjoint(boxes.where("x0 < x1 and y0 < y1").distinct()).join(discs.select("image_id", *SHAPE).hint("merge"), "image_id")
+    strips = whole.select(*own, F.lit(1).alias("sign")).unionByName(cut.select(*own, F.lit(-1).alias("sign")))
     # Strips are few and short, their rows are many: the number of tasks follows from the rows.
     tasks = max(1, -(-(discs.agg(F.sum((F.col("end") - F.col("first")).cast("bigint"))).first()[0] or 0) // ROWS_EACH))
-    spread = strips.join(discs.select("image_id", *SHAPE), "image_id").repartition(tasks, "image_id", "strip")
+    spread = strips.repartition(tasks, "image_id", "strip")
     half = F.sqrt(F.greatest(F.lit(0.0), F.col("radius") * F.col("radius") - (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
     a, b = F.greatest("x0", F.ceil(F.col("cx") - half).cast("int")), F.least(F.col("x1") - 1, F.floor(F.col("cx") + half).cast("int"))
     return spread.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).select("image_id", "y", a.alias("a"), b.alias("b"), "sign", *SHAPE).where("a <= b")

@@ -100,6 +100,16 @@ def test_rows_are_no_side_of_a_join(spark):
     assert "Join" not in above_rows(area.sector_pixels(runs, 12))
 
 
+def test_masks_repeated_in_a_small_file_are_not_broadcast(spark, folders, tmp_path):
+    """Repeated masks shrink to a file that Spark would broadcast, whatever their rows take on the driver."""
+    spark.read.parquet(f"{folders[1]}/run_catalog.parquet").write.parquet(f"{tmp_path}/run_catalog.parquet")
+    masks = spark.read.parquet(f"{folders[1]}/mask_regions.parquet")
+    masks.select("*", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("col").coalesce(1).write.parquet(f"{tmp_path}/mask_regions.parquet")
+    out = areas.mask_valid_area(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, areas.mask_valid_area(spark, folders[1]).collect()))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rectangles_of_many_ends(spark):
     """Overlapping, touching and repeated rectangles whose ends fall on and between strips."""
     rng = np.random.default_rng(5)
