@@ -45,6 +45,10 @@ def disjoint(boxes: DataFrame) -> DataFrame:
     return marked.groupBy("image_id", "strip", F.col("low").alias("y0"), F.col("high").alias("y1"), "bar").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("bar")
 
 
+def _sound(wafers: DataFrame) -> DataFrame:
+    return wafers.dropna().where("radius > 0 and scale > 0 and width > 0 and height > 0")
+
+
 def signed_runs(wafers: DataFrame, invalid: DataFrame) -> DataFrame:
     """(image_id, y, a, b, sign, cx, cy, radius, scale): pixels a to b of row y count ``sign`` times.
 
@@ -52,7 +56,7 @@ def signed_runs(wafers: DataFrame, invalid: DataFrame) -> DataFrame:
     image; ``invalid`` (image_id, x0, y0, x1, y1, half open, in any order of the corners) may overlap. Rows with a null,
     and rectangles of images without wafer, count for nothing. Rectangles are cut to the disc's rows before these are listed.
     """
-    rows = wafers.dropna().where("radius > 0 and scale > 0 and width > 0 and height > 0")
+    rows = _sound(wafers)
     first, last = F.greatest(F.lit(0), F.ceil(F.col("cy") - F.col("radius"))), F.least(F.col("height") - 1, F.floor(F.col("cy") + F.col("radius")))
     discs = rows.where(first <= last).withColumns({"first": first.cast("int"), "end": (last + 1).cast("int"), "width": F.col("width").cast("int")})
     boxes = invalid.dropna(subset=["image_id", "x0", "y0", "x1", "y1"]).join(discs.select("image_id", "width", "first", "end").hint("merge"), "image_id").select(
@@ -147,12 +151,13 @@ def sector_pixels(runs: DataFrame, bins: int) -> DataFrame:
     return parts.select("image_id", F.posexplode("parts").alias("bin", "pixels")).where("pixels is not null")
 
 
-def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float = 0.0, down: bool = False) -> DataFrame:
+def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float = 0.0, down: bool = False, whole: DataFrame | None = None) -> DataFrame:
     """(image_id, x_cell, y_cell, pixels) of square cells from -radius on, y upwards unless ``down``; outer cells take what lies beyond.
 
-    ``middle`` is the place of a pixel's centre within it.
+    ``middle`` is the place of a pixel's centre within it. Cells that no run reaches are listed for the wafers in ``whole`` only, with 0 pixels.
     """
-    rows = runs.select("*", (F.col("radius") * F.col("scale")).alias("reach"), side_mm.alias("side"), cells.alias("n"))
+    sized = lambda df: df.select("*", (F.col("radius") * F.col("scale")).alias("reach"), side_mm.alias("side"), cells.alias("n"))
+    rows = sized(runs)
     clip = lambda c: F.greatest(F.lit(0), F.least(c, F.col("n") - 1)).cast("int")
     cell = lambda p: clip(F.floor(((p + middle - F.col("cx")) * F.col("scale") + F.col("reach")) / F.col("side")))
     below = (F.col("y") + middle - F.col("cy")) * F.col("scale")
@@ -162,6 +167,10 @@ def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float =
     high = lambda k: F.when(k == F.col("n") - 1, F.col("b")).otherwise(edge(k + 1) - 1)
     left, right = F.col("left"), F.col("right")
     rows = rows.withColumns({"y_cell": y_cell, "left": cell(F.col("a")), "right": cell(F.col("b"))})
+    if whole is not None:  # in each row of cells a run over all of them that counts for nothing
+        none = sized(_sound(whole).select("image_id", F.lit(0).alias("y"), F.lit(0).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("sign"), *SHAPE))
+        end = (F.col("n") - 1).cast("int")
+        rows = rows.unionByName(none.withColumns({"y_cell": F.explode(F.sequence(F.lit(0), end)), "left": F.lit(0), "right": end}))
     # A run covers all columns of the cells between those of its ends, so the runs with the same cells at their ends are summed first.
     sums = rows.groupBy("image_id", "y_cell", "left", "right").agg(
         F.sum(_inside(low(left), high(left))).alias("at_left"), F.sum(_inside(low(right), high(right))).alias("at_right"), F.sum("sign").alias("between"),
@@ -176,7 +185,7 @@ def cell_pixels(runs: DataFrame, side_mm: Column, cells: Column, middle: float =
 def area_densities(bins: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """``bins`` (keys, pixels, scale) with the counts (keys, count) of each: area and density.
 
-    Where no pixel is valid, the count stays and the density is null.
+    Where no pixel is valid, the count stays and the density is null. Counts of keys that ``bins`` does not list are left out, so it has to list all.
     """
     out = bins.join(counts, keys, "left").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
     out = out.withColumn("valid_area_cm2", F.col("pixels") * F.col("scale") * F.col("scale") / 100).drop("scale")

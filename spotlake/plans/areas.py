@@ -35,9 +35,9 @@ def _points(spark, d) -> DataFrame:
     return rows.withColumns({"q": F.hypot("dx", "dy") / F.col("reach"), "angle": F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(360.0))})
 
 
-def _per_run(spark, d, bins: DataFrame) -> DataFrame:
+def _per_run(spark, d, bins: DataFrame, *more) -> DataFrame:
     runs = table(spark, d, "run_catalog", "run_id", "image_id").distinct()
-    return stored(bins).join(runs, "image_id").join(wafers(spark, d).select("image_id", "scale"), "image_id").drop("image_id")
+    return stored(bins).join(runs, "image_id").join(wafers(spark, d).select("image_id", "scale", *more), "image_id").drop("image_id")
 
 
 def _counts(points: DataFrame, **by) -> DataFrame:
@@ -78,14 +78,14 @@ def mask_region_density(spark, d):
 
 
 def mask_grid_density(spark, d):
-    """Grid cells with valid pixels or accepted candidates, with the share of the cell that is valid."""
+    """All grid cells of each run, with the share of the cell that is valid; those without valid pixels keep their candidates."""
     side = 2 * F.col("radius") * F.col("scale") / CELLS
-    bins = area.cell_pixels(_runs(spark, d), side, F.lit(CELLS)).where("pixels > 0")
+    bins = area.cell_pixels(_runs(spark, d), side, F.lit(CELLS), whole=wafers(spark, d))
     cell = lambda c: F.greatest(F.lit(0), F.least(F.floor((F.col(c) + F.col("reach")) / (2 * F.col("reach") / CELLS)), F.lit(CELLS - 1))).cast("int")
     counts = _counts(_points(spark, d).where("abs(dx) <= reach and abs(dy) <= reach"), x_cell=cell("dx"), y_cell=cell("dy"))
-    out = area.area_densities(_per_run(spark, d, bins), counts, ["run_id", "x_cell", "y_cell"])
-    runs = table(spark, d, "run_catalog", "run_id", "image_id").distinct().join(wafers(spark, d), "image_id").select("run_id", (F.pow(2 * F.col("radius") * F.col("scale") / CELLS / 10, F.lit(2.0))).alias("cell"))
-    return out.join(runs, "run_id").select("run_id", "x_cell", "y_cell", "pixels", "count", F.round(F.col("valid_area_cm2") / F.col("cell"), 6).alias("valid_fraction"), F.round("density_cm2", 4).alias("density_cm2"))
+    size = F.pow(2 * F.col("radius") * F.col("scale") / CELLS / 10, F.lit(2.0)).alias("cell")
+    out = area.area_densities(_per_run(spark, d, bins, size), counts, ["run_id", "x_cell", "y_cell"])
+    return out.select("run_id", "x_cell", "y_cell", "pixels", "count", F.round(F.col("valid_area_cm2") / F.col("cell"), 6).alias("valid_fraction"), F.round("density_cm2", 4).alias("density_cm2"))
 
 
 def mask_fields(spark, d):
@@ -164,9 +164,11 @@ SQL = {
         "SELECT run_id, region, count(*) AS n FROM pts JOIN t ON q >= low AND (q < high OR high >= 1 AND q <= high) WHERE accepted GROUP BY 1, 2", "region",
     ),
     "mask_grid_density": f"""WITH {_RUNS}, {_cells(f'2 * radius * scale / {CELLS}', str(CELLS), 0.0, False)},
-        n AS (SELECT run_id, {_CELL('dx', f'(2 * reach / {CELLS})', CELLS)} AS x_cell, {_CELL('dy', f'(2 * reach / {CELLS})', CELLS)} AS y_cell, count(*) AS n FROM pts WHERE accepted AND abs(dx) <= reach AND abs(dy) <= reach GROUP BY 1, 2, 3)
-        SELECT run_id, x_cell, y_cell, pixels, coalesce(n, 0) AS count, round(pixels * scale * scale / 100 / (2 * radius * scale / {CELLS} / 10) ^ 2, 6) AS valid_fraction, round(coalesce(n, 0) / (pixels * scale * scale / 100), 4) AS density_cm2
-        FROM bins JOIN rr USING (image_id) LEFT JOIN n USING (run_id, x_cell, y_cell)""",
+        n AS (SELECT run_id, {_CELL('dx', f'(2 * reach / {CELLS})', CELLS)} AS x_cell, {_CELL('dy', f'(2 * reach / {CELLS})', CELLS)} AS y_cell, count(*) AS n FROM pts WHERE accepted AND abs(dx) <= reach AND abs(dy) <= reach GROUP BY 1, 2, 3),
+        g AS (SELECT *, unnest(range({CELLS})) AS y_cell FROM (SELECT *, unnest(range({CELLS})) AS x_cell FROM rr)),
+        j AS (SELECT run_id, x_cell, y_cell, coalesce(pixels, 0) AS pixels, scale, radius FROM g LEFT JOIN bins USING (image_id, x_cell, y_cell))
+        SELECT run_id, x_cell, y_cell, pixels, coalesce(n, 0) AS count, round(pixels * scale * scale / 100 / (2 * radius * scale / {CELLS} / 10) ^ 2, 6) AS valid_fraction, CASE WHEN pixels > 0 THEN round(coalesce(n, 0) / (pixels * scale * scale / 100), 4) END AS density_cm2
+        FROM j LEFT JOIN n USING (run_id, x_cell, y_cell)""",
     "mask_fields": f"""WITH {_RUNS}, {_cells(str(FIELD_MM), f'greatest(1, ceil(2 * radius * scale / {FIELD_MM}))', 0.5, True)},
         n AS (SELECT run_id, {_CELL('dx', FIELD_MM, f'greatest(1, ceil(2 * reach / {FIELD_MM}))')} AS x_cell, {_CELL('-dy', FIELD_MM, f'greatest(1, ceil(2 * reach / {FIELD_MM}))')} AS y_cell, count(*) AS n, count(*) FILTER (accepted) AS k FROM pts GROUP BY 1, 2, 3),
         j AS (SELECT run_id, x_cell, y_cell, pixels, pixels * scale * scale / 100 AS size FROM bins JOIN rr USING (image_id)),

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,32 @@ BEYOND = ["mask_fields", "mask_region_density", "mask_ring_intervals", "mask_val
 def test_masks_beyond_their_image(spark, folders, name):
     far, cut = (sorted(tuple(r) for r in areas.QUERIES[name](spark, d).collect()) for d in folders)
     assert far == cut and len(far) >= 2
+
+
+def test_grid_has_every_cell_and_every_accepted_candidate(spark, tmp_path):
+    """Candidates in cells that are masked whole, on a wafer that is masked whole and beyond the disc; a run of no name; a run of two images."""
+    catalog = [("r1", "a", 600, 600, 0.2), (None, "a", 600, 600, 0.2), ("r2", "b", 300, 200, 0.25), ("r3", "c", 100, 100, 0.5), ("r3", "a", 600, 600, 0.2), ("r4", "d", 1, 1, 0.5)]
+    masks = [("a", 200, 200, 400, 420), ("b", -5, -5, 400, 400)]
+    points = [("r1", 0, "a", 300.0, 300.0, True), ("r1", 1, "a", 310.0, 309.0, True), ("r1", 2, "a", 310.0, 309.0, False), ("r1", 3, "a", 25.0, 25.0, True), ("r1", 4, "a", 1.0, 300.0, True), ("r1", 5, "a", 150.0, 450.0, True), ("r2", 6, "b", 150.0, 100.0, True), ("r3", 7, "c", 50.0, 50.0, True)]
+    given = {
+        "run_catalog": (catalog, "run_id string, image_id string, image_width_px int, image_height_px int, mm_per_pixel double"), "mask_regions": (masks, "image_id string, x0_px int, y0_px int, x1_px int, y1_px int"),
+        "candidates": (points, "run_id string, defect_id bigint, image_id string, centroid_x_px double, centroid_y_px double, accepted boolean"),
+    }
+    sql = pytest.importorskip("duckdb").connect()
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = areas.mask_grid_density(spark, str(tmp_path)).collect()
+    assert Counter(r.run_id for r in got) == {"r1": 1600, None: 1600, "r2": 1600, "r3": 3200, "r4": 1600}
+    own = {(r.x_cell, r.y_cell): r for r in got if r.run_id == "r1"}
+    assert len(own) == 1600 and sum(r["count"] for r in own.values()) == 4  # the one at x = 1 lies beyond the grid
+    y, x = np.mgrid[:600, :600]
+    valid = np.hypot(x - 300.0, y - 300.0) <= 600 / 2.16
+    valid[200:420, 200:400] = False
+    assert sum(r.pixels for r in own.values()) == valid.sum()
+    hidden = [r for r in own.values() if r["count"] and not r.pixels]
+    assert sorted((r.x_cell, r.y_cell, r["count"]) for r in hidden) == [(0, 39, 1), (20, 19, 1), (20, 20, 1)] and all(r.density_cm2 is None and r.valid_fraction == 0 for r in hidden)
+    assert [(r["count"], r.pixels) for r in got if r.run_id == "r2" and r["count"]] == [(1, 0)] and not sum(r.pixels for r in got if r.run_id in ("r2", "r4"))
+    assert {r.density_cm2 for r in own.values() if r.pixels and not r["count"]} == {0.0}
+    order = lambda rows: sorted(map(tuple, rows), key=lambda r: tuple((v is None, v or 0) for v in r[1:]) + (str(r[0]),))
+    assert order(got) == order(sql.sql(areas.SQL["mask_grid_density"]).fetchall())
